@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
@@ -64,3 +65,91 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _flags(members: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+#: Bytes of words: all but ASCII white space; and ASCII letters, digits and whatever isn't ASCII.
+NOT_SPACE = _flags(bytes(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D))
+ALNUM = _flags(bytes(b for b in range(256) if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80))
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE_VALUES = odd_constants(256, 77)
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers["up"]) < n:
+        size = 1 << n.bit_length()
+        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _powers[name] = np.cumprod(table, dtype=np.uint64)
+    return _powers["up"], _powers["down"]
+
+
+def word_spans(data: bytes, members: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a UTF-8 text begin and end, in bytes."""
+    if not data:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = members[np.frombuffer(data, np.uint8)]
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a text's words: one polynomial over its bytes, of which each word's share is taken out."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    up, down = _power_table(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[np.frombuffer(data, np.uint8)] * up[: len(data)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def hashed_words(text: str | None, lower: bool = False) -> np.ndarray:
+    """Hashes of the words between ASCII white space; A-Z lower-cased if asked."""
+    data = (text or "").encode("utf-8", "replace")
+    data = data.translate(LOWER) if lower else data
+    return word_hashes(data, *word_spans(data))
+
+
+def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+    """The smallest vertex that each vertex of edges (a, b) reaches: node, component.
+
+    Each round every vertex takes the smallest label among its neighbours' and its own, then its label's label, so
+    long chains halve. Labels are checkpointed each round; the edges must already be kept. No edges give no rows.
+    """
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    for _ in range(max_rounds):
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        hop = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
+        step = step.join(hop, step.component == hop.via, "left").select("node", "old", F.least("component", F.coalesce("far", "component")).alias("component"))
+        step = checkpointed(step)
+        labels = step.select("node", "component")
+        if step.where("component <> old").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: str, max_rows: int) -> DataFrame:
+    """Whole texts and 0/1 labels (text, y) of at most max_rows labelled rows that satisfy train, for fitting a model.
+
+    The rows are those with the smallest hashes of their ids, so the sample is the same at every partitioning and its
+    list of ids is small enough to broadcast. Null texts are empty; null labels and ids are left out.
+    """
+    chosen = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(train).groupBy(F.col("doc_id").alias("labelled_id"))
+        .agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_rows)
+    )
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(checkpointed(chosen)), F.col("doc_id") == F.col("labelled_id"))
+    return written(rows.select("text", "y").repartition(16, F.xxhash64("text")), "sample")
