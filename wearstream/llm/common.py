@@ -29,14 +29,14 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of all runs of k consecutive word hashes."""
+    """64-bit hashes of all runs of k consecutive word hashes: differences of one polynomial's running sums."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j, c in enumerate(odd_constants(k, seed)):
-        out += mix64(words[j : j + n] ^ c) * c
-    return mix64(out)
+    up, down = _power_table(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix64((sums[k:] - sums[:-k]) * down[:n] + odd_constants(1, 64 * seed + k)[0])
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
