@@ -124,21 +124,31 @@ def hashed_words(text: str | None, lower: bool = False) -> np.ndarray:
 def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     """The smallest vertex that each vertex of edges (a, b) reaches: node, component.
 
-    Each round every vertex takes the smallest label among its neighbours' and its own, then its label's label, so
-    long chains halve. Labels are checkpointed each round; the edges must already be kept. No edges give no rows.
+    Each round every vertex takes the smallest of its neighbours and itself as parent, then its parent's parent, and the
+    edges are contracted: those within a parent vanish and equal ones merge, so a round costs what is left. The rounds'
+    parents are composed at the end. Tables are checkpointed each round. No edges give no rows.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        hop = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        step = step.join(hop, step.component == hop.via, "left").select("node", "old", F.least("component", F.coalesce("far", "component")).alias("component"))
-        step = checkpointed(step)
-        labels = step.select("node", "component")
-        if step.where("component <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+    def between(a: str, b: str, table: DataFrame) -> DataFrame:
+        return checkpointed(table.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+
+    left, rounds = between("a", "b", edges), []
+    while not rounds or not left.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        down = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        ends = down.unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("parent")).distinct())
+        first = checkpointed(ends.groupBy("node").agg(F.min("parent").alias("parent")))
+        second = first.select(F.col("node").alias("via"), F.col("parent").alias("far"))
+        parents = checkpointed(first.join(second, first.parent == second.via).select("node", F.col("far").alias("parent")))
+        pa_, pb_ = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+        left = between("pa", "pb", left.join(pa_, "a").select("pa", "b").distinct().join(pb_, "b"))
+        rounds.append(parents)
+    found = rounds[-1].select("node", F.col("parent").alias("component"))
+    for parents in reversed(rounds[:-1]):
+        later = found.select(F.col("node").alias("via"), "component")
+        found = parents.join(later, parents.parent == later.via, "left").select("node", F.coalesce("component", "parent").alias("component"))
+    return checkpointed(found)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: str, max_rows: int) -> DataFrame:
