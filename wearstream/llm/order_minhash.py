@@ -31,10 +31,9 @@ def sketch(text: str, *, k: int = 5, tuples: int = 40, length: int = 2) -> np.nd
     numbered = mix64(mers + mix64(number + np.uint64(1)))
     width = min(length, len(mers))
     picks = np.empty((tuples, width), np.int64)
+    rank = np.empty(len(numbered), np.uint64)
     for t, salt in enumerate(odd_constants(tuples, 400)):
-        rank = (numbered ^ salt) * salt
-        rank ^= rank >> np.uint64(32)
-        rank *= salt
+        np.multiply(numbered, salt, out=rank)
         for j in range(width):
             picks[t, j] = least = rank.argmin()
             rank[least] = np.iinfo(np.uint64).max
