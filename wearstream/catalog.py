@@ -2,10 +2,223 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from wearstream.functions import scalars as S
+from wearstream.operators import aggregates as A
+from wearstream.operators import windows as W
+from wearstream.sources.tables import alerts, samples, table, workers
+
+HOUR = 3600
+CHANNELS = {"l_quantity": (30, 45), "l_extendedprice": (30000, 50000), "l_discount": (0.05, 0.08), "l_tax": (0.04, 0.07)}
+KIND = "CASE event_type WHEN 'click' THEN 'WARNING' WHEN 'purchase' THEN 'CRITICAL' WHEN 'error' THEN 'EMERGENCY' WHEN 'view' THEN 'SAFE' ELSE 'DATA_QUALITY' END"
+ALERTS = f"a AS (SELECT event_id, user_id worker, ts, {KIND} kind FROM events)"
+SAMPLES = "s AS (SELECT event_id, user_id worker, epoch_us(ts) us, ts, value, event_type FROM events)"
+LEVELS = "v AS (SELECT *, CASE WHEN value >= 60 THEN 2 WHEN value >= 30 THEN 1 ELSE 0 END AS level FROM s)"
+TREND = "count(*) FILTER (kind = 'WARNING') warnings, count(*) FILTER (kind = 'CRITICAL') criticals"
+VOTES = """m AS (SELECT *, CASE WHEN c2 >= c1 AND c2 >= c0 THEN 2 WHEN c1 >= c0 THEN 1 ELSE 0 END smoothed FROM (
+  SELECT *, count(*) FILTER (level = 0) OVER w c0, count(*) FILTER (level = 1) OVER w c1, count(*) FILTER (level = 2) OVER w c2 FROM v
+  WINDOW w AS (PARTITION BY worker ORDER BY us, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))"""
+_found: dict[str, tuple] = {}
+
+
+def query(sql: str):
+    def put(f):
+        _found[f.__name__] = (f, sql)
+        return f
+
+    return put
+
+
+def _us(spark, d):
+    return W.with_micros(samples(spark, d))
+
+
+def _levels(spark, d):
+    return _us(spark, d).withColumn("level", F.when(F.col("value") >= 60, 2).when(F.col("value") >= 30, 1).otherwise(0))
+
+
+@query("SELECT event_id, CASE WHEN value = -1 THEN NULL ELSE value END AS clean FROM events")
+def b03_clean(spark, d):
+    return samples(spark, d).select("event_id", S.cleaned(F.col("value")).alias("clean"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice - 30000, 4) dev, round((l_extendedprice - 30000) / 30000 * 100, 6) dev_percent FROM lineitem")
+def b06_deviation(spark, d):
+    x = F.col("l_extendedprice").cast("double")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.deviation(x, F.lit(30000.0)), 4).alias("dev"), F.round(S.deviation_percent(x, F.lit(30000.0)), 6).alias("dev_percent"))
+
+
+@query("SELECT event_id, round(CASE WHEN value < 80 THEN 0.0 ELSE 100.0 * (60.0 / 60.0) / (480.0 / pow(2.0, (value - 85.0) / 3.0)) END, 6) dose FROM events WHERE value <= 130")
+def b08_noise_dose_inc(spark, d):
+    return samples(spark, d).where("value <= 130").select("event_id", F.round(S.noise_dose(F.col("value"), F.lit(60.0)), 6).alias("dose"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 60 THEN 'CRITICAL' WHEN value >= 30 THEN 'WARNING' ELSE 'SAFE' END AS state FROM events WHERE value IS NOT NULL")
+def b11_classify(spark, d):
+    return samples(spark, d).where("value is not null").select("event_id", S.classified(F.col("value"), 30, 60).alias("state"))
+
+
+@query("SELECT event_id, floor((value - 20) * 10 + 0.5) / 10 AS rounded FROM events")
+def b14_round_half_up(spark, d):
+    return samples(spark, d).select("event_id", S.half_up(F.col("value") - 20, 1).alias("rounded"))
+
+
+@query(f"WITH {ALERTS} SELECT count(*) FILTER (kind = 'WARNING') warning, count(*) FILTER (kind = 'CRITICAL') critical, count(*) FILTER (kind = 'EMERGENCY') emergency, count(*) FILTER (kind IN ('WARNING', 'CRITICAL', 'EMERGENCY')) total FROM a")
+def d01_alert_counts(spark, d):
+    return A.alert_counts(alerts(spark, d))
+
+
+@query(f"WITH {ALERTS}, c AS (SELECT CAST(hour(ts + INTERVAL 330 MINUTE) AS INT) bucket, {TREND} FROM a GROUP BY 1) SELECT CAST(b AS INT) bucket, coalesce(warnings, 0) warnings, coalesce(criticals, 0) criticals FROM range(24) r(b) LEFT JOIN c ON b = bucket")
+def d03_trend_hourly(spark, d):
+    return A.risk_trend(alerts(spark, d), by="hour")
+
+
+@query(f"WITH {ALERTS}, c AS (SELECT CAST(ts + INTERVAL 330 MINUTE AS DATE) bucket, {TREND} FROM a GROUP BY 1), p AS (SELECT CAST(unnest(generate_series((SELECT min(bucket) FROM c), (SELECT max(bucket) FROM c), INTERVAL 1 DAY)) AS DATE) b) SELECT b AS bucket, coalesce(warnings, 0) warnings, coalesce(criticals, 0) criticals FROM p LEFT JOIN c ON b = bucket")
+def d03_trend_daily(spark, d):
+    return A.risk_trend(alerts(spark, d), by="day")
+
+
+@query(f"""WITH {ALERTS}, r AS (SELECT worker, count(*) FILTER (kind = 'CRITICAL') criticals, count(*) FILTER (kind = 'EMERGENCY') emergencies, count(*) FILTER (kind = 'WARNING') warnings, count(*) alerts, arg_max(kind, (ts, event_id)) latest
+  FROM a GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 4 DESC, 5 DESC, 1 LIMIT 15)
+SELECT worker, coalesce(c_name, CAST(worker AS VARCHAR)) AS name, criticals, emergencies, warnings, alerts, latest FROM r LEFT JOIN customer ON c_custkey = worker""")
+def d04_ranking(spark, d):
+    return A.worker_ranking(alerts(spark, d), workers(spark, d), top=15)
+
+
+@query(f"""WITH u AS (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) {c}' for c in CHANNELS)} FROM lineitem) ON {', '.join(CHANNELS)} INTO NAME channel VALUE v),
+t AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {w}::DOUBLE, {k}::DOUBLE)" for c, (w, k) in CHANNELS.items())}) x(channel, w, c)),
+g AS (SELECT channel, round(avg(v), 6) mean, min(v) low, max(v) high, count(*) n, count(*) FILTER (v >= w AND v < c) warnings, count(*) FILTER (v >= c) criticals FROM u JOIN t USING (channel) GROUP BY 1)
+SELECT *, floor(criticals * 100.0::DOUBLE / n * 10 + 0.5) / 10 critical_percent FROM g""")
+def d05_env_summary(spark, d):
+    return A.channel_summary(table(spark, d, "lineitem"), CHANNELS)
+
+
+@query("""WITH x AS (SELECT user_id worker, value - 30.0 dv FROM events WHERE value IS NOT NULL)
+SELECT worker, round(avg(abs(dv)), 6) mean_size, arg_max(dv, (abs(dv), dv)) extreme, count(*) FILTER (abs(dv) >= 50) events FROM x GROUP BY 1""")
+def d08_deviation_stats(spark, d):
+    return A.extreme_deviation(samples(spark, d).withColumn("deviation", F.col("value") - 30.0), least=50.0)
+
+
+@query("""SELECT count(*) n, count(x) answered, round(avg(x), 6) mean_days, quantile_cont(x, 0.5) median_days, round(avg(CASE WHEN u THEN x END), 6) urgent_mean_days FROM (
+  SELECT CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS DOUBLE) x, o_orderkey % 5 = 0 u FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)""")
+def d12_response(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate").join(table(spark, d, "lineitem").select("l_orderkey", "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return A.response_times(rows.select(F.datediff("l_shipdate", "o_orderdate").cast("double").alias("answer"), (F.col("o_orderkey") % 5 == 0).alias("urgent")))
+
+
+@query(f"WITH {ALERTS} SELECT CAST(hour(ts + INTERVAL 330 MINUTE) AS INT) bucket, {TREND} FROM a GROUP BY 1 HAVING count(*) FILTER (kind IN ('WARNING', 'CRITICAL')) > 0 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 5")
+def d13_hours(spark, d):
+    return A.risky_hours(alerts(spark, d), top=5)
+
+
+@query("SELECT event_type, count(*) n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")
+def d24_distribution(spark, d):
+    return A.shares(samples(spark, d), "event_type")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.1), 6) q10, round(quantile_cont(value, 0.5), 6) q50, round(quantile_cont(value, 0.9), 6) q90 FROM events GROUP BY 1")
+def d26_quantiles(spark, d):
+    return A.group_quantiles(samples(spark, d), "event_type", "value", [0.1, 0.5, 0.9])
+
+
+@query("""WITH u AS (UNPIVOT (SELECT l_linenumber = 1 AS f, CAST(l_quantity AS DOUBLE) l_quantity, CAST(l_discount AS DOUBLE) l_discount FROM lineitem) ON l_quantity, l_discount INTO NAME channel VALUE v)
+SELECT channel, round((avg(v) FILTER (f) - avg(v) FILTER (NOT f)) / sqrt((var_samp(v) FILTER (f) + var_samp(v) FILTER (NOT f)) / 2), 6) smd FROM u GROUP BY 1""")
+def d27_smd(spark, d):
+    return A.mean_difference(table(spark, d, "lineitem"), F.col("l_linenumber") == 1, ["l_quantity", "l_discount"])
+
+
+CONFUSION = "x AS (SELECT quality, toxic, count(*) n FROM labels GROUP BY ALL), m AS (SELECT CAST(q AS INT) quality, CAST(t AS INT) toxic, coalesce(n, 0) n FROM range(2) a(q) CROSS JOIN range(2) b(t) LEFT JOIN x ON quality = q AND toxic = t)"
+
+
+@query(f"WITH {CONFUSION} SELECT * FROM m")
+def d33_confusion(spark, d):
+    return A.confusion(table(spark, d, "labels"), "quality", "toxic", [0, 1])
+
+
+@query(f"""WITH {CONFUSION}, g AS (SELECT c AS class, CAST(sum(n) FILTER (quality = c) AS BIGINT) support, sum(n) FILTER (quality = c AND toxic = c) hits, sum(n) FILTER (toxic = c) nm FROM m, (SELECT CAST(unnest([0, 1]) AS INT) c) GROUP BY 1),
+p AS (SELECT class, support, coalesce(hits / nullif(nm, 0), 0) p, coalesce(hits / nullif(support, 0), 0) r FROM g)
+SELECT class, support, round(p, 6) AS "precision", round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) f1 FROM p""")
+def d34_metrics(spark, d):
+    return A.class_metrics(d33_confusion(spark, d), "quality", "toxic")
+
+
+@query(f"WITH {SAMPLES} SELECT event_id, round(CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END, 6) roll_mean, round(CASE WHEN count(value) OVER w >= 3 THEN stddev_samp(value) OVER w END, 6) roll_std FROM s WINDOW w AS (PARTITION BY worker ORDER BY us RANGE BETWEEN 107999999999 PRECEDING AND CURRENT ROW)")
+def e01_roll_mean(spark, d):
+    return W.rolling(_us(spark, d), 30 * HOUR, 3).select("event_id", F.round("roll_mean", 6).alias("roll_mean"), F.round("roll_std", 6).alias("roll_std"))
+
+
+@query(f"""WITH {SAMPLES} SELECT event_id, round(CASE WHEN count(value) OVER h >= 1 AND count(value) OVER t >= 1 THEN (quantile_cont(value, 0.5) OVER t - quantile_cont(value, 0.5) OVER h) / 144000 * 60 END, 8) trend FROM s
+WINDOW h AS (PARTITION BY worker ORDER BY us RANGE BETWEEN 215999999999 PRECEDING AND 144000000000 PRECEDING), t AS (PARTITION BY worker ORDER BY us RANGE BETWEEN 71999999999 PRECEDING AND CURRENT ROW)""")
+def e03_trend(spark, d):
+    return W.median_split(_us(spark, d), 60 * HOUR, 20 * HOUR, 1).select("event_id", F.round("trend", 8).alias("trend"))
+
+
+@query(f"""WITH {SAMPLES}, x AS (SELECT *, value >= 20 act, lag(value >= 20) OVER w pa, us - lag(us) OVER w gap FROM s WINDOW w AS (PARTITION BY worker ORDER BY us)),
+y AS (SELECT *, CASE WHEN act AND (pa IS NULL OR NOT pa OR gap > 172800000000) THEN us END began FROM x)
+SELECT event_id, round(CASE WHEN act THEN 1.0 + (us - last_value(began IGNORE NULLS) OVER (PARTITION BY worker ORDER BY us)) / 1e6 ELSE 0.0 END, 6) exposure FROM y""")
+def e04_exposure(spark, d):
+    return W.exposure(_us(spark, d), F.col("value") >= 20, 48 * HOUR).select("event_id", F.round("exposure", 6).alias("exposure"))
+
+
+@query(f"""WITH {SAMPLES} SELECT event_id, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, round(sum(CASE WHEN value < 80 THEN 0.0 ELSE 100.0 / (480.0 / pow(2.0, (value - 85.0) / 3.0)) END) OVER (PARTITION BY worker, CAST(ts + INTERVAL 330 MINUTE AS DATE) ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), 4) dose FROM s WHERE value <= 130""")
+def e06_dose(spark, d):
+    out = W.daily_dose(_us(spark, d).where("value <= 130"), S.site_time(F.col("ts")).cast("date"), S.noise_dose(F.col("value"), F.lit(60.0)))
+    return out.select("event_id", "day", F.round("dose", 4).alias("dose"))
+
+
+@query(f"""WITH {SAMPLES}, x AS (SELECT event_id, worker, us, CASE WHEN event_type = 'view' THEN value END v FROM s), y AS (SELECT *, last_value(v IGNORE NULLS) OVER w lv, last_value(CASE WHEN v IS NOT NULL THEN us END IGNORE NULLS) OVER w t FROM x WINDOW w AS (PARTITION BY worker ORDER BY us))
+SELECT event_id, CASE WHEN us - t <= 36000000000 THEN lv END held, CASE WHEN v IS NOT NULL THEN 'OBSERVED' WHEN us - t <= 36000000000 THEN 'IMPUTED' ELSE 'UNAVAILABLE' END origin FROM y""")
+def e08_locf(spark, d):
+    return W.held(_us(spark, d).withColumn("value", F.when(F.col("event_type") == "view", F.col("value"))), 10 * HOUR).select("event_id", "held", "origin")
+
+
+@query(f"WITH {SAMPLES}, {LEVELS}, {VOTES} SELECT event_id, smoothed FROM m")
+def e12_vote(spark, d):
+    return W.voted(_levels(spark, d), 5).select("event_id", "smoothed")
+
+
+@query(f"WITH {SAMPLES}, {LEVELS}, {VOTES}, t AS (SELECT *, lag(smoothed) OVER (PARTITION BY worker ORDER BY us, event_id) b FROM m) SELECT event_id, worker, b AS before, smoothed FROM t WHERE smoothed <> b OR (b IS NULL AND smoothed <> 0)")
+def e13_transitions(spark, d):
+    return W.transitions(W.voted(_levels(spark, d), 5), "smoothed").select("event_id", "worker", "before", "smoothed")
+
+
+@query(f"""WITH {SAMPLES}, {LEVELS}, x AS (SELECT *, CASE WHEN level <> lag(level) OVER w OR us - lag(us) OVER w > 172800000000 THEN 1 ELSE 0 END new FROM v WINDOW w AS (PARTITION BY worker ORDER BY us, event_id)),
+y AS (SELECT *, CAST(sum(new) OVER (PARTITION BY worker ORDER BY us, event_id) AS BIGINT) segment FROM x) SELECT worker, segment, any_value(level) state, count(*) n, min(us) from_us, max(us) to_us FROM y GROUP BY 1, 2""")
+def e14_segments(spark, d):
+    return W.segments(_levels(spark, d), "level", 48 * HOUR)
+
+
+@query(f"""WITH {SAMPLES}, x AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY worker ORDER BY us, event_id) > 43200000000 THEN 1 ELSE 0 END f FROM s)
+SELECT event_id, CAST(sum(f) OVER (PARTITION BY worker ORDER BY us, event_id) AS BIGINT) AS session FROM x""")
+def e16_sessions(spark, d):
+    return W.sessions(_us(spark, d), 12 * HOUR).select("event_id", "session")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def c07_anti(spark, d):
+    nations = table(spark, d, "nation").where("n_regionkey = 1")
+    return table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("s_suppkey")
+
+
+@query(f"WITH {ALERTS} SELECT worker, arg_max(kind, (ts, event_id)) latest, max(ts) seen FROM a GROUP BY 1")
+def c09_latest_state(spark, d):
+    return alerts(spark, d).groupBy("worker").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("latest"), F.max("ts").alias("seen"))
+
+
+@query("SELECT user_id worker, min(event_id) event_id, event_type FROM events GROUP BY user_id, event_type")
+def h04_dedupe_priority(spark, d):
+    return samples(spark, d).groupBy("worker", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query("SELECT DISTINCT k FROM (SELECT user_id k FROM events UNION ALL SELECT c_custkey FROM customer)")
+def h02_union_distinct(spark, d):
+    return samples(spark, d).select(F.col("worker").alias("k")).union(table(spark, d, "customer").select("c_custkey")).distinct()
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _found.items()}
