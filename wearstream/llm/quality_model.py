@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: str, *, max_rows: int = 8000)
     """Vectors and network from at most max_rows labelled rows that satisfy train; None if they are all alike.
 
     A bucket's vector is the sum of the index vectors of the words within REACH of its words, scaled to length one, and
-    its own index vector. Each of the sample's 16 partitions sums up its own; the driver adds the 16 tables.
+    its own index vector. Eight tasks each sum up their part of the sample; the driver adds the eight tables.
     """
     sample = labelled_sample(docs, labels, "quality", train, max_rows)
     index = index_vectors()
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: str, *, max_rows: int = 8000)
                     np.add.at(total, ids[:-gap], index[ids[gap:]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    total = sum((np.frombuffer(r[0]).reshape(BUCKETS, DIMS) for r in sample.mapInArrow(contexts, "sums binary").toLocalIterator()), np.zeros((BUCKETS, DIMS)))
+    total = sum((np.frombuffer(r[0]).reshape(BUCKETS, DIMS) for r in sample.coalesce(8).mapInArrow(contexts, "sums binary").collect()), np.zeros((BUCKETS, DIMS)))
     vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) + index).astype(np.float32)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
