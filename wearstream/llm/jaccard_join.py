@@ -8,7 +8,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearstream.llm.common import components, hashed_words, mix64, odd_constants, small_batches, window_hashes, written
@@ -172,7 +172,6 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
     members = written(texts.mapInArrow(sets_of, "doc_id long, n long, set_key long"), "members")
     reps = written(members.where("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep")), "reps")
 
-    # repeated texts other than their set's first give no signatures of their own: they are dropped by the group below
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
             found = {}
@@ -185,11 +184,11 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
             sigs = np.concatenate(parts) if parts else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(keys.view(np.int64))], names=["sig", "set_key"])
 
-    lists = texts.mapInArrow(signed, "sig long, set_key long").groupBy("sig").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z"))
-    shared = written(lists.where("a <> z").select("sig", "a"), "shared")
-    # a star per shared signature: its first set with each of the others
-    again = texts.mapInArrow(signed, "sig long, set_key long")
-    stars = written(again.join(shared, "sig").where("set_key <> a").select("a", F.col("set_key").alias("b")).distinct(), "stars")
+    # a star per shared signature: its first set with each of the others; every text has many signatures, so even one
+    # that a third of the texts share is a small part of the rows
+    first = F.min("set_key").over(Window.partitionBy("sig"))
+    stars = texts.mapInArrow(signed, "sig long, set_key long").withColumn("a", first).where("set_key <> a")
+    stars = written(stars.select("a", F.col("set_key").alias("b")).distinct(), "stars")
     blocks = components(stars).select(F.col("node").alias("set_key"), F.col("component").alias("block"))
     rows = written(reps.join(blocks, "set_key").select("rep", "block"), "blocks")
 
