@@ -15,6 +15,9 @@ from wearstream.llm.common import components, hashed_words, mix64, odd_constants
 
 #: Sizes from CLASS_RATIO ** c up to the next power are class c.
 CLASS_RATIO = 1.3
+#: Signatures that one group of the exchange holds on average (16 bytes each), and those that a task packs at a time.
+BUCKET_SIGNATURES = 1 << 19
+PACKED_SIGNATURES = 1 << 18
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -64,6 +67,33 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def packed_signatures(by_set: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """One row for each bucket: its sorted signatures and the sets that they are from, 8 bytes each."""
+    keys = np.repeat(np.array(list(by_set), np.uint64), [len(s) for s in by_set.values()])
+    sigs = np.concatenate(list(by_set.values()))
+    order = np.argsort(sigs)
+    sigs, keys = sigs[order], keys[order]
+    bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    begin = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
+    spans = list(zip(begin, [*begin[1:], len(sigs)]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[begin].astype(np.int64)), pa.array([sigs[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([keys[i:j].tobytes() for i, j in spans], pa.binary())],
+        names=["bucket", "sigs", "set_keys"],
+    )
+
+
+def stars_of(bucket: pa.Table) -> pa.Table:
+    """A star for each signature that several sets have: its first set with each of the others, each pair once."""
+    sigs, keys = (np.frombuffer(b"".join(bucket.column(c).to_pylist()), np.uint64) for c in ("sigs", "set_keys"))
+    order = np.lexsort((keys, sigs))
+    sigs, keys = sigs[order], keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+    first = np.repeat(keys[begin], np.diff(begin, append=len(sigs)))
+    other = first != keys
+    pairs = np.unique(np.stack([first[other], keys[other]], axis=1), axis=0)
+    return pa.table({"a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
+
+
 def linked(common: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (a + b - common)
 
@@ -172,24 +202,28 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
     members = written(texts.mapInArrow(sets_of, "doc_id long, n long, set_key long"), "members")
     reps = written(members.where("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep")), "reps")
 
-    # repeated texts other than their set's first give no signatures of their own: they are dropped by the group below
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # signatures go by their leading bits, packed into one row for each bucket and handful of texts
+    expected = (members.agg(F.sum("n")).first()[0] or 0) // 2
+    buckets = 1 + expected // BUCKET_SIGNATURES
+
+    def dealt_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # by set, so that a task's copies of a text count once
+        count = 0
         for batch in small_batches(batches, 128):
-            found = {}
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
-                if len(s):
-                    found[int(mix64(s ^ np.uint64(len(s))).sum(dtype=np.uint64))] = s
-            parts = [signatures(s, percent) for s in found.values()]
-            keys = np.repeat(np.array(list(found), np.uint64), [len(p) for p in parts]) if parts else np.empty(0, np.uint64)
-            sigs = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(keys.view(np.int64))], names=["sig", "set_key"])
-
-    lists = texts.mapInArrow(signed, "sig long, set_key long").groupBy("sig").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z"))
-    shared = written(lists.where("a <> z").select("sig", "a"), "shared")
-    # a star per shared signature: its first set with each of the others
-    again = texts.mapInArrow(signed, "sig long, set_key long")
-    stars = written(again.join(shared, "sig").where("set_key <> a").select("a", F.col("set_key").alias("b")).distinct(), "stars")
+                key = int(mix64(s ^ np.uint64(len(s))).sum(dtype=np.uint64))
+                if len(s) and key not in held:
+                    held[key] = signatures(s, percent)
+                    count += len(held[key])
+                if count >= PACKED_SIGNATURES:
+                    yield packed_signatures(held, buckets)
+                    held, count = {}, 0
+        if held:
+            yield packed_signatures(held, buckets)
+
+    packed = texts.mapInArrow(dealt_signatures, "bucket long, sigs binary, set_keys binary")
+    stars = written(packed.groupBy("bucket").applyInArrow(stars_of, "a long, b long").distinct(), "stars")
     blocks = components(stars).select(F.col("node").alias("set_key"), F.col("component").alias("block"))
     rows = written(reps.join(blocks, "set_key").select("rep", "block"), "blocks")
 
