@@ -28,6 +28,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(window_hashes(words, size))
 
 
+def set_key_of(s: np.ndarray) -> int:
+    """A set's 64-bit hash."""
+    return int(mix64(s ^ np.uint64(len(s))).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
+
+
 def class_floor(c: int) -> int:
     return int(np.ceil(CLASS_RATIO**c - 1e-9))
 
@@ -69,7 +74,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 def packed_signatures(by_set: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
     """One row for each bucket: its sorted signatures and the sets that they are from, 8 bytes each."""
-    keys = np.repeat(np.array(list(by_set), np.uint64), [len(s) for s in by_set.values()])
+    keys = np.repeat(np.array(list(by_set), np.int64), [len(s) for s in by_set.values()])
     sigs = np.concatenate(list(by_set.values()))
     order = np.argsort(sigs)
     sigs, keys = sigs[order], keys[order]
@@ -84,14 +89,14 @@ def packed_signatures(by_set: dict[int, np.ndarray], buckets: int) -> pa.RecordB
 
 def stars_of(bucket: pa.Table) -> pa.Table:
     """A star for each signature that several sets have: its first set with each of the others, each pair once."""
-    sigs, keys = (np.frombuffer(b"".join(bucket.column(c).to_pylist()), np.uint64) for c in ("sigs", "set_keys"))
+    sigs, keys = (np.frombuffer(b"".join(bucket.column(c).to_pylist()), kind) for c, kind in (("sigs", np.uint64), ("set_keys", np.int64)))
     order = np.lexsort((keys, sigs))
     sigs, keys = sigs[order], keys[order]
     begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
     first = np.repeat(keys[begin], np.diff(begin, append=len(sigs)))
     other = first != keys
     pairs = np.unique(np.stack([first[other], keys[other]], axis=1), axis=0)
-    return pa.table({"a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def linked(common: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarray:
@@ -187,16 +192,15 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
     form blocks, and no link leaves a block; each block is joined by size-aware heavy-light join, in tiles of at most
     2 * tile sets where it is larger; links that join components are kept, one forest per tile.
 
-    A null or wordless text has n_shingles 0, is linked with nothing and is its own component; repeated ids with
-    different texts are told apart by their texts, and the component is then that of each row; a null doc_id is left
-    out, as it can't name a component; an empty table gives no rows; other columns aren't read. Texts are whole.
+    A null or wordless text has n_shingles 0, is linked with nothing and is its own component; an id repeated with
+    different texts keeps a row and a component for each text; a null doc_id is left out, as it can't name a component; an empty table gives no rows; other columns aren't read. Texts are whole.
     """
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            keys = np.array([int(mix64(s ^ np.uint64(len(s))).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys)], names=["doc_id", "n", "set_key"])
+            keys = pa.array([set_key_of(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), keys], names=["doc_id", "n", "set_key"])
 
     texts = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "text")
     members = written(texts.mapInArrow(sets_of, "doc_id long, n long, set_key long"), "members")
@@ -212,7 +216,7 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
         for batch in small_batches(batches, 128):
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
-                key = int(mix64(s ^ np.uint64(len(s))).sum(dtype=np.uint64))
+                key = set_key_of(s)
                 if len(s) and key not in held:
                     held[key] = signatures(s, percent)
                     count += len(held[key])
@@ -225,46 +229,40 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
     packed = texts.mapInArrow(dealt_signatures, "bucket long, sigs binary, set_keys binary")
     stars = written(packed.groupBy("bucket").applyInArrow(stars_of, "a long, b long").distinct(), "stars")
     blocks = components(stars).select(F.col("node").alias("set_key"), F.col("component").alias("block"))
-    rows = written(reps.join(blocks, "set_key").select("rep", "block"), "blocks")
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([shingles(t, size).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["rep", "block", "elements"]
-            )
-
-    chosen = texts.join(rows, texts.doc_id == rows.rep).select("rep", "block", "text").dropDuplicates(["rep"])
-    sets = written(chosen.mapInArrow(with_sets, "rep long, block long, elements binary"), "sets")
+    rows = written(reps.join(blocks, "set_key").select("rep", "set_key", "block"), "blocks")
     # a block's sets are dealt into parts of about tile sets; every pair of parts is one task's group
-    parts = sets.groupBy("block").count().select("block", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
-    dealt = sets.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "elements"
-    )
+    parts = rows.groupBy("block").count().select("block", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
+    dealt = rows.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
+    # texts travel, as they are shorter than their sets
+    chosen = dealt.join(texts, F.col("rep") == F.col("doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = chosen.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "set_key", "text")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at = [], None
+        group, at = {}, None  # (rep, set_key): (part, elements)
 
         def flush() -> pa.RecordBatch:
-            ids = np.array([g[0] for g in group])
-            cross = np.array([g[1] for g in group]) if at[1] != at[2] else None
-            kept, links = forest([np.frombuffer(g[2], np.uint64) for g in group], ids, cross, percent)
+            ids = np.array([rep for rep, _ in group])
+            cross = np.array([part for part, _ in group.values()]) if at[1] != at[2] else None
+            kept, links = forest([s for _, s in group.values()], ids, cross, percent)
             a, b, n = [k[0] for k in kept], [k[1] for k in kept], [0] * len(kept)
             some = np.flatnonzero(links)
             a, b, n = a + ids[some].tolist(), b + ids[some].tolist(), n + links[some].tolist()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
-            for block, low, high, part, rep, elements in zip(*(c.to_pylist() for c in batch.columns)):
-                if (block, low, high) != at:
+            for block, low, high, part, rep, key, text in zip(*(batch.column(c) for c in range(batch.num_columns))):
+                here = (block.as_py(), low.as_py(), high.as_py())
+                if here != at:
                     if len(group) > 1:
                         yield flush()
-                    group, at = [], (block, low, high)
-                group.append((rep, part, elements))
+                    group, at = {}, here
+                s = shingles(text.as_py(), size)
+                if set_key_of(s) == key.as_py():  # a repeated id's other texts have other sets
+                    group[rep.as_py(), key.as_py()] = (part.as_py(), s)
         if len(group) > 1:
             yield flush()
 
-    grouped = tiles.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "rep")
+    grouped = tiles.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "rep", "set_key")
     edges = written(grouped.mapInArrow(joined, "a long, b long, n long"), "links")
     found = components(edges.where("a <> b").select("a", "b"))
     links = edges.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
