@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -52,28 +53,52 @@ def unlike(n: int, percent: int) -> int:
     return (100 - percent) * largest // 100
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes such that linked sets share one.
+def classes_of(n: int, percent: int) -> list[int]:
+    """A set's own size class, and the lower ones from which a smaller partner may come."""
+    own = class_of(n)
+    return [c for c in range(own, -1, -1) if 100 * (class_floor(c + 1) - 1) >= percent * n]
 
-    The smaller set of a linked pair has some size class; two sets differ there by at most d elements, so of d + 1
-    parts, to which elements belong by their hashes, one is equal. A set gives signatures for its own class, and for
-    lower ones from which a smaller partner may come.
+
+@cache
+def parts_of(c: int, percent: int) -> tuple[int, int]:
+    """How many parts the sets of a class are split into, and how many of those a linked pair needs to be sure of an equal one.
+
+    There are some more than needed, so that hardly a set has too many empty ones.
+    """
+    n, need = class_floor(c), unlike(class_floor(c + 1) - 1, percent) + 1
+    parts = need
+    while parts < 2 * need + 4 and parts - (empty := parts * np.exp(-n / parts)) - 2 * np.sqrt(empty) < need:
+        parts += 1
+    return parts, need
+
+
+def signatures(s: np.ndarray, percent: int) -> dict[int, np.ndarray]:
+    """By size class, hashes such that linked sets share one in the class of the smaller.
+
+    Two sets whose smaller one is in the class differ by less than the needed number of parts, to which elements belong by
+    their hashes. If as many parts as that have elements, one of those is equal; the empty parts, which unlike sets
+    share too, give signatures only for a set that fills fewer.
     """
-    n, out = len(s), []
-    c = class_of(n)
-    while c >= 0 and 100 * (class_floor(c + 1) - 1) >= percent * n:
-        parts = unlike(class_floor(c + 1) - 1, percent) + 1
+    out = {}
+    for c in classes_of(len(s), percent):
+        parts, need = parts_of(c, percent)
         salt = odd_constants(1, 31 * c)[0]
-        part = (mix64(s ^ salt) >> np.uint64(33)) % np.uint64(parts)
+        part = ((mix64(s ^ salt) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part.astype(np.int64), mix64(s + salt))
-        out.append(mix64(sums + mix64(np.arange(parts, dtype=np.uint64) * salt + np.uint64(c + 1))))
-        c -= 1
-    return np.concatenate(out)
+        np.add.at(sums, part, mix64(s + salt))
+        filled = np.unique(part)
+        at = filled if len(filled) >= need else np.arange(parts)
+        out[c] = mix64(sums[at] + mix64(at.astype(np.uint64) * salt + np.uint64(c + 1)))
+    return out
+
+
+def vertex(key: int, c: int) -> int:
+    """The 64-bit hash that stands for a set in a size class."""
+    return int(mix64(np.array([key], np.int64).view(np.uint64) + odd_constants(1, 977 + c)).view(np.int64)[0])
 
 
 def packed_signatures(by_set: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """One row for each bucket: its sorted signatures and the sets that they are from, 8 bytes each."""
+    """One row for each bucket: its sorted signatures and the vertices that they are from, 8 bytes each."""
     keys = np.repeat(np.array(list(by_set), np.int64), [len(s) for s in by_set.values()])
     sigs = np.concatenate(list(by_set.values()))
     order = np.argsort(sigs)
@@ -122,13 +147,14 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def heavy_light(sets: list[np.ndarray], cross: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
-    """All links (i, j), i < j, of the sets; with cross (0 or 1 for each) only those between the two sides.
+def heavy_light(sets: list[np.ndarray], cross: np.ndarray | None, percent: int, guest: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """All links (i, j), i < j, of the sets; with cross only those between its two sides, and none between two guests.
 
     Light pairs meet in dictionaries of their subsets of least overlap or more; a heavy set scans the inverted lists of
     its elements, counting what it shares with all sets at once.
     """
     sizes = np.array([len(s) for s in sets])
+    guest = np.zeros(len(sets), bool) if guest is None else guest
     owner = np.repeat(np.arange(len(sets)), sizes)
     elements = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     order = np.argsort(elements, kind="stable")
@@ -145,7 +171,7 @@ def heavy_light(sets: list[np.ndarray], cross: np.ndarray | None, percent: int)
                     met.update(subsets.get(key, ()))
                     subsets.setdefault(key, []).append(i)
             for j in sorted(met):
-                if (cross is None or cross[i] != cross[j]) and linked(len(np.intersect1d(s, sets[j])), len(s), sizes[j], percent):
+                if (cross is None or cross[i] != cross[j]) and not (guest[i] and guest[j]) and linked(len(np.intersect1d(s, sets[j])), len(s), sizes[j], percent):
                     yield j, i
     for i, s in enumerate(sets):
         if sizes[i] <= limit:
@@ -158,13 +184,15 @@ def heavy_light(sets: list[np.ndarray], cross: np.ndarray | None, percent: int)
         # heavy pairs are taken once, from the later one; heavy with light always from the heavy one
         ok &= (np.arange(len(sets)) < i) | (sizes <= limit)
         ok[i] = False
+        if guest[i]:
+            ok &= ~guest
         if cross is not None:
             ok &= cross != cross[i]
         for j in np.flatnonzero(ok):
             yield (int(j), i) if j < i else (i, int(j))
 
 
-def forest(sets: list[np.ndarray], ids: np.ndarray, cross: np.ndarray | None, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def forest(sets: list[np.ndarray], ids: np.ndarray, cross: np.ndarray | None, percent: int, guest: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that keep all of the sets' components, and each set's number of links."""
     root, kept, links = list(range(len(sets))), [], np.zeros(len(sets), np.int64)
 
@@ -174,7 +202,7 @@ def forest(sets: list[np.ndarray], ids: np.ndarray, cross: np.ndarray | None, pe
             x = root[x]
         return x
 
-    for i, j in heavy_light(sets, cross, percent):
+    for i, j in heavy_light(sets, cross, percent, guest):
         links[i] += 1
         links[j] += 1
         x, y = find(i), find(j)
@@ -188,8 +216,9 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
     """Every document with its set's size, its component under links of Jaccard >= percent / 100, and its links.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and n_links (different texts' sets linked with
-    the document's). Steps: equal sets become one representative; representatives that share a pigeonhole signature
-    form blocks, and no link leaves a block; each block is joined by size-aware heavy-light join, in tiles of at most
+    the document's). Steps: equal sets become one representative; in each size class, representatives that share a
+    pigeonhole signature form blocks, and no link whose smaller set is of the class leaves a block (larger sets are guests
+    there); each block is joined by size-aware heavy-light join, in tiles of at most
     2 * tile sets where it is larger; links that join components are kept, one forest per tile.
 
     A null or wordless text has n_shingles 0, is linked with nothing and is its own component; an id repeated with
@@ -211,15 +240,16 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
     buckets = 1 + expected // BUCKET_SIGNATURES
 
     def dealt_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}  # by set, so that a task's copies of a text count once
+        held: dict[int, np.ndarray] = {}  # by vertex, so that a task's copies of a text count once
         count = 0
         for batch in small_batches(batches, 128):
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
                 key = set_key_of(s)
-                if len(s) and key not in held:
-                    held[key] = signatures(s, percent)
-                    count += len(held[key])
+                if len(s) and vertex(key, class_of(len(s))) not in held:
+                    found = {vertex(key, c): sigs for c, sigs in signatures(s, percent).items()}
+                    held |= found
+                    count += sum(map(len, found.values()))
                 if count >= PACKED_SIGNATURES:
                     yield packed_signatures(held, buckets)
                     held, count = {}, 0
@@ -228,29 +258,40 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
 
     packed = texts.mapInArrow(dealt_signatures, "bucket long, sigs binary, set_keys binary")
     stars = written(packed.groupBy("bucket").applyInArrow(stars_of, "a long, b long").distinct(), "stars")
-    blocks = components(stars).select(F.col("node").alias("set_key"), F.col("component").alias("block"))
-    rows = written(reps.join(blocks, "set_key").select("rep", "set_key", "block"), "blocks")
+    blocks = components(stars).select(F.col("node").alias("vertex"), F.col("component").alias("block"))
+
+    def vertices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (rep, key, vertex(key, c), c < class_of(n)) for rep, key, n in zip(*(batch.column(x).to_pylist() for x in ("rep", "set_key", "n"))) for c in classes_of(n, percent)
+            ]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["rep", "set_key", "vertex", "guest"])
+
+    vertices = reps.mapInArrow(vertices_of, "rep long, set_key long, vertex long, guest boolean")
+    rows = written(vertices.join(blocks, "vertex").select("rep", "set_key", "block", "guest"), "blocks")
     # a block's sets are dealt into parts of about tile sets; every pair of parts is one task's group
-    parts = rows.groupBy("block").count().select("block", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
+    parts = rows.groupBy("block").agg(F.count("*").alias("count"), F.min("guest").alias("guests")).where("count > 1 and not guests").select("block", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
     dealt = rows.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
     # texts travel, as they are shorter than their sets
     chosen = dealt.join(texts, F.col("rep") == F.col("doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = chosen.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "set_key", "text")
+    tiles = chosen.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "guest", "rep", "set_key", "text")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at = {}, None  # (rep, set_key): (part, elements)
+        group, at = {}, None  # (rep, set_key): (part, guest, elements)
 
         def flush() -> pa.RecordBatch:
             ids = np.array([rep for rep, _ in group])
-            cross = np.array([part for part, _ in group.values()]) if at[1] != at[2] else None
-            kept, links = forest([s for _, s in group.values()], ids, cross, percent)
+            cross = np.array([part for part, _, _ in group.values()]) if at[1] != at[2] else None
+            kept, links = forest([s for _, _, s in group.values()], ids, cross, percent, np.array([g for _, g, _ in group.values()]))
             a, b, n = [k[0] for k in kept], [k[1] for k in kept], [0] * len(kept)
             some = np.flatnonzero(links)
             a, b, n = a + ids[some].tolist(), b + ids[some].tolist(), n + links[some].tolist()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
-            for block, low, high, part, rep, key, text in zip(*(batch.column(c) for c in range(batch.num_columns))):
+            for block, low, high, part, guest, rep, key, text in zip(*(batch.column(c) for c in range(batch.num_columns))):
                 here = (block.as_py(), low.as_py(), high.as_py())
                 if here != at:
                     if len(group) > 1:
@@ -258,7 +299,7 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
                     group, at = {}, here
                 s = shingles(text.as_py(), size)
                 if set_key_of(s) == key.as_py():  # a repeated id's other texts have other sets
-                    group[rep.as_py(), key.as_py()] = (part.as_py(), s)
+                    group[rep.as_py(), key.as_py()] = (part.as_py(), guest.as_py(), s)
         if len(group) > 1:
             yield flush()
 
