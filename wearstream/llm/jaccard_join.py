@@ -19,6 +19,8 @@ CLASS_RATIO = 1.3
 #: Signatures that one group of the exchange holds on average (16 bytes each), and those that a task packs at a time.
 BUCKET_SIGNATURES = 1 << 19
 PACKED_SIGNATURES = 1 << 18
+#: What one subset costs in the light join, in entries of an inverted list.
+SUBSET_STEPS = 50
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -128,15 +130,17 @@ def linked(common: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarra
     return 100 * common >= percent * (a + b - common)
 
 
-def boundary(sizes: np.ndarray, percent: int, mean_list: float) -> int:
+def boundary(sizes: np.ndarray, percent: int, mean_scan: float) -> int:
     """The largest size up to which enumerating subsets costs less than scanning inverted lists.
 
     A set of size n meets its partners in subsets of the least overlap a partner needs; there are at most
-    comb(n, d) of those for every d it may lose. A scan reads n lists of the mean length.
+    comb(n, d) of those for every d it may lose, each as dear as SUBSET_STEPS entries of a list. A scan reads n lists
+    of the mean length. Sets that may lose nothing are always light.
     """
     best = 0
     for n in range(1, int(sizes.max(initial=0)) + 1):
-        if sum(comb(n, d) for d in range(n - least_overlap(n, percent) + 1)) > n * (1 + mean_list):
+        lost = n - least_overlap(n, percent)
+        if lost and SUBSET_STEPS * sum(comb(n, d) for d in range(lost + 1)) > n * (1 + mean_scan):
             break
         best = n
     return best
@@ -147,68 +151,95 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def heavy_light(sets: list[np.ndarray], cross: np.ndarray | None, percent: int, guest: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """All links (i, j), i < j, of the sets; with cross only those between its two sides, and none between two guests.
+@cache
+def losses(n: int, d: int) -> np.ndarray:
+    """One row for each way of leaving out d of n elements."""
+    return np.array(list(combinations(range(n), d)), np.int64).reshape(comb(n, d), d)
+
+
+def tally(lists: np.ndarray, begin: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """How often each of n sets is in the given lists, read at most 2 ** 20 entries at a time."""
+    out = np.zeros(n, np.int64)
+    step = max(1, (1 << 20) // max(n, 1))
+    for k in range(0, len(begin), step):
+        b, c = begin[k : k + step], count[k : k + step]
+        at = np.repeat(b - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        out += np.bincount(lists[at], minlength=n)
+    return out
+
 
-    Light pairs meet in dictionaries of their subsets of least overlap or more; a heavy set scans the inverted lists of
-    its elements, counting what it shares with all sets at once.
+def heavy_light(sets: list[np.ndarray], cross: np.ndarray | None, percent: int, guest: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """All links of the sets, each once, as a set and its partners; with cross only those between its two sides, and none
+    between two guests.
+
+    Light pairs meet in subsets of least overlap or more, and the largest that they share is what they have in common.
+    A heavy set scans the inverted lists of its elements, counting what it shares with all sets at once; of an element
+    that most sets have, the list of those without it is scanned and subtracted.
     """
-    sizes = np.array([len(s) for s in sets])
-    guest = np.zeros(len(sets), bool) if guest is None else guest
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    elements = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    order = np.argsort(elements, kind="stable")
-    tokens, begin, count = np.unique(elements[order], return_index=True, return_counts=True)
-    lists = owner[order]
-    limit = boundary(sizes, percent, float(count.mean()) if len(count) else 0.0)
-    subsets: dict[tuple, list[int]] = {}
-    for i, s in enumerate(sets):
-        if sizes[i] <= limit:
-            met = set()
-            for d in range(sizes[i] - least_overlap(int(sizes[i]), percent) + 1):
-                for gone in combinations(range(len(s)), d):
-                    key = tuple(np.delete(s, gone).tolist())
-                    met.update(subsets.get(key, ()))
-                    subsets.setdefault(key, []).append(i)
-            for j in sorted(met):
-                if (cross is None or cross[i] != cross[j]) and not (guest[i] and guest[j]) and linked(len(np.intersect1d(s, sets[j])), len(s), sizes[j], percent):
-                    yield j, i
+    many = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    guest = np.zeros(many, bool) if guest is None else guest
+    owner = np.repeat(np.arange(many), sizes)
+    _, token, count = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    dense = 2 * count > many
+    place = np.cumsum(dense) - 1
+    without = np.ones((int(dense.sum()), many), bool)  # at most twice as many as there are elements
+    without[place[token[dense[token]]], owner[dense[token]]] = False
+    absent = np.nonzero(without)[1]
+    absent_count = many - count[dense]
+    absent_begin = np.cumsum(absent_count) - absent_count
+    lists, begin = owner[np.argsort(token, kind="stable")], np.cumsum(count) - count
+    limit = boundary(sizes, percent, float(np.minimum(count, many - count)[token].mean()) if len(token) else 0.0)
+    light = sizes <= limit
+    at = np.concatenate([[0], np.cumsum(sizes)])
+
+    subsets: dict[tuple[int, int], np.ndarray] = {}  # by a light set and how many elements it loses
+    for i in np.flatnonzero(light & (sizes > 0)):
+        h = mix64(sets[i])
+        for d in range(int(sizes[i]) - least_overlap(int(sizes[i]), percent) + 1):
+            subsets[int(i), d] = h.sum(dtype=np.uint64) - h[losses(len(h), d)].sum(axis=1, dtype=np.uint64)
+    keys = np.concatenate([np.empty(0, np.uint64), *subsets.values()])
+    holder = np.repeat(np.array([i for i, _ in subsets], np.int64), [len(x) for x in subsets.values()])
+    order = np.argsort(keys, kind="stable")
+    keys, holder = keys[order], holder[order]
+
+    before = np.arange(many)
     for i, s in enumerate(sets):
-        if sizes[i] <= limit:
-            continue
-        at = np.searchsorted(tokens, s)
-        shared = np.zeros(len(sets), np.int64)
-        for b, n in zip(begin[at], count[at]):
-            shared[lists[b : b + n]] += 1
-        ok = linked(shared, len(s), sizes, percent) & (shared > 0)
-        # heavy pairs are taken once, from the later one; heavy with light always from the heavy one
-        ok &= (np.arange(len(sets)) < i) | (sizes <= limit)
+        if light[i]:
+            shared = np.zeros(many, np.int64)
+            for d in range(len(s) - least_overlap(len(s), percent), -1, -1):  # larger subsets come last
+                if (i, d) in subsets:
+                    a, z = np.searchsorted(keys, subsets[i, d]), np.searchsorted(keys, subsets[i, d], "right")
+                    shared[tally(holder, a, z - a, many) > 0] = len(s) - d
+            ok = light & (before < i)
+        else:
+            t = token[at[i] : at[i + 1]]
+            most = dense[t]
+            shared = tally(lists, begin[t[~most]], count[t[~most]], many)
+            shared += int(most.sum()) - tally(absent, absent_begin[place[t[most]]], absent_count[place[t[most]]], many)
+            # heavy pairs are taken once, from the later one; heavy with light always from the heavy one
+            ok = (before < i) | light
+        ok = ok & (shared > 0) & linked(shared, len(s), sizes, percent)
         ok[i] = False
         if guest[i]:
             ok &= ~guest
         if cross is not None:
             ok &= cross != cross[i]
-        for j in np.flatnonzero(ok):
-            yield (int(j), i) if j < i else (i, int(j))
+        if ok.any():
+            yield i, np.flatnonzero(ok)
 
 
 def forest(sets: list[np.ndarray], ids: np.ndarray, cross: np.ndarray | None, percent: int, guest: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that keep all of the sets' components, and each set's number of links."""
-    root, kept, links = list(range(len(sets))), [], np.zeros(len(sets), np.int64)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in heavy_light(sets, cross, percent, guest):
-        links[i] += 1
-        links[j] += 1
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((int(ids[i]), int(ids[j])))
+    label, kept, links = np.arange(len(sets)), [], np.zeros(len(sets), np.int64)
+    for i, others in heavy_light(sets, cross, percent, guest):
+        links[i] += len(others)
+        links[others] += 1
+        other = others[label[others] != label[i]]
+        if len(other):
+            old, first = np.unique(label[other], return_index=True)
+            kept += [(int(ids[min(i, j)]), int(ids[max(i, j)])) for j in other[first]]
+            label[np.isin(label, old)] = label[i]
     return kept, links
 
 
