@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from wearstream.functions import scalars as S
 from wearstream.operators import aggregates as A
+from wearstream.operators import joins as J
+from wearstream.operators import profiles as P
 from wearstream.operators import windows as W
 from wearstream.sources.tables import alerts, samples, table, workers
 
@@ -216,6 +218,166 @@ def h02_union_distinct(spark, d):
     return samples(spark, d).select(F.col("worker").alias("k")).union(table(spark, d, "customer").select("c_custkey")).distinct()
 
 
+@query("SELECT s_suppkey, CASE WHEN s_acctbal / 50 BETWEEN -90 AND 90 AND s_nationkey * 10.0 BETWEEN -180 AND 180 THEN s_acctbal / 50 END lat FROM supplier")
+def b05_gps(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", S.gps(F.col("s_acctbal") / 50, F.col("s_nationkey") * 10.0)["lat"].alias("lat"))
+
+
+@query("SELECT user_id worker, round(10 * log10(avg(pow(10, value / 100))), 6) leq FROM events GROUP BY 1")
+def b09_leq(spark, d):
+    return samples(spark, d).groupBy("worker").agg(F.round(S.equivalent_level(F.col("value") / 10), 6).alias("leq"))
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL THEN 'MISSING' WHEN event_type = 'signup' THEN 'NO_CONTACT' WHEN NOT value BETWEEN 5 AND 200 THEN 'OUT_OF_RANGE' END AS problem FROM events")
+def b10_plausibility(spark, d):
+    return samples(spark, d).select("event_id", S.plausibility(F.col("value"), 5, 200, F.col("event_type") == "signup").alias("problem"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 AND l_discount = 0 THEN 0.0::DOUBLE WHEN l_tax <> 0 THEN floor((l_discount - l_tax) / abs(l_tax) * 100.0 * 10 + 0.5) / 10 END change FROM lineitem")
+def b15_percent_change(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.percent_change(F.col("l_discount"), F.col("l_tax")).alias("change"))
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name), 'r#0000001') OR contains(lower(c_mktsegment), 'hold')")
+def b17_search(spark, d):
+    rows = table(spark, d, "customer")
+    return rows.where(S.contains("R#0000001", F.col("c_name")) | S.contains("HOLD", F.col("c_mktsegment"))).select("c_custkey")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'EMERGENCY' WHEN value >= 30 THEN CASE WHEN value >= 60 THEN 'CRITICAL' ELSE 'WARNING' END WHEN event_type = 'signup' THEN 'UNCERTAIN' WHEN value IS NULL THEN 'UNKNOWN' ELSE 'SAFE' END AS state FROM events")
+def b21_operational_state(spark, d):
+    return samples(spark, d).select("event_id", S.operational_state(F.col("event_type") == "error", S.classified(F.col("value"), 30, 60), F.col("event_type") == "signup").alias("state"))
+
+
+@query("SELECT c_custkey worker_id, CASE WHEN m IS NOT NULL THEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(m) <= 86400000000 END online FROM customer LEFT JOIN (SELECT user_id, max(ts) m FROM events GROUP BY 1) ON user_id = c_custkey")
+def b23_online(spark, d):
+    seen = samples(spark, d).groupBy("worker").agg(F.max("ts").cast("timestamp").alias("seen"))
+    rows = workers(spark, d).join(seen, F.col("worker_id") == F.col("worker"), "left")
+    return rows.select("worker_id", S.online(F.col("seen"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz").cast("timestamp"), 86400).alias("online"))
+
+
+@query("SELECT event_id, CAST(ts + INTERVAL 330 MINUTE - CASE WHEN hour(ts + INTERVAL 330 MINUTE) < 4 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS DATE) workday FROM events")
+def b29_workday(spark, d):
+    return samples(spark, d).select("event_id", S.workday(S.site_time(F.col("ts")), 4).alias("workday"))
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(nullif(concat_ws(' + ', CASE WHEN l_tax > 0 THEN 'tax' END, CASE WHEN l_discount > 0 THEN 'discount' END), ''), '(none)') AS hazards FROM lineitem")
+def b30_signature(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.signature({"tax": F.col("l_tax"), "discount": F.col("l_discount")}).alias("hazards"))
+
+
+@query("SELECT o_orderkey, coalesce(c_name, CAST(o_custkey AS VARCHAR)) AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 10")
+def c01_names(spark, d):
+    some = table(spark, d, "customer").where("c_nationkey < 10").select("c_custkey", "c_name")
+    return table(spark, d, "orders").join(some, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.col("o_custkey").cast("string")).alias("name"))
+
+
+@query(f"WITH {ALERTS}, l AS (SELECT worker, arg_max(kind, (ts, event_id)) latest FROM a GROUP BY 1) SELECT coalesce(latest, 'UNKNOWN') state, count(*) workers FROM customer LEFT JOIN l ON worker = c_custkey GROUP BY 1")
+def c06_state_counts(spark, d):
+    return J.state_counts(workers(spark, d), c09_latest_state(spark, d))
+
+
+@query("SELECT user_id worker, CAST(ts AS DATE) AS day, min(event_id) event_id FROM events WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'click' AND s.user_id = events.user_id AND CAST(s.ts AS DATE) = CAST(events.ts AS DATE)) GROUP BY 1, 2")
+def c10_unseen(spark, d):
+    rows = samples(spark, d).withColumn("day", F.to_date("ts"))
+    pick = lambda kind: rows.where(F.col("event_type") == kind).select("worker", "day", "event_id")
+    return J.unseen(pick("view"), pick("click"), ["worker", "day"], "event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A' AND (round(l_quantity, 1), round(l_discount, 1), round(l_tax, 1)) IN (SELECT (round(l_quantity, 1), round(l_discount, 1), round(l_tax, 1)) FROM lineitem WHERE l_returnflag = 'R')")
+def c15_leaks(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    return J.leaks(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'"), ["l_quantity", "l_discount", "l_tax"], 1).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT user_id worker, max(ts) ts, arg_max(event_id, (ts, event_id)) event_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
+def c16_latest_wins(spark, d):
+    rows = samples(spark, d).select("worker", "ts", "event_id", "value", "event_type")
+    return J.latest_wins(rows.where("event_type = 'view'").drop("event_type"), rows.where("event_type = 'click'").drop("event_type"), "worker", ["ts", "event_id"])
+
+
+@query("SELECT user_id worker, max(abs(value - 30.0)) size FROM events WHERE value IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def d09_top_deviation(spark, d):
+    return samples(spark, d).where("value is not null").groupBy("worker").agg(F.max(F.abs(F.col("value") - 30.0)).alias("size")).orderBy(F.desc("size"), "worker").limit(10)
+
+
+@query("SELECT c_custkey worker_id, count(event_id) packets, least(100.0::DOUBLE, round(count(event_id) * 100.0::DOUBLE / 80, 1)) coverage FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1")
+def d11_reliability(spark, d):
+    return J.reliability(workers(spark, d), samples(spark, d), 80)
+
+
+@query("SELECT event_type, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, round(avg(value), 6) mean, count(value) n FROM events GROUP BY 1, 2")
+def d15_daily_averages(spark, d):
+    return samples(spark, d).groupBy("event_type", S.site_time(F.col("ts")).cast("date").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
+
+
+@query("SELECT count(*) n, count(DISTINCT user_id) AS keys, min(ts) from_ts, max(ts) to_ts, count(DISTINCT date_trunc('minute', ts)) AS minutes, count(*) FILTER (user_id IS NULL) null_worker, count(*) FILTER (ts IS NULL) null_ts, count(*) FILTER (value IS NULL) null_value FROM events")
+def d22_inventory(spark, d):
+    return P.inventory(samples(spark, d).select("worker", "ts", "value"), "worker", "ts")
+
+
+@query("SELECT round(avg(CASE WHEN quality = 0 THEN toxic END), 6) of_given, round(avg(CASE WHEN toxic = 1 THEN CAST(quality = 0 AS INT) END), 6) given_of FROM labels")
+def d29_conditional(spark, d):
+    return P.conditional_shares(table(spark, d, "labels"), F.col("quality") == 0, F.col("toxic") == 1)
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) qp, round(corr(l_quantity, l_tax), 6) qt FROM lineitem")
+def d30_correlation(spark, d):
+    return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("qp"), F.round(F.corr("l_quantity", "l_tax"), 6).alias("qt"))
+
+
+@query("SELECT event_type, count(value) n, round(avg(value), 6) mean, round(stddev_samp(value), 6) std, min(value) low, max(value) high, round(quantile_cont(value, 0.1), 6) p10, round(quantile_cont(value, 0.9), 6) p90 FROM events GROUP BY 1")
+def d31_describe(spark, d):
+    return P.describe(samples(spark, d), "event_type", "value", [0.1, 0.9])
+
+
+@query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') F, count(*) FILTER (l_linestatus = 'O') O FROM lineitem GROUP BY 1")
+def d32_crosstab(spark, d):
+    return P.crosstab(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
+
+
+@query("SELECT t.x threshold, round(count(*) FILTER (least(value / 100, 1) >= t.x) / count(*), 6) coverage, round(count(*) FILTER (least(value / 100, 1) >= t.x AND event_type = 'view') / nullif(count(*) FILTER (least(value / 100, 1) >= t.x), 0), 6) accuracy FROM events, (SELECT CAST(unnest([0.5, 0.7, 0.9]) AS DOUBLE) x) t GROUP BY 1")
+def d37_confidence(spark, d):
+    rows = samples(spark, d).withColumn("confidence", F.least(F.col("value") / 100, F.lit(1.0)))
+    return P.confidence_table(rows, "confidence", F.col("event_type") == "view", [0.5, 0.7, 0.9])
+
+
+@query("WITH g AS (SELECT value v, count(*) FILTER (event_type = 'view') p, count(*) FILTER (event_type <> 'view') q FROM events WHERE value IS NOT NULL GROUP BY 1), h AS (SELECT *, coalesce(sum(q) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM g) SELECT round(sum(p * (b + q / 2)) / (sum(p) * sum(q)), 6) auc FROM h")
+def d38_auc(spark, d):
+    return P.auc(samples(spark, d), "value", F.col("event_type") == "view")
+
+
+@query("WITH u AS (UNPIVOT (SELECT c_custkey k, c_acctbal bal, CAST(c_nationkey AS DOUBLE) nation FROM customer) ON bal, nation INTO NAME feature VALUE a), w AS (UNPIVOT (SELECT s_suppkey k, s_acctbal bal, CAST(s_nationkey AS DOUBLE) nation FROM supplier) ON bal, nation INTO NAME feature VALUE b) SELECT feature, count(*) n, count(*) FILTER (abs(a - b) <= 5) matching, round(max(abs(a - b)), 6) largest, 0::BIGINT one_null FROM u JOIN w USING (k, feature) GROUP BY 1")
+def d41_parity(spark, d):
+    pick = lambda name, p: table(spark, d, name).select(F.col(f"{p}key").alias("k"), F.col(f"{p[0]}_acctbal").alias("bal"), F.col(f"{p[0]}_nationkey").alias("nation"))
+    return J.parity(pick("customer", "c_cust"), pick("supplier", "s_supp"), "k", ["bal", "nation"], 5)
+
+
+@query(f"WITH {SAMPLES}, {LEVELS}, x AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY worker ORDER BY us, event_id) > 43200000000 THEN 1 ELSE 0 END f FROM s), y AS (SELECT *, CAST(sum(f) OVER (PARTITION BY worker ORDER BY us, event_id) AS BIGINT) AS session FROM x), z AS (SELECT *, min(us) OVER (PARTITION BY worker, session) t FROM y) SELECT worker, session, count(*) n, CASE WHEN count(*) >= 2 THEN quantile_cont(value, 0.5) END baseline FROM z WHERE us - t < 21600000000 AND value IS NOT NULL GROUP BY 1, 2")
+def e07_session_baseline(spark, d):
+    return W.session_baseline(W.sessions(_us(spark, d), 12 * HOUR), 6 * HOUR, 2)
+
+
+@query(f"WITH {SAMPLES}, x AS (SELECT *, CAST(us - lag(us) OVER o > 43200000000 AS INT) f, count(*) OVER (PARTITION BY worker ORDER BY us RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) received FROM s WINDOW o AS (PARTITION BY worker ORDER BY us, event_id)), y AS (SELECT *, sum(coalesce(f, 0)) OVER (PARTITION BY worker ORDER BY us, event_id) run FROM x) SELECT event_id, received, CAST(row_number() OVER (PARTITION BY worker, run ORDER BY us, event_id) AS INT) since_gap FROM y")
+def e10_receipts(spark, d):
+    return W.receipts(_us(spark, d), 12 * HOUR).select("event_id", "received", "since_gap")
+
+
+@query(f"WITH {SAMPLES}, x AS (SELECT *, value >= 30 act, lag(value >= 30) OVER o pa FROM s WINDOW o AS (PARTITION BY worker ORDER BY us, event_id)), y AS (SELECT *, CAST(sum(CASE WHEN act AND NOT coalesce(pa, false) THEN 1 ELSE 0 END) OVER (PARTITION BY worker ORDER BY us, event_id) AS BIGINT) episode FROM x) SELECT worker, episode, count(*) n FROM y WHERE act GROUP BY 1, 2")
+def e17_episodes(spark, d):
+    return W.episodes(_us(spark, d), F.col("value") >= 30)
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40")
+def g02_page(spark, d):
+    return P.page(samples(spark, d).select("event_id", "ts"), [F.desc("ts"), F.desc("event_id")], 3, 20)
+
+
+@query("SELECT c_custkey, c_acctbal, c_nationkey FROM customer WHERE c_acctbal >= (SELECT max(c_acctbal) FROM customer) - 50 - 1e-12 ORDER BY c_nationkey DESC, c_custkey LIMIT 1")
+def g04_selection(spark, d):
+    return P.picked(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey", "c_acctbal", ["c_nationkey"], 50.0)
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _found.items()}
 

@@ -59,3 +59,48 @@ def site_time(ts: Column) -> Column:
 
 def alert_kind(event_type: Column) -> Column:
     return F.when(event_type == "click", "WARNING").when(event_type == "purchase", "CRITICAL").when(event_type == "error", "EMERGENCY").when(event_type == "view", "SAFE").otherwise("DATA_QUALITY")
+
+
+def gps(lat: Column, lon: Column) -> Column:
+    """A position, or null outside the globe."""
+    return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
+def plausibility(x: Column, low: float, high: float, no_contact: Column | None = None) -> Column:
+    """MISSING, NO_CONTACT or OUT_OF_RANGE, whichever comes first; null for a good value."""
+    missing = F.when(x.isNull(), "MISSING")
+    return (missing if no_contact is None else missing.when(no_contact, "NO_CONTACT")).when(~x.between(low, high), "OUT_OF_RANGE")
+
+
+def equivalent_level(level: Column) -> Column:
+    """An aggregate: the steady level in dB with the same energy."""
+    return 10 * F.log10(F.avg(F.pow(F.lit(10.0), level / 10)))
+
+
+def operational_state(emergency: Column, state: Column, uncertain: Column) -> Column:
+    """EMERGENCY first; WARNING and CRITICAL outlast uncertainty; then UNCERTAIN, the state, UNKNOWN."""
+    return F.when(emergency, "EMERGENCY").when(state.isin("WARNING", "CRITICAL"), state).when(uncertain, "UNCERTAIN").otherwise(F.coalesce(state, F.lit("UNKNOWN")))
+
+
+def online(last_seen: Column, now: Column, seconds: int = 180) -> Column:
+    """Null where never seen."""
+    return F.when(last_seen.isNotNull(), F.unix_micros(now) - F.unix_micros(last_seen) <= seconds * 1_000_000)
+
+
+def workday(local: Column, boundary_hour: int) -> Column:
+    """The local date of a shift; hours before the boundary belong to the day before."""
+    return F.date_sub(local.cast("date"), (F.hour(local) < boundary_hour).cast("int"))
+
+
+def signature(counters: dict[str, Column], none: str = "(none)") -> Column:
+    """The names of the counters above zero, joined by a plus."""
+    text = F.concat_ws(" + ", *[F.when(c > 0, name) for name, c in counters.items()])
+    return F.when(text == "", none).otherwise(text)
+
+
+def contains(text: str, *columns: Column) -> Column:
+    """Whether any column has the text, in any case."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+    return found

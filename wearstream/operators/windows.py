@@ -82,3 +82,27 @@ def daily_dose(rows: DataFrame, day: Column, dose: Column) -> DataFrame:
     """Running sum of a dose within a worker's day."""
     w = Window.partitionBy("worker", "day").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("day", day).withColumn("dose", F.sum(dose).over(w))
+
+
+def receipts(rows: DataFrame, seconds: int) -> DataFrame:
+    """Samples received in the last seconds, and the samples since the last gap longer than that."""
+    w = Window.partitionBy("worker").orderBy("us", "event_id")
+    split = F.coalesce(F.col("us") - F.lag("us").over(w) > seconds * 1_000_000, F.lit(False))
+    cut = rows.withColumn("received", F.count("*").over(_frame(seconds))).withColumn("run", F.sum(split.cast("int")).over(w))
+    return cut.withColumn("since_gap", F.row_number().over(Window.partitionBy("worker", "run").orderBy("us", "event_id")))
+
+
+def episodes(rows: DataFrame, active: Column) -> DataFrame:
+    """Runs of rows for which active holds: worker, number of the run, rows."""
+    w = Window.partitionBy("worker").orderBy("us", "event_id")
+    marked = rows.withColumn("active", F.coalesce(active, F.lit(False)))
+    rise = F.col("active") & ~F.coalesce(F.lag("active").over(w), F.lit(False))
+    runs = marked.withColumn("rise", rise.cast("int")).withColumn("episode", F.sum("rise").over(w))
+    return runs.where("active").groupBy("worker", "episode").agg(F.count("*").alias("n"))
+
+
+def session_baseline(rows: DataFrame, seconds: int, least: int) -> DataFrame:
+    """Per session: the median of its values in the first seconds, null with fewer than least."""
+    start = F.min("us").over(Window.partitionBy("worker", "session"))
+    early = rows.withColumn("start", start).where((F.col("us") - F.col("start") < seconds * 1_000_000) & F.col("value").isNotNull())
+    return early.groupBy("worker", "session").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.percentile("value", 0.5)).alias("baseline"))
