@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import heapq
+import math
+import uuid
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wearstream.llm.common import checkpointed
+from wearstream.llm.common import checkpointed, shared_dir
 
 
 def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
@@ -28,60 +33,84 @@ def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
     return out
 
 
-def schedule(counts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """One period's (source, its block's number, slot), by earliest deadline first among the released.
+def turns(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, its block's number, slot) in order of slots, by earliest deadline first among the released.
 
-    Block i of a source with c of T slots is released at floor(i T / c) and due at ceil((i + 1) T / c). With the shares
-    summing up to T no deadline is missed, and at every slot each source is less than one block from its share.
+    With w the source's exact share of the weights, block i is released at floor(i / w) and due at ceil((i + 1) / w). The
+    shares sum up to 1, so no deadline is missed, and at every slot until its end each source is less than one block from
+    its share, however long the input is. Slots of ended sources that no other block is released for stay empty.
+    Holds one block of each source.
     """
-    slots = sum(counts.values())
-    coming = sorted((i * slots // c, -(-(i + 1) * slots // c), s, i) for s, c in counts.items() for i in range(c))
-    ready, out, at = [], [], 0
-    for slot in range(slots):
-        while at < len(coming) and coming[at][0] <= slot:
-            release, due, s, i = coming[at]
-            heapq.heappush(ready, (due, s, i))
-            at += 1
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    part = {s: int(x * unit) for s, x in exact.items()}
+    total, slot = sum(part.values()), 0
+    coming, ready = [(0, s, 0) for s in sorted(weights) if blocks[s]], []
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            _, s, i = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(i + 1) * total // part[s]), s, i))
         due, s, i = heapq.heappop(ready)
         if due < slot + 1:
             raise AssertionError("a deadline was missed")
-        out.append((s, i, slot))
-    return out
+        yield s, i, slot
+        if i + 1 < blocks[s]:  # not released before this slot, so nothing is late by coming after it
+            heapq.heappush(coming, ((i + 1) * total // part[s], s, i + 1))
+        slot += 1
+
+
+def schedule(counts: dict[str, int]) -> list[tuple[str, int, int]]:
+    """The turns of one period in which each source has a whole count of slots."""
+    return list(turns(counts, counts))
+
+
+def turns_table(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int], rows: int) -> DataFrame:
+    """All turns as a table (s, i, slot) in the shared folder; the driver holds that many rows of it at a time."""
+    path = f"{shared_dir(spark).rstrip('/')}/turns-{uuid.uuid4().hex}"
+    schema = pa.schema([("s", pa.string()), ("i", pa.int64()), ("slot", pa.int64())])
+    todo, first = turns(weights, blocks), True
+    while (some := list(islice(todo, rows))) or first:
+        columns = zip(*some) if some else [[]] * 3
+        table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        spark.createDataFrame(table, "s string, i long, slot long").coalesce(1).write.mode("append").parquet(path)
+        first = False
+    return spark.read.schema("s string, i long, slot long").parquet(path)
 
 
 def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None, block_rows: int = 64, slots: int = 1000, range_bits: int = 12) -> DataFrame:
     """The documents with mix_source, mix_block (of its source), mix_slot and mix_place (within the block); no row is lost.
 
-    Each source's rows in order of doc_id make blocks of block_rows; block b takes the slot of block b mod c of its
-    source's c in the period b // c. Sorting by mix_slot and mix_place gives the mixture. It holds until the first
-    source ends; later slots of ended sources stay empty. weights must be positive; None means the square roots of the
-    sources' row counts, and a source not named gets the least weight named. A null source is a source of its own,
-    named ''. Null doc_ids come first in their source; repeated ids each have a place (order among them is undefined); a
-    clash of names with the four columns is resolved for ours; an empty table gives no rows. Texts aren't looked at.
+    Each source's rows in order of doc_id make blocks of block_rows, which take the slots of `turns`: at each slot until
+    the first source ends, every source's blocks are less than one from its weight's share. Sorting by mix_slot and
+    mix_place gives the mixture. Later slots of ended sources may stay empty. weights must be positive; None means the
+    square roots of the sources' row counts, and a source not named gets the least weight named. A null source is a
+    source of its own, named ''. Null doc_ids come first in their source; repeated ids each have a place (order among
+    them is undefined); a clash of names with the four columns is resolved for ours; an empty table gives no rows. Texts
+    aren't looked at.
 
-    Numbers within a source come from counts by ranges of ids, so a source with most rows isn't gathered in a task.
-    The driver holds the sources' counts, of which there must be no more than slots.
+    Numbers within a source come from counts by ranges of ids, so a source with most rows isn't gathered in a task. The
+    driver holds the sources' counts and one block each, of any number of sources, and makes one row of the schedule per
+    block, of which it holds 256 * slots at a time.
     """
     ours = {"mix_source", "mix_block", "mix_slot", "mix_place", "_range", "_before"}
     rows = docs.drop(*ours).withColumn("mix_source", F.coalesce("source", F.lit(""))).withColumn("_range", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), range_bits), F.lit(-1 << 60)))
     ranges = checkpointed(rows.groupBy("mix_source", "_range").count())
     before = ranges.withColumn("_before", F.sum("count").over(Window.partitionBy("mix_source").orderBy("_range")) - F.col("count")).drop("count")
-    found = {r[0]: r[1] for r in ranges.groupBy("mix_source").agg(F.sum("count")).orderBy("mix_source").limit(slots + 1).collect()}
+    found = {r[0]: r[1] for r in ranges.groupBy("mix_source").agg(F.sum("count")).collect()}
     chosen = {s: n**0.5 for s, n in found.items()} if weights is None else {s: weights.get(s, min(weights.values(), default=1.0)) for s in found}
-    counts = shares(chosen, slots)
-    period = docs.sparkSession.createDataFrame([(s, i, slot, counts[s]) for s, i, slot in schedule(counts)], "s string, i long, slot long, c long")
-    share = docs.sparkSession.createDataFrame(list(counts.items()), "s string, c long")
+    schedule_rows = turns_table(docs.sparkSession, chosen, {s: -(-n // block_rows) for s, n in found.items()}, 256 * slots)
     in_range = Window.partitionBy("mix_source", "_range").orderBy("doc_id")
     numbered = (
         rows.join(before.select(F.col("mix_source").alias("_s"), F.col("_range").alias("_r"), "_before"), (F.col("mix_source") == F.col("_s")) & (F.col("_range") == F.col("_r")))
         .withColumn("_n", F.col("_before") + F.row_number().over(in_range) - 1).drop("_s", "_r", "_range", "_before")
         .withColumn("mix_block", F.floor(F.col("_n") / block_rows).cast("long")).withColumn("mix_place", F.pmod("_n", F.lit(block_rows)).cast("long")).drop("_n")
     )
-    # both tables have at most slots rows, a parameter
-    placed = numbered.join(F.broadcast(share.withColumnsRenamed({"s": "_s", "c": "_c"})), F.col("mix_source") == F.col("_s"))
-    turn = F.broadcast(period.select(F.col("s").alias("_ps"), F.col("i").alias("_i"), F.col("slot").alias("_slot")))
-    placed = placed.join(turn, (F.col("mix_source") == F.col("_ps")) & (F.pmod("mix_block", "_c") == F.col("_i")))
-    return placed.withColumn("mix_slot", (F.floor(F.col("mix_block") / F.col("_c")) * slots + F.col("_slot")).cast("long")).drop("_s", "_c", "_ps", "_i", "_slot")
+    turn = schedule_rows.select(F.col("s").alias("_s"), F.col("i").alias("_i"), F.col("slot").alias("mix_slot"))
+    return numbered.join(turn, (F.col("mix_source") == F.col("_s")) & (F.col("mix_block") == F.col("_i"))).drop("_s", "_i")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
