@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wearstream.llm.common import written
 from wearstream.llm.jaccard_join import keep_first
-from wearstream.llm.mixing import in_mixed_order
+from wearstream.llm.mixing import mix_sources
 from wearstream.llm.packing import pack_documents
 from wearstream.llm.quality_model import keep_good
 from wearstream.llm.substring_dedup import remove_repeats
@@ -32,13 +32,13 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture of their sources."""
-    return in_mixed_order(docs)
+    """All documents with their place in the mixture of their sources, mix_slot and mix_place, as files keep no order."""
+    return mix_sources(docs).drop("mix_source", "mix_block")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return pack_documents(docs)
+    """Pieces of token sequences, numbered along the mixture: tasks read ranges of its slots, and number by task."""
+    return pack_documents(docs.orderBy("mix_slot", "mix_place"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("mixture", mixture), ("packing", packed)]

@@ -111,9 +111,3 @@ def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None, blo
     )
     turn = schedule_rows.select(F.col("s").alias("_s"), F.col("i").alias("_i"), F.col("slot").alias("mix_slot"))
     return numbered.join(turn, (F.col("mix_source") == F.col("_s")) & (F.col("mix_block") == F.col("_i"))).drop("_s", "_i")
-
-
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The documents, with their own columns, sorted into the mixture."""
-    mixed = mix_sources(docs, **options)
-    return mixed.orderBy("mix_slot", "mix_place").select(*[F.col(f"`{c}`") for c in docs.columns])
