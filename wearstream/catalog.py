@@ -10,7 +10,7 @@ from wearstream.operators import joins as J
 from wearstream.operators import profiles as P
 from wearstream.operators import windows as W
 from wearstream.sources.tables import alerts, samples, table, workers
-from wearstream.streaming import runs, stateful
+from wearstream.streaming import stateful
 
 HOUR = 3600
 CHANNELS = {"l_quantity": (30, 45), "l_extendedprice": (30000, 50000), "l_discount": (0.05, 0.08), "l_tax": (0.04, 0.07)}
@@ -381,16 +381,16 @@ def g04_selection(spark, d):
 
 def f15_emergencies(spark, d):
     """No SQL: a state machine over the order of receipt; tested by hand cases."""
-    e = runs.table_stream(spark, d, "events")
+    e = table(spark, d, "events")
     action = F.when(F.col("event_type") == "error", "press").when(F.col("event_type") == "purchase", "request").when(F.col("event_type") == "click", "ack")
-    return runs.finished(stateful.emergencies(e.select(F.col("user_id").alias("worker"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), action.alias("action"))))
+    return stateful.emergencies(e.select(F.col("user_id").alias("worker"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), action.alias("action")))
 
 
 def f10_gate(spark, d):
     """No SQL: late samples, sessions and pauses between alerts are recursive; tested by hand cases."""
-    e = runs.table_stream(spark, d, "events")
+    e = table(spark, d, "events")
     rows = e.select(F.col("user_id").alias("worker"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.unix_date(S.site_time(F.col("ts")).cast("date")).cast("long").alias("workday"), "value")
-    return runs.finished(stateful.gate(rows, stateful.Limits(session_gap=24 * HOUR, refill_gap=8 * HOUR, cold_warmup=HOUR, least_samples=2, alert_after=HOUR)))
+    return stateful.gate(rows, stateful.Limits(session_gap=24 * HOUR, refill_gap=8 * HOUR, cold_warmup=HOUR, least_samples=2, alert_after=HOUR))
 
 
 def queries() -> dict:

@@ -1,4 +1,4 @@
-"""Running a stream over a table's files and keeping its rows in the shared folder."""
+"""Running a stream over what is there and keeping its rows in the shared folder."""
 
 from __future__ import annotations
 
@@ -13,12 +13,6 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wearstream-")).rstrip("/")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream, whether it is one file or a folder."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(path + "*")
-
-
 def finished(stream: DataFrame) -> DataFrame:
     """All rows of a stream over what is there now, written as Parquet; the run resumes from its checkpoint."""
     spark = stream.sparkSession

@@ -1,16 +1,21 @@
 """Keyed state per worker: emergencies, and the gate that decides which samples may be classified.
 
-Both take rows in the order of `seq` (the order of receipt), which a trigger's rows of a worker are sorted by; nothing is
-dropped for being late. State is a few numbers per worker. A trigger's size bounds what one worker's task holds.
+Both take rows in the order of `seq` (the order of receipt); nothing is dropped for being late. State is a few numbers per
+worker. A table is replayed in the order of all its rows, whatever its files: a worker's rows are sorted by Spark and read
+batch by batch, so a task holds one batch. In a stream, triggers are taken as they come and a trigger's rows of a worker
+are sorted, so a trigger's size bounds what a worker's task holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EMERGENCY_OUT = "worker long, seq long, us long, phase string, outcome string"
@@ -21,6 +26,39 @@ OUT_OF_ORDER, COLD_START, FEW_SAMPLES, REFILL, NO_VALUE = "OUT_OF_ORDER_TIMESTAM
 WARMING = {COLD_START, FEW_SAMPLES}
 
 
+def folded(rows: DataFrame, columns: list[str], out: str, state: str, start: tuple, step: Callable[[dict, tuple], tuple]) -> DataFrame:
+    """step(state, row) of each row of a worker in order of seq, with the state that the row before left.
+
+    Equal seqs are taken in order of the other columns in a table, in order of arrival in a stream.
+    """
+    names, given = [c.split()[0] for c in state.split(", ")], rows.select("worker", *columns)
+    schema = to_arrow_schema(StructType.fromDDL(out))
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(zip(*found) if found else [[]] * len(schema), schema)], schema=schema)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, s = (), {}
+        for batch in batches:
+            found = []
+            for worker, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (worker,) != now:
+                    now, s = (worker,), dict(zip(names, start))
+                found.append((worker, *step(s, row)))
+            yield table(found)
+
+    def trigger(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        s = dict(zip(names, held.get if held.exists else start))
+        frame = pd.concat(frames).sort_values("seq", kind="stable")
+        found = [(key[0], *step(s, row)) for row in zip(*(frame[c] for c in columns))]
+        held.update(tuple(s[n] for n in names))
+        yield table(found).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+    if given.isStreaming:
+        return given.groupBy("worker").applyInPandasWithState(trigger, out, state, "append", GroupStateTimeout.NoTimeout)
+    return given.repartition("worker").sortWithinPartitions("worker", *columns).mapInArrow(replay, out)
+
+
 def emergencies(actions: DataFrame) -> DataFrame:
     """Each action (worker, seq, us, action) with the phase after it and its outcome.
 
@@ -38,17 +76,12 @@ def emergencies(actions: DataFrame) -> DataFrame:
             return ("inactive", "resolved") if phase == "reset_requested" else (phase, "stale")
         return phase, "ignored"
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        phase = state.get[0] if state.exists else "inactive"
-        rows = pd.concat(frames).sort_values("seq", kind="stable")
-        out = []
-        for seq, us, action in zip(rows.seq, rows.us, rows.action):
-            phase, outcome = step(phase, action)
-            out.append((key[0], seq, us, phase, outcome))
-        state.update((phase,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EMERGENCY_OUT.split(", ")])
+    def row(s: dict, row: tuple) -> tuple:
+        seq, us, action = row
+        s["phase"], outcome = step(s["phase"], action)
+        return seq, us, s["phase"], outcome
 
-    return actions.select("worker", "seq", "us", "action").groupBy("worker").applyInPandasWithState(run, EMERGENCY_OUT, "phase string", "append", GroupStateTimeout.NoTimeout)
+    return folded(actions, ["seq", "us", "action"], EMERGENCY_OUT, "phase string", ("inactive",), row)
 
 
 @dataclass(frozen=True)
@@ -76,24 +109,17 @@ def gate(samples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     other than warming up have lasted alert_after, and alert_pause after the worker's last one.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in STATE.split(", ")]
-        s = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names) | {"session": 0, "alerted": False}
-        rows = pd.concat(frames).sort_values("seq", kind="stable")
-        out = []
-        for seq, us, day, value in zip(rows.seq, rows.us, rows.workday, rows.value):
-            us, day = int(us), int(day)
-            if s["last"] is not None and us <= s["last"]:
-                session, reason = None, OUT_OF_ORDER
-            else:
-                session, reason = _admitted(s, us, day, None if pd.isna(value) else float(value), limits)
-            out.append((key[0], seq, us, session, "UNCERTAIN" if reason else "READY", reason, _alert(s, us, reason, limits)))
-        state.update(tuple(s[n] for n in names))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in GATE_OUT.split(", ")])
-        frame["session"] = frame["session"].astype("Int64")
-        yield frame
-
-    return samples.select("worker", "seq", "us", "workday", "value").groupBy("worker").applyInPandasWithState(run, GATE_OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def row(s: dict, row: tuple) -> tuple:
+        seq, us, day, value = row
+        us, day = int(us), int(day)
+        if s["last"] is not None and us <= s["last"]:
+            session, reason = None, OUT_OF_ORDER
+        else:
+            session, reason = _admitted(s, us, day, None if pd.isna(value) else float(value), limits)
+        return seq, us, session, "UNCERTAIN" if reason else "READY", reason, _alert(s, us, reason, limits)
+
+    start = {"session": 0, "alerted": False}
+    return folded(samples, ["seq", "us", "workday", "value"], GATE_OUT, STATE, tuple(start.get(c.split()[0]) for c in STATE.split(", ")), row)
 
 
 def _admitted(s: dict, us: int, day: int, value: float | None, limits: Limits) -> tuple[int, str | None]:
