@@ -64,8 +64,9 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, piece_tokens: int =
     is cut into pieces of at most piece_tokens. As a task reads its documents, each group of about group_windows
     windows of pieces is packed at once, so memory is bounded and nothing is shuffled; a task that runs again gives
     the same rows. sequence_id is the task's number and a count within it, so over rows sorted into ranges it follows
-    their order up to one group. Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null text is empty: its one piece is the end id. Repeated
-    rows and ids are packed each; a null doc_id is kept; an empty table gives no rows; other columns aren't read.
+    their order up to one group. Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
+    offset. A null text is empty: its one piece is the end id. Repeated rows and ids are packed each; a null doc_id is
+    kept; an empty table gives no rows; other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

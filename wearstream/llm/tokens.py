@@ -1,7 +1,8 @@
 """Byte-level BPE ids, and edit-aware token counts.
 
-The ids are those of ``byte_bpe_50k.json`` under the ``tokenizers`` library; the encoder is ``tiktoken`` over the same
-vocabulary's rank file, as it is several times faster (tests compare the two).
+The ids are those of ``byte_bpe_50k.json`` under the ``tokenizers`` library with its defaults, so the added token is
+found inside texts; the encoder is ``tiktoken`` over the same vocabulary's rank file, as it is several times faster (tests
+compare the two).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,9 @@ from wearstream.llm.common import small_batches
 #: Fixed value: the vocabulary's split pattern, in the form without backtracking.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+#: Fixed value: the vocabulary's added tokens, which the rank file lacks. They hold no white space.
+ADDED = {"<|endoftext|>": 50256}
+
 
 def default_ranks() -> str:
     import public_tokenizers
@@ -27,14 +32,15 @@ def default_ranks() -> str:
 
 
 class Encoder:
-    """Ids of texts; special tokens' strings are ordinary text. Each task makes one."""
+    """Ids of texts; an added token's string is that token. Each task makes one."""
 
     def __init__(self, ranks_path: str | None = None):
         import tiktoken
 
         with open(ranks_path or default_ranks(), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("byte_bpe_50k", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        plain = tiktoken.Encoding("byte_bpe_50k", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=ADDED)
+        self.encode = partial(plain.encode, allowed_special=set(ADDED), disallowed_special=())
 
     def ids_bytes(self, text: str, end_id: int) -> bytes:
         """The ids and then end_id, as little-endian unsigned 32-bit integers."""
@@ -46,7 +52,8 @@ class Encoder:
         return len(self.encode(text))
 
 
-#: A space before a letter always begins a pre-token, and what stands on either side of it is encoded independently.
+#: A space before a letter always begins a pre-token, and what stands on either side of it is encoded independently. An
+#: added token has no space, so no cut divides one, nor can an edit make one across a cut that stays.
 CUT = re.compile(" (?=[A-Za-z])")
 
 
