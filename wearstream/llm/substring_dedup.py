@@ -1,8 +1,9 @@
 """Removal of repeated passages: suffixes in prefix partitions, in which nodes of a given depth are repeats.
 
 Every window of k words is a suffix's first k words. The suffixes are dealt out by a prefix: the least-hashed gram among
-a window's grams, so that equal windows meet, neighbouring windows stay together in one row, and each group fits in
-memory. In a group the sorted windows' equal runs are the subtree's nodes at depth k.
+a window's grams, so that equal windows meet and neighbouring windows stay together in one row. In a group the sorted
+windows' equal runs are the subtree's nodes at depth k. A group that is too large for memory is dealt out again by the
+whole window, its prefix at full length.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearstream.llm.common import NOT_SPACE, small_batches, window_hashes, word_hashes, word_spans
+from wearstream.llm.common import NOT_SPACE, small_batches, window_hashes, word_hashes, word_spans, written
 
 GRAM = 4
 
+#: What groups give.
+MARK = ["id", "text_key", "start", "bits", "windows"]
+
 
 def windows_of(text: str | None, k: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """A text's bytes, its words' starts and ends, and their hashes."""
@@ -96,14 +100,86 @@ def repeats(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, windows: np.nd
     return owner > first[inverse]
 
 
-def remove_repeats(docs: DataFrame, *, k: int = 13, one_in: int = 16, least: int = 8, most: int = 1 << 16) -> DataFrame:
+def _repeated(table: pa.Table) -> pa.RecordBatch | None:
+    """The marks of whole groups."""
+    keys = table.column("key").to_numpy()
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    group = np.cumsum(new) - 1
+    several = np.bincount(group)[group] > 1
+    table = table.filter(pa.array(several))
+    if not table.num_rows:
+        return None
+    raw = table.column("windows").to_pylist()
+    sizes = np.array([len(x) // 8 for x in raw])
+    ids = table.column("id").to_numpy()
+    gone = repeats(table.column("key").to_numpy(), ids, sizes, np.frombuffer(b"".join(raw), np.uint64))
+    at = np.r_[0, np.cumsum(sizes)[:-1]]
+    place = np.arange(len(gone)) - np.repeat(at, sizes)
+    bits = np.add.reduceat(np.where(gone, np.int64(1) << place, 0), at)
+    yes = bits > 0
+    columns = [pa.array(ids[yes]), pa.array(table.column("text_key").to_numpy()[yes]), pa.array(table.column("start").to_numpy()[yes]), pa.array(bits[yes]), pa.nulls(int(yes.sum()), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=MARK)
+
+
+def subtrees(batches: Iterator[pa.RecordBatch], group_rows: int) -> Iterator[pa.RecordBatch]:
+    """Marks of repeated windows from rows sorted by key; a group of more than group_rows rows comes out undecided.
+
+    Undecided rows have no bits but their windows. No more than group_rows rows and one batch are held.
+    """
+
+    def undecided(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in table.to_batches():
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), b.column("start"), pa.nulls(b.num_rows, pa.int64()), b.column("windows")], names=MARK)
+
+    held, large = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if large is not None:
+            rest = int(np.searchsorted(table.column("key").to_numpy(), large, "right"))
+            yield from undecided(table.slice(0, rest))
+            table = table.slice(rest)
+            if not table.num_rows:
+                continue
+            large = None
+        table = table if held is None else pa.concat_tables([held, table])
+        keys = table.column("key").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        held = table.slice(cut).combine_chunks()
+        if held.num_rows > group_rows:
+            yield from undecided(held)
+            held, large = None, keys[-1]
+        if cut and (out := _repeated(table.slice(0, cut))) is not None:
+            yield out
+    if held is not None and (out := _repeated(held)) is not None:
+        yield out
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """The marks of undecided rows: groups by whole window, whose smallest ids are aggregated before the exchange."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(3).to_pylist()
+            sizes = np.array([len(x) // 8 for x in raw], np.int64)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ids, text_key, start = (np.repeat(batch.column(c).to_numpy(), sizes) for c in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(raw), np.int64), ids, text_key, start + place)], names=["window", "id", "text_key", "start"])
+
+    each = rows.select("id", "text_key", "start", "windows").mapInArrow(single, "window long, id long, text_key long, start long")
+    first = each.groupBy(F.col("window").alias("_window")).agg(F.min("id").alias("_first"), F.max("id").alias("_last")).where("_first < _last")
+    return each.join(first, (F.col("window") == F.col("_window")) & (F.col("id") > F.col("_first"))).select("id", "text_key", "start", F.lit(1).cast("long").alias("bits"))
+
+
+def remove_repeats(docs: DataFrame, *, k: int = 13, one_in: int = 16, least: int = 8, most: int = 1 << 16, group_rows: int = 1 << 18) -> DataFrame:
     """Every document with its repeated words taken out: a column row (all input columns), n_words, n_removed, kept_text.
 
     A word goes if a window of k words that covers it also starts in a document with a smaller doc_id. kept_text is
     the kept words joined by one space. A null or wordless text has no words and the empty kept_text; rows with a null
     doc_id keep all words and remove none of others; rows that share a doc_id never remove each other's words; a text
-    shorter than k words loses none; an empty table gives no rows. Texts are whole. Memory: the windows of one group
-    of suffixes and one batch.
+    shorter than k words loses none; an empty table gives no rows. Texts are whole. Memory: group_rows rows of suffixes
+    and one batch, whatever the skew.
     """
     texts = docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as long) doc_id", "text")
     hot, hot_first = frequent_windows(texts, k, one_in, least, most)
@@ -124,43 +200,13 @@ def remove_repeats(docs: DataFrame, *, k: int = 13, one_in: int = 16, least: int
                     names=["key", "id", "text_key", "start", "windows"],
                 )
 
-    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(table: pa.Table) -> pa.RecordBatch | None:
-            keys = table.column("key").to_numpy()
-            new = np.r_[True, keys[1:] != keys[:-1]]
-            group = np.cumsum(new) - 1
-            several = np.bincount(group)[group] > 1
-            table = table.filter(pa.array(several))
-            if not table.num_rows:
-                return None
-            raw = table.column("windows").to_pylist()
-            sizes = np.array([len(x) // 8 for x in raw])
-            ids = table.column("id").to_numpy()
-            gone = repeats(table.column("key").to_numpy(), ids, sizes, np.frombuffer(b"".join(raw), np.uint64))
-            at = np.r_[0, np.cumsum(sizes)[:-1]]
-            place = np.arange(len(gone)) - np.repeat(at, sizes)
-            bits = np.add.reduceat(np.where(gone, np.int64(1) << place, 0), at)
-            yes = bits > 0
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids[yes]), pa.array(table.column("text_key").to_numpy()[yes]), pa.array(table.column("start").to_numpy()[yes]), pa.array(bits[yes])], names=["id", "text_key", "start", "bits"]
-            )
-
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = table.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            held = table.slice(cut).combine_chunks()
-            if cut and (out := found(table.slice(0, cut))) is not None:
-                yield out
-        if held is not None and (out := found(held)) is not None:
-            yield out
-
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     runs = keyed.mapInArrow(suffixes, "key long, id long, text_key long, start long, windows binary").repartition("key").sortWithinPartitions("key", "id", "start")
-    marks = runs.mapInArrow(subtrees, "id long, text_key long, start long, bits long").groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
+    found = written(runs.mapInArrow(lambda batches: subtrees(batches, group_rows), "id long, text_key long, start long, bits long, windows binary"), "marks")
+    single, large = found.where("bits is not null").drop("windows"), found.where("bits is null")
+    if not large.isEmpty():
+        single = single.unionByName(decided(large))
+    marks = single.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 256):
