@@ -7,6 +7,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,10 +86,11 @@ def fingerprint_documents(docs: DataFrame, *, k: int = 5, tuples: int = 40, leng
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, edges = TaskContext.get().partitionId(), None, []
         edge = lambda i, text, end: dict.fromkeys((f.split()[0] for f in wide.split(", "))) | {"doc_id": i, "part": part, "end": end, "text": text}
-        for batch in small_batches(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in small_batches(batches, 128):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
+                text = unpack(text).decode("utf-8")
                 mark = sketch(text, k=k, tuples=tuples, length=length)
                 if held is None:
                     edges.append(edge(doc_id, text, "first"))
@@ -99,8 +101,15 @@ def fingerprint_documents(docs: DataFrame, *, k: int = 5, tuples: int = 40, leng
         if held is not None:
             yield batch_of([*edges, edge(held[0], held[1], "last")], wide)
 
-    ranges = docs.selectExpr("cast(doc_id as long) doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    dealt = ranges.repartitionByRange(F.col("doc_id").desc_nulls_last(), F.col("tie")).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "tie").select("doc_id", "text")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in small_batches(batches):
+            texts = [pack((t or "").encode("utf-8", "replace")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["doc_id", "tie", "packed"])
+
+    # texts are exchanged and sorted compressed, which halves what executors hold
+    ranges = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) tie", "text").mapInArrow(packed, "doc_id long, tie long, packed binary")
+    dealt = ranges.repartitionByRange(F.col("doc_id").desc_nulls_last(), F.col("tie")).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "tie").select("doc_id", "packed")
     found = written(dealt.mapInArrow(neighbours, wide), "fingerprints")
     # two rows for each task: its numbers pass through one window, its texts don't
     lasts = found.where("end = 'last'").select("part", "doc_id", "text")
