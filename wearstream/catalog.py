@@ -9,28 +9,19 @@ from wearstream.operators import aggregates as A
 from wearstream.operators import joins as J
 from wearstream.operators import profiles as P
 from wearstream.operators import windows as W
-from wearstream.sources.tables import alerts, samples, table, workers
+from wearstream.plans import registry
+from wearstream.plans.registry import query
+from wearstream.sources.tables import ALERTS_SQL, CHANNELS, KIND_SQL, alerts, samples, table, workers
 from wearstream.streaming import stateful
 
 HOUR = 3600
-CHANNELS = {"l_quantity": (30, 45), "l_extendedprice": (30000, 50000), "l_discount": (0.05, 0.08), "l_tax": (0.04, 0.07)}
-KIND = "CASE event_type WHEN 'click' THEN 'WARNING' WHEN 'purchase' THEN 'CRITICAL' WHEN 'error' THEN 'EMERGENCY' WHEN 'view' THEN 'SAFE' ELSE 'DATA_QUALITY' END"
-ALERTS = f"a AS (SELECT event_id, user_id worker, ts, {KIND} kind FROM events)"
+KIND, ALERTS = KIND_SQL, ALERTS_SQL
 SAMPLES = "s AS (SELECT event_id, user_id worker, epoch_us(ts) us, ts, value, event_type FROM events)"
 LEVELS = "v AS (SELECT *, CASE WHEN value >= 60 THEN 2 WHEN value >= 30 THEN 1 ELSE 0 END AS level FROM s)"
 TREND = "count(*) FILTER (kind = 'WARNING') warnings, count(*) FILTER (kind = 'CRITICAL') criticals"
 VOTES = """m AS (SELECT *, CASE WHEN c2 >= c1 AND c2 >= c0 THEN 2 WHEN c1 >= c0 THEN 1 ELSE 0 END smoothed FROM (
   SELECT *, count(*) FILTER (level = 0) OVER w c0, count(*) FILTER (level = 1) OVER w c1, count(*) FILTER (level = 2) OVER w c2 FROM v
   WINDOW w AS (PARTITION BY worker ORDER BY us, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))"""
-_found: dict[str, tuple] = {}
-
-
-def query(sql: str):
-    def put(f):
-        _found[f.__name__] = (f, sql)
-        return f
-
-    return put
 
 
 def _us(spark, d):
@@ -394,8 +385,11 @@ def f10_gate(spark, d):
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in _found.items()} | {f.__name__: f for f in (f10_gate, f15_emergencies)}
+    return {name: f for name, (f, _) in registry.found.items()} | {f.__name__: f for f in (f10_gate, f15_emergencies)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _found.items()}
+    return {name: sql for name, (_, sql) in registry.found.items() if sql is not None}
+
+
+from wearstream.plans import periods  # noqa: E402, F401  (their queries register themselves)

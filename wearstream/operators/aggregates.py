@@ -64,6 +64,12 @@ def response_times(rows: DataFrame) -> DataFrame:
     )
 
 
+def longest_streaks(rows: DataFrame, counter: str, *, top: int) -> DataFrame:
+    """The workers whose counter came furthest, above 0; ties by id. The counter runs, so its maximum counts, never its sum."""
+    best = rows.groupBy("worker").agg(F.max(counter).alias("longest")).where("longest > 0")
+    return best.orderBy(F.desc("longest"), "worker").limit(top)
+
+
 def risky_hours(alerts: DataFrame, *, top: int) -> DataFrame:
     """Local hours with most criticals, then warnings; ties by hour."""
     return risk_trend(alerts, by="hour").where("warnings + criticals > 0").orderBy(F.desc("criticals"), F.desc("warnings"), "bucket").limit(top)

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from wearstream.functions.scalars import alert_kind
 
+#: Channels of the line items with their warning and critical limits.
+CHANNELS = {"l_quantity": (30, 45), "l_extendedprice": (30000, 50000), "l_discount": (0.05, 0.08), "l_tax": (0.04, 0.07)}
+KIND_SQL = "CASE event_type WHEN 'click' THEN 'WARNING' WHEN 'purchase' THEN 'CRITICAL' WHEN 'error' THEN 'EMERGENCY' WHEN 'view' THEN 'SAFE' ELSE 'DATA_QUALITY' END"
+ALERTS_SQL = f"a AS (SELECT event_id, user_id worker, ts, {KIND_SQL} kind FROM events)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
