@@ -200,11 +200,6 @@ def c09_latest_state(spark, d):
     return alerts(spark, d).groupBy("worker").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("latest"), F.max("ts").alias("seen"))
 
 
-@query("SELECT user_id worker, min(event_id) event_id, event_type FROM events GROUP BY user_id, event_type")
-def h04_dedupe_priority(spark, d):
-    return samples(spark, d).groupBy("worker", "event_type").agg(F.min("event_id").alias("event_id"))
-
-
 @query("SELECT DISTINCT k FROM (SELECT user_id k FROM events UNION ALL SELECT c_custkey FROM customer)")
 def h02_union_distinct(spark, d):
     return samples(spark, d).select(F.col("worker").alias("k")).union(table(spark, d, "customer").select("c_custkey")).distinct()
@@ -392,4 +387,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in registry.found.items() if sql is not None}
 
 
-from wearstream.plans import periods  # noqa: E402, F401  (their queries register themselves)
+from wearstream.plans import periods, records  # noqa: E402, F401  (their queries register themselves)

@@ -13,6 +13,14 @@ def latest_wins(snapshot: DataFrame, live: DataFrame, key: str, order: list[str]
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(key, "row.*")
 
 
+def concatenated(tables: list[DataFrame]) -> DataFrame:
+    """All rows of the tables, by names; columns that a table lacks are null."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 def unseen(batch: DataFrame, stored: DataFrame, keys: list[str], first: str) -> DataFrame:
     """The batch's rows whose keys aren't stored, of each key the one with the smallest first; null keys stay as one."""
     rest = [c for c in batch.columns if c not in keys]
