@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,6 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_VALUES = odd_constants(256, 77)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -104,21 +104,33 @@ def word_spans(data: bytes, members: np.ndarray = NOT_SPACE) -> tuple[np.ndarray
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of a text's words: one polynomial over its bytes, of which each word's share is taken out."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _power_table(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[np.frombuffer(data, np.uint8)] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH3's 64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def hashed_words(text: str | None, lower: bool = False) -> np.ndarray:
-    """Hashes of the words between ASCII white space; A-Z lower-cased if asked."""
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """The words between ASCII white space, in UTF-8; A-Z lower-cased if asked."""
     data = (text or "").encode("utf-8", "replace")
-    data = data.translate(LOWER) if lower else data
-    return word_hashes(data, *word_spans(data))
+    return (data.translate(LOWER) if lower else data).split()
+
+
+def hashed_words(text: str | None, lower: bool = False) -> np.ndarray:
+    return word_hashes(words_of(text, lower))
+
+
+def marked_bits(ids: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """A bitmap of a column's hashes as a table (word, mask) of at most 2 ** (bits - 6) rows, so it can be broadcast at any size."""
+    place = F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1))
+    return ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))")).alias("mask"))
+
+
+def perhaps_in(rows: DataFrame, column: str, bitmap: DataFrame, name: str, bits: int = 24) -> DataFrame:
+    """rows with a boolean column name: false only for values that the bitmap's table doesn't hold; true for few others."""
+    place = F.shiftright(F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    held = F.broadcast(bitmap.select(F.col("word").alias(f"{name}_word"), F.col("mask").alias(f"{name}_mask")))
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))").bitwiseAND(F.col(f"{name}_mask"))
+    return rows.join(held, place == F.col(f"{name}_word"), "left").withColumn(name, F.coalesce(bit != 0, F.lit(False))).drop(f"{name}_word", f"{name}_mask")
 
 
 def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:

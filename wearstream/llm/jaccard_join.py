@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearstream.llm.common import components, hashed_words, mix64, odd_constants, small_batches, window_hashes, written
+from wearstream.llm.common import components, hashed_words, marked_bits, mix64, odd_constants, perhaps_in, small_batches, window_hashes, written
 
 #: Sizes from CLASS_RATIO ** c up to the next power are class c.
 CLASS_RATIO = 1.3
@@ -304,9 +304,10 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
     rows = written(vertices.join(blocks, "vertex").select("rep", "set_key", "block", "guest"), "blocks")
     # a block's sets are dealt into parts of about tile sets; every pair of parts is one task's group
     parts = rows.groupBy("block").agg(F.count("*").alias("count"), F.min("guest").alias("guests")).where("count > 1 and not guests").select("block", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
-    dealt = rows.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
-    # texts travel, as they are shorter than their sets
-    chosen = dealt.join(texts, F.col("rep") == F.col("doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = written(rows.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int")), "dealt")
+    # texts travel, as they are shorter than their sets; those of no such block are left out before the exchange, but for few
+    needed = perhaps_in(texts, "doc_id", written(marked_bits(dealt, "rep"), "block-ids"), "needed").where("needed").drop("needed")
+    chosen = dealt.hint("merge").join(needed, F.col("rep") == F.col("doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = chosen.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "guest", "rep", "set_key", "text")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
