@@ -94,13 +94,6 @@ def d08_deviation_stats(spark, d):
     return A.extreme_deviation(samples(spark, d).withColumn("deviation", F.col("value") - 30.0), least=50.0)
 
 
-@query("""SELECT count(*) n, count(x) answered, round(avg(x), 6) mean_days, quantile_cont(x, 0.5) median_days, round(avg(CASE WHEN u THEN x END), 6) urgent_mean_days FROM (
-  SELECT CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS DOUBLE) x, o_orderkey % 5 = 0 u FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)""")
-def d12_response(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate").join(table(spark, d, "lineitem").select("l_orderkey", "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return A.response_times(rows.select(F.datediff("l_shipdate", "o_orderdate").cast("double").alias("answer"), (F.col("o_orderkey") % 5 == 0).alias("urgent")))
-
-
 @query(f"WITH {ALERTS} SELECT CAST(hour(ts + INTERVAL 330 MINUTE) AS INT) bucket, {TREND} FROM a GROUP BY 1 HAVING count(*) FILTER (kind IN ('WARNING', 'CRITICAL')) > 0 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 5")
 def d13_hours(spark, d):
     return A.risky_hours(alerts(spark, d), top=5)
@@ -288,11 +281,6 @@ def d09_top_deviation(spark, d):
     return samples(spark, d).where("value is not null").groupBy("worker").agg(F.max(F.abs(F.col("value") - 30.0)).alias("size")).orderBy(F.desc("size"), "worker").limit(10)
 
 
-@query("SELECT c_custkey worker_id, count(event_id) packets, least(100.0::DOUBLE, round(count(event_id) * 100.0::DOUBLE / 80, 1)) coverage FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1")
-def d11_reliability(spark, d):
-    return J.reliability(workers(spark, d), samples(spark, d), 80)
-
-
 @query("SELECT event_type, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, round(avg(value), 6) mean, count(value) n FROM events GROUP BY 1, 2")
 def d15_daily_averages(spark, d):
     return samples(spark, d).groupBy("event_type", S.site_time(F.col("ts")).cast("date").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
@@ -334,6 +322,11 @@ def d38_auc(spark, d):
     return P.auc(samples(spark, d), "value", F.col("event_type") == "view")
 
 
+@query("""WITH t AS (SELECT quantile_cont(value, 0.2) threshold FROM events WHERE event_type = 'view') SELECT threshold, round(avg(CAST(event_type = 'view' AS INT)), 6) AS "precision" FROM events, t WHERE value >= threshold GROUP BY 1""")
+def d38_precision(spark, d):
+    return P.precision_at_recall(samples(spark, d), "value", F.col("event_type") == "view", 0.8)
+
+
 @query("WITH u AS (UNPIVOT (SELECT c_custkey k, c_acctbal bal, CAST(c_nationkey AS DOUBLE) nation FROM customer) ON bal, nation INTO NAME feature VALUE a), w AS (UNPIVOT (SELECT s_suppkey k, s_acctbal bal, CAST(s_nationkey AS DOUBLE) nation FROM supplier) ON bal, nation INTO NAME feature VALUE b) SELECT feature, count(*) n, count(*) FILTER (abs(a - b) <= 5) matching, round(max(abs(a - b)), 6) largest, 0::BIGINT one_null FROM u JOIN w USING (k, feature) GROUP BY 1")
 def d41_parity(spark, d):
     pick = lambda name, p: table(spark, d, name).select(F.col(f"{p}key").alias("k"), F.col(f"{p[0]}_acctbal").alias("bal"), F.col(f"{p[0]}_nationkey").alias("nation"))
@@ -387,4 +380,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in registry.found.items() if sql is not None}
 
 
-from wearstream.plans import periods, records  # noqa: E402, F401  (their queries register themselves)
+from wearstream.plans import periods, records, sites  # noqa: E402, F401  (their queries register themselves)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearstream.functions.scalars import STATES, half_up, severity, site_time
+from wearstream.operators.quantiles import quantiles
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:
@@ -56,14 +57,6 @@ def extreme_deviation(rows: DataFrame, *, least: float) -> DataFrame:
     )
 
 
-def response_times(rows: DataFrame) -> DataFrame:
-    """Alerts, share answered, mean and median days until the answer."""
-    return rows.agg(
-        F.count("*").alias("n"), F.count("answer").alias("answered"), F.round(F.avg("answer"), 6).alias("mean_days"), F.percentile("answer", 0.5).alias("median_days"),
-        F.round(F.avg(F.when(F.col("urgent"), F.col("answer"))), 6).alias("urgent_mean_days"),
-    )
-
-
 def longest_streaks(rows: DataFrame, counter: str, *, top: int) -> DataFrame:
     """The workers whose counter came furthest, above 0; ties by id. The counter runs, so its maximum counts, never its sum."""
     best = rows.groupBy("worker").agg(F.max(counter).alias("longest")).where("longest > 0")
@@ -83,8 +76,7 @@ def shares(rows: DataFrame, column: str) -> DataFrame:
 
 
 def group_quantiles(rows: DataFrame, key: str, column: str, at: list[float]) -> DataFrame:
-    q = F.percentile(column, F.array(*[F.lit(x) for x in at]))
-    return rows.groupBy(key).agg(q.alias("q")).select(key, *[F.round(F.col("q")[i], 6).alias(f"q{int(100 * x)}") for i, x in enumerate(at)])
+    return quantiles(rows, [key], column, at).select(key, *[F.round(F.col("q")[i], 6).alias(f"q{int(100 * x)}") for i, x in enumerate(at)])
 
 
 def mean_difference(rows: DataFrame, flag: Column, columns: list[str]) -> DataFrame:

@@ -40,13 +40,6 @@ def state_counts(workers: DataFrame, states: DataFrame) -> DataFrame:
     return joined.groupBy(F.coalesce("latest", F.lit("UNKNOWN")).alias("state")).agg(F.count("*").alias("workers"))
 
 
-def reliability(devices: DataFrame, packets: DataFrame, expected: int) -> DataFrame:
-    """Packets of each device and their share in percent of those expected, at most 100; 0 without packets."""
-    counts = packets.groupBy("worker").agg(F.count("*").alias("packets"))
-    share = F.least(F.lit(100.0), F.round(F.coalesce("packets", F.lit(0)) * 100.0 / expected, 1))
-    return devices.join(counts, devices.worker_id == counts.worker, "left").select("worker_id", F.coalesce("packets", F.lit(0)).alias("packets"), share.alias("coverage"))
-
-
 def parity(left: DataFrame, right: DataFrame, key: str, columns: list[str], tolerance: float) -> DataFrame:
     """For each column: rows compared and matching, largest difference, and rows where only one side is null."""
     a, b = (t.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([key], columns, "feature", v) for t, v in ((left, "a"), (right, "b")))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wearstream.operators.quantiles import quantiles, running
+
 
 def describe(rows: DataFrame, key: str, column: str, at: list[float]) -> DataFrame:
     """Count, mean, deviation, extremes and exact percentiles by group."""
-    return rows.groupBy(key).agg(
-        F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"), F.min(column).alias("low"), F.max(column).alias("high"),
-        *[F.round(F.percentile(column, q), 6).alias(f"p{int(100 * q)}") for q in at],
-    )
+    one = rows.groupBy(key).agg(F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"), F.min(column).alias("low"), F.max(column).alias("high"))
+    q = quantiles(rows, [key], column, at).select(F.col(key).alias("_key"), *[F.round(F.col("q")[i], 6).alias(f"p{int(100 * x)}") for i, x in enumerate(at)])
+    return one.join(q, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def inventory(rows: DataFrame, key: str, ts: str) -> DataFrame:
@@ -42,19 +43,18 @@ def confidence_table(rows: DataFrame, confidence: str, right: Column, thresholds
 
 
 def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Area under the ROC curve with ties at half.
-
-    Rows are counted by score first, then running counts are summed within each whole number of the score, and over
-    those: no window sees all rows. Scores in a narrow range need scaling first.
-    """
-    by = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    dealt = by.withColumn("piece", F.floor(score))
-    inner = Window.partitionBy("piece").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = dealt.groupBy("piece").agg(F.sum("q").alias("pq"))
-    pieces = pieces.withColumn("earlier", F.coalesce(F.sum("pq").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    below = F.coalesce(F.sum("q").over(inner), F.lit(0))
-    ranked = dealt.withColumn("below", below).join(pieces, "piece")
-    return ranked.agg(F.round(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("earlier") + F.col("q") / 2)), F.sum("p") * F.sum("q")), 6).alias("auc"))
+    """Area under the ROC curve with ties at half, from counts by score; no window sees all of them."""
+    by = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+    ranked = running(by, [], "score", "q")
+    return ranked.agg(F.round(F.try_divide(F.sum(F.col("p") * (F.col("_before") + F.col("q") / 2)), F.sum("p") * F.sum("q")), 6).alias("auc"))
+
+
+def precision_at_recall(rows: DataFrame, score: str, positive: Column, recall: float) -> DataFrame:
+    """The positives' score quantile that recalls a share of them, and the precision of all rows that reach it."""
+    scored = rows.where(F.col(score).isNotNull()).select(F.col(score).alias("score"), positive.alias("positive"))
+    threshold = quantiles(scored.where("positive"), [], "score", [round(1 - recall, 12)]).select(F.col("q")[0].alias("threshold"))
+    reached = scored.crossJoin(F.broadcast(threshold)).where("score >= threshold")
+    return reached.groupBy("threshold").agg(F.round(F.avg(F.col("positive").cast("int")), 6).alias("precision"))
 
 
 def picked(rows: DataFrame, key: str, score: str, then: list[str], band: float) -> DataFrame:

@@ -27,3 +27,17 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("worker_id"), F.col("c_name").alias("name"))
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workers with two baselines."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("worker_id"), F.col("c_acctbal").alias("heart"), F.col("c_nationkey").cast("double").alias("body"))
+
+
+def helmets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Helmets, two in three of which have a wearer, with whether they are active and when they were registered."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("helmet"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") * 20).alias("wearer"), (F.col("s_acctbal") > 0).alias("active"),
+        (start + F.make_dt_interval(hours=F.col("s_nationkey"))).alias("registered"),
+    )
