@@ -1,9 +1,10 @@
-"""Removal of repeated passages: suffixes in prefix partitions, in which nodes of a given depth are repeats.
+"""Removal of repeated passages by prefix-partitioned suffix subtrees.
 
-Every window of k words is a suffix's first k words. The suffixes are dealt out by a prefix: the least-hashed gram among
-a window's grams, so that equal windows meet and neighbouring windows stay together in one row. In a group the sorted
-windows' equal runs are the subtree's nodes at depth k. A group that is too large for memory is dealt out again by the
-whole window, its prefix at full length.
+Every word of a text begins a suffix, of which the first k words count. The suffixes are dealt to groups by prefixes of
+variable length: one word, lengthened word by word while a sample says that it begins more suffixes than a group may
+hold. Groups are bundled to buckets, and a task sorts one bucket at a time, in which its groups' subtrees are runs: a
+run of several suffixes that are equal to depth k is an internal node of that depth or deeper. All of its suffixes but
+those of the smallest doc_id are repeats, and neighbouring ones join to the document's maximal repeats.
 """
 
 from __future__ import annotations
@@ -15,233 +16,242 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearstream.llm.common import NOT_SPACE, small_batches, window_hashes, word_hashes, word_spans, written
+from wearstream.llm.common import marked_bits, mix64, perhaps_in, small_batches, window_hashes, word_hashes, word_spans, written
 
-GRAM = 4
+#: What a task packs at a time.
+PACKED_SUFFIXES = 1 << 20
 
-#: What groups give.
-MARK = ["id", "text_key", "start", "bits", "windows"]
 
+class Held:
+    """A sorted table of hashes, asked for many at once: most are ruled out by one bit each."""
 
-def windows_of(text: str | None, k: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """A text's bytes, its words' starts and ends, and their hashes."""
-    data = (text or "").encode("utf-8", "replace")
-    starts, ends = word_spans(data, NOT_SPACE)
-    return data, starts, ends, word_hashes(data, starts, ends)
+    def __init__(self, hashes: np.ndarray):
+        self.table = np.sort(hashes)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.table >> np.uint64(44)] = True
 
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes the table holds, by their places, and where it holds them."""
+        some = np.flatnonzero(self.bits[hashes >> np.uint64(44)])
+        if not len(some):
+            return some, some
+        at = np.minimum(np.searchsorted(self.table, hashes[some]), len(self.table) - 1)
+        yes = self.table[at] == hashes[some]
+        return some[yes], at[yes]
 
-def segments(words: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows not in skip whose least-hashed gram is the same: their keys, first windows, ends; and all windows' hashes."""
-    windows = window_hashes(words, k)
-    none = np.empty(0, np.int64)
-    if not len(windows):
-        return np.empty(0, np.uint64), none, none, windows
-    gram = min(GRAM, k)
-    grams = window_hashes(words, gram, seed=5)
-    place = np.lib.stride_tricks.sliding_window_view(grams, k - gram + 1).argmin(1) + np.arange(len(windows))
-    use = np.flatnonzero(~known(windows, skip)[0])
-    if not len(use):
-        return np.empty(0, np.uint64), none, none, windows
-    new = np.r_[True, (np.diff(use) > 1) | (np.diff(place[use]) != 0)]
-    first = use[new]
-    last = use[np.r_[np.flatnonzero(new)[1:] - 1, len(use) - 1]]
-    return grams[place[first]], first, last + 1, windows
 
+def hashes_of(text: str | None) -> np.ndarray:
+    return word_hashes((text or "").encode("utf-8", "replace").split())
 
-def known(windows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows a sorted table holds, and where."""
-    if not len(table):
-        return np.zeros(len(windows), bool), np.zeros(len(windows), np.int64)
-    at = np.minimum(np.searchsorted(table, windows), len(table) - 1)
-    return table[at] == windows, at
 
+def groups_of(words: np.ndarray, k: int, longer: Held) -> np.ndarray:
+    """The prefix of each suffix: the shortest that isn't among those to be lengthened; at most k words."""
+    n = len(words) - k + 1
+    out = window_hashes(words, 1)[:n]
+    for p in range(2, k + 1):
+        some, _ = longer.places(out)
+        if not len(some):
+            break
+        out = out.copy()
+        out[some] = window_hashes(words, p)[some]
+    return out
 
-def frequent_windows(texts: DataFrame, k: int, one_in: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to most windows that many texts hold, found on one text in one_in, and the smallest doc_id of each among all texts.
 
-    Only how a window is handled depends on this table, never the result: each task knows the first document of such a
-    window, so the rows of a passage that thousands of documents share are not brought together.
-    """
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 128):
-            found = [np.unique(window_hashes(windows_of(t, k)[3], k)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], names=["window"])
-
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
-    counts = sample.mapInArrow(distinct, "window long").groupBy("window").count().where(F.col("count") >= least)
-    hot = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "window").limit(most).select("window").collect()], np.int64).view(np.uint64))
-    if not len(hot):
-        return hot, np.empty(0, np.int64)
+def sampled(texts: DataFrame, k: int, one_in: int, group_suffixes: int, least: int, most: int) -> tuple[Held, Held, int]:
+    """From one text in one_in: the prefixes to be lengthened, the windows that many texts hold, and how many suffixes there are.
 
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = np.full(len(hot), np.iinfo(np.int64).max)
-        for batch in small_batches(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yes, at = known(window_hashes(windows_of(text, k)[3], k), hot)
-                first[at[yes]] = np.minimum(first[at[yes]], doc_id)
-        some = np.flatnonzero(first < np.iinfo(np.int64).max)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(first[some])], names=["place", "doc_id"])
-
-    rows = texts.mapInArrow(smallest, "place long, doc_id long").groupBy("place").agg(F.min("doc_id")).collect()
-    first = np.full(len(hot), np.iinfo(np.int64).max)
-    for place, doc_id in rows:
-        first[place] = doc_id
-    return hot, first
-
-
-def repeats(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """For rows sorted by key and id, each with some windows: which windows an earlier row of a smaller id holds."""
-    row = np.repeat(np.arange(len(ids)), sizes)
-    _, index, inverse = np.unique(windows, return_index=True, return_inverse=True)
-    owner = ids[row]
-    first = np.full(len(index), np.iinfo(np.int64).max)
-    np.minimum.at(first, inverse, owner)
-    return owner > first[inverse]
-
-
-def _repeated(table: pa.Table) -> pa.RecordBatch | None:
-    """The marks of whole groups."""
-    keys = table.column("key").to_numpy()
-    new = np.r_[True, keys[1:] != keys[:-1]]
-    group = np.cumsum(new) - 1
-    several = np.bincount(group)[group] > 1
-    table = table.filter(pa.array(several))
-    if not table.num_rows:
-        return None
-    raw = table.column("windows").to_pylist()
-    sizes = np.array([len(x) // 8 for x in raw])
-    ids = table.column("id").to_numpy()
-    gone = repeats(table.column("key").to_numpy(), ids, sizes, np.frombuffer(b"".join(raw), np.uint64))
-    at = np.r_[0, np.cumsum(sizes)[:-1]]
-    place = np.arange(len(gone)) - np.repeat(at, sizes)
-    bits = np.add.reduceat(np.where(gone, np.int64(1) << place, 0), at)
-    yes = bits > 0
-    columns = [pa.array(ids[yes]), pa.array(table.column("text_key").to_numpy()[yes]), pa.array(table.column("start").to_numpy()[yes]), pa.array(bits[yes]), pa.nulls(int(yes.sum()), pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=MARK)
-
-
-def subtrees(batches: Iterator[pa.RecordBatch], group_rows: int) -> Iterator[pa.RecordBatch]:
-    """Marks of repeated windows from rows sorted by key; a group of more than group_rows rows comes out undecided.
-
-    Undecided rows have no bits but their windows. No more than group_rows rows and one batch are held.
+    Only how a suffix is handled depends on them, never the result. Both tables have at most most entries.
     """
-
-    def undecided(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for b in table.to_batches():
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), b.column("start"), pa.nulls(b.num_rows, pa.int64()), b.column("windows")], names=MARK)
-
-    held, large = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if large is not None:
-            rest = int(np.searchsorted(table.column("key").to_numpy(), large, "right"))
-            yield from undecided(table.slice(0, rest))
-            table = table.slice(rest)
-            if not table.num_rows:
-                continue
-            large = None
-        table = table if held is None else pa.concat_tables([held, table])
-        keys = table.column("key").to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
-        held = table.slice(cut).combine_chunks()
-        if held.num_rows > group_rows:
-            yield from undecided(held)
-            held, large = None, keys[-1]
-        if cut and (out := _repeated(table.slice(0, cut))) is not None:
-            yield out
-    if held is not None and (out := _repeated(held)) is not None:
-        yield out
-
-
-def decided(rows: DataFrame) -> DataFrame:
-    """The marks of undecided rows: groups by whole window, whose smallest ids are aggregated before the exchange."""
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(3).to_pylist()
-            sizes = np.array([len(x) // 8 for x in raw], np.int64)
-            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            ids, text_key, start = (np.repeat(batch.column(c).to_numpy(), sizes) for c in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(raw), np.int64), ids, text_key, start + place)], names=["window", "id", "text_key", "start"])
-
-    each = rows.select("id", "text_key", "start", "windows").mapInArrow(single, "window long, id long, text_key long, start long")
-    first = each.groupBy(F.col("window").alias("_window")).agg(F.min("id").alias("_first"), F.max("id").alias("_last")).where("_first < _last")
-    return each.join(first, (F.col("window") == F.col("_window")) & (F.col("id") > F.col("_first"))).select("id", "text_key", "start", F.lit(1).cast("long").alias("bits"))
-
-
-def remove_repeats(docs: DataFrame, *, k: int = 13, one_in: int = 16, least: int = 8, most: int = 1 << 16, group_rows: int = 1 << 18) -> DataFrame:
-    """Every document with its repeated words taken out: a column row (all input columns), n_words, n_removed, kept_text.
+    local = max(2, group_suffixes // one_in // 64)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 512):
+            texts_words = [w for w in map(hashes_of, batch.column(1).to_pylist()) if len(w) >= k]
+            windows = [np.unique(window_hashes(w, k)) for w in texts_words]
+            out = [(0, *np.unique(np.concatenate(windows), return_counts=True))] if windows else []
+            todo = [np.ones(len(w) - k + 1, bool) for w in texts_words]
+            for p in range(1, k):  # a prefix's continuations count only where it is frequent itself
+                hashes = [window_hashes(w, p)[: len(t)] for w, t in zip(texts_words, todo)]
+                found, times = np.unique(np.concatenate([np.empty(0, np.uint64), *(h[t] for h, t in zip(hashes, todo))]), return_counts=True)
+                found, times = found[times >= local], times[times >= local]
+                if not len(found):
+                    break
+                out.append((1, found, times))
+                todo = [t & np.isin(h, found) for h, t in zip(hashes, todo)]
+            total = sum(len(w) - k + 1 for w in texts_words)
+            out.append((2, np.zeros(1, np.uint64), np.array([total])))
+            kind, found, times = (np.concatenate(x) for x in zip(*((np.full(len(h), i), h, n) for i, h, n in out)))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["kind", "hash", "times"])
+
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).mapInArrow(counts, "kind long, hash long, times long")
+    found = sample.groupBy("kind", "hash").agg(F.sum("times").alias("times")).where(f"kind = 2 or (kind = 0 and times >= {least}) or (kind = 1 and times > {group_suffixes // one_in})")
+    found = written(found, "suffix-sample")
+    pick = lambda kind: found.where(f"kind = {kind}").orderBy(F.desc("times"), "hash").limit(most).select("hash").collect()
+    table = lambda rows: Held(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    total = found.where("kind = 2").agg(F.sum("times")).first()[0] or 0
+    return table(pick(1)), table(pick(0)), total * one_in
+
+
+def packed_suffixes(hashes: np.ndarray, groups: np.ndarray, ids: np.ndarray, buckets: int, hot: Held) -> pa.RecordBatch:
+    """One row for each bucket: its suffixes' hashes, 8 bytes each, and the steps between their ids, 4 bytes where they fit.
+
+    Of a window that many texts hold only the smallest id goes.
+    """
+    bucket = (((mix64(groups) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    some, at = hot.places(hashes)
+    if len(some):
+        least = np.full(len(hot.table), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, ids[some])
+        which, first = np.unique(at, return_index=True)
+        rest = np.ones(len(hashes), bool)
+        rest[some] = False
+        hashes, ids, bucket = np.r_[hashes[rest], hot.table[which]], np.r_[ids[rest], least[which]], np.r_[bucket[rest], bucket[some[first]]]
+    order = np.lexsort((ids, bucket))
+    hashes, ids, bucket = hashes[order], ids[order], bucket[order]
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)]))
+    steps = [np.diff(ids[a:b], prepend=ids[a]) for a, b in spans]
+    narrow = [x.astype(np.uint32) if 0 <= x.min() and x.max() < 1 << 32 else x for x in steps]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[begin]), pa.array(ids[begin]), pa.array([hashes[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([x.tobytes() for x in narrow], pa.binary())],
+        names=["bucket", "base", "hashes", "steps"],
+    )
+
+
+HOT = -1
+
+
+def subtrees(bucket: pa.Table, hot: Held, parts: int) -> pa.Table:
+    """A bucket's nodes at depth k with suffixes of several ids: each larger id with its nodes' hashes, one row per part of ids.
+
+    Of hot nodes, in a part of their own, the smallest ids.
+    """
+    hashes, ids = [], []
+    for base, h, s in zip(bucket.column("base").to_pylist(), bucket.column("hashes").to_pylist(), bucket.column("steps").to_pylist()):
+        hashes.append(np.frombuffer(h, np.uint64))
+        ids.append(base + np.cumsum(np.frombuffer(s, np.uint32 if len(s) < len(h) else np.int64).astype(np.int64)))
+    hashes, ids = np.concatenate(hashes), np.concatenate(ids)
+    order = np.argsort(hashes)
+    hashes, ids = hashes[order], ids[order]
+    begin = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    size = np.diff(begin, append=len(hashes))
+    least = np.minimum.reduceat(ids, begin)
+    known = np.zeros(len(begin), bool)
+    known[hot.places(hashes[begin])[0]] = True
+    repeated = np.repeat((size > 1) & ~known, size)
+    repeated[repeated] = ids[repeated] > np.repeat(least, size)[repeated]
+    part = np.r_[np.full(known.sum(), HOT), (mix64(ids[repeated].view(np.uint64)) % np.uint64(parts)).astype(np.int64)]
+    ids, hashes = np.r_[least[known], ids[repeated]], np.r_[hashes[begin[known]], hashes[repeated]]
+    order = np.argsort(part, kind="stable")
+    part, ids, hashes = part[order], ids[order], hashes[order]
+    at = np.flatnonzero(np.diff(part, prepend=HOT - 1))
+    spans = list(zip(at.tolist(), [*at[1:].tolist(), len(part)]))
+    packed = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
+    return pa.table([pa.array(part[at]), packed(ids), packed(hashes)], names=["part", "ids", "hashes"])
+
+
+def by_id(part: pa.Table) -> pa.Table:
+    """One row for each id of a part, with all its hashes."""
+    ids, hashes = (np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("hashes", np.uint64)))
+    order = np.argsort(ids, kind="stable")
+    ids, hashes = ids[order], hashes[order]
+    at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    return pa.table([pa.array(ids[at]), pa.array([hashes[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(ids)])], pa.binary())], names=["id", "marks"])
+
+
+def without(data: bytes, gone: np.ndarray, layout: bool) -> bytes:
+    """The text's words that stay, joined by one space; or with the white space that follows each, and what precedes the first word."""
+    if not layout:
+        return b" ".join([w for w, g in zip(data.split(), gone.tolist()) if not g])
+    starts, _ = word_spans(data)
+    ends = [*starts[1:].tolist(), len(data)]
+    return data[: starts[0]] + b"".join([data[a:b] for a, b, g in zip(starts.tolist(), ends, gone.tolist()) if not g])
+
+
+def spans_of(gone: np.ndarray) -> list[dict]:
+    """Runs of words that go: first word and number of words."""
+    step = np.diff(np.r_[0, gone.astype(np.int8), 0])
+    return [{"first": int(a), "words": int(b - a)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
+
+
+def remove_repeats(
+    docs: DataFrame, *, k: int = 13, layout: bool = False, one_in: int = 32, least: int = 6, most: int = 1 << 16, group_suffixes: int = 1 << 17, bucket_suffixes: int = 1 << 21
+) -> DataFrame:
+    """Every document with its repeated words taken out: a column row (all input columns), n_words, n_removed, kept_text, repeats.
 
     A word goes if a window of k words that covers it also starts in a document with a smaller doc_id. kept_text is
-    the kept words joined by one space. A null or wordless text has no words and the empty kept_text; rows with a null
-    doc_id keep all words and remove none of others; rows that share a doc_id never remove each other's words; a text
-    shorter than k words loses none; an empty table gives no rows. Texts are whole. Memory: group_rows rows of suffixes
-    and one batch, whatever the skew.
+    the kept words joined by one space or, with layout, with the white space that follows each in the text (a text that
+    loses nothing is then as it was). repeats are the runs of words that went: first, words. A null or wordless text has
+    no words and the empty kept_text (with layout its white space); rows with a null doc_id keep all words and remove
+    none of others; rows that share a doc_id never remove each other's words; a text shorter than k words loses none;
+    an empty table gives no rows. Texts are whole.
+
+    A suffix travels as its first k words' 64-bit hash; two unequal windows would have to agree in it and fall into one
+    bucket. A task holds one bucket, about bucket_suffixes of 16 bytes, whose groups are at most about
+    group_suffixes each as far as the sample tells; windows that many texts hold travel once per packed batch, and
+    their smallest ids (at most most) reach every task. Rows without a repeat aren't exchanged, but for few.
     """
     texts = docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as long) doc_id", "text")
-    hot, hot_first = frequent_windows(texts, k, one_in, least, most)
+    longer, hot, total = sampled(texts, k, one_in, group_suffixes, least, most)
+    buckets = 1 + total // bucket_suffixes
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def flush() -> pa.RecordBatch:
+            hashes, groups, ids = (np.concatenate(x) for x in zip(*held))
+            return packed_suffixes(hashes, groups, ids, buckets, hot)
+
         for batch in small_batches(batches, 256):
-            key, doc, mark, start, payload = [], [], [], [], []
-            for doc_id, text, text_key in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, first, end, windows = segments(windows_of(text, k)[3], k, hot)
-                key.append(keys)
-                doc.append(np.full(len(keys), doc_id))
-                mark.append(np.full(len(keys), text_key))
-                start.append(first)
-                payload.extend(windows[a:b].tobytes() for a, b in zip(first.tolist(), end.tolist()))
-            if payload:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(mark)), pa.array(np.concatenate(start)), pa.array(payload, pa.binary())],
-                    names=["key", "id", "text_key", "start", "windows"],
-                )
-
-    keyed = texts.withColumn("text_key", F.xxhash64("text"))
-    runs = keyed.mapInArrow(suffixes, "key long, id long, text_key long, start long, windows binary").repartition("key").sortWithinPartitions("key", "id", "start")
-    found = written(runs.mapInArrow(lambda batches: subtrees(batches, group_rows), "id long, text_key long, start long, bits long, windows binary"), "marks")
-    single, large = found.where("bits is not null").drop("windows"), found.where("bits is null")
-    if not large.isEmpty():
-        single = single.unionByName(decided(large))
-    marks = single.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = hashes_of(text)
+                if len(words) >= k:
+                    windows = window_hashes(words, k)
+                    held.append((windows, groups_of(words, k, longer), np.full(len(windows), doc_id)))
+                    count += len(windows)
+                if count >= PACKED_SUFFIXES:
+                    yield flush()
+                    held, count = [], 0
+        if held:
+            yield flush()
+
+    dealt = texts.mapInArrow(suffixes, "bucket long, base long, hashes binary, steps binary")
+    found = written(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: subtrees(t, hot, buckets), "part long, ids binary, hashes binary"), "nodes")
+    firsts = found.where(f"part = {HOT}").select("ids", "hashes").collect()
+    hot_hashes = np.frombuffer(b"".join(bytes(r["hashes"]) for r in firsts), np.uint64)
+    hot_seen, hot_first = Held(hot_hashes), np.frombuffer(b"".join(bytes(r["ids"]) for r in firsts), np.int64)[np.argsort(hot_hashes)]
+    marks = written(found.where("part >= 0").repartition(buckets, "part").groupBy("part").applyInArrow(by_id, "id long, marks binary"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 256):
-            n_words, n_gone, kept = [], [], []
-            for doc_id, text, marked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                data, starts, ends, words = windows_of(text, k)
-                windows = window_hashes(words, k)
-                if doc_id is not None and len(windows):
-                    yes, at = known(windows, hot)
-                    bad = np.zeros(len(windows), bool)
-                    if len(hot):
-                        bad = yes & (hot_first[at] < doc_id)
-                    for m in marked or ():
-                        bits, at = m["bits"], m["start"]
-                        while bits:
-                            if bits & 1:
-                                bad[at] = True
-                            bits >>= 1
-                            at += 1
+            n_words, n_gone, kept, repeats = [], [], [], []
+            for doc_id, text, marked in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                data = (text or "").encode("utf-8", "replace")
+                words = word_hashes(data.split())
+                gone = np.zeros(len(words), bool)
+                if doc_id is not None and len(words) >= k:
+                    windows = window_hashes(words, k)
+                    bad = np.isin(windows, np.frombuffer(marked, np.uint64)) if marked else np.zeros(len(windows), bool)
+                    some, at = hot_seen.places(windows)
+                    bad[some[hot_first[at] < doc_id]] = True
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, np.flatnonzero(bad), 1)
-                    np.add.at(edge, np.flatnonzero(bad) + k, -1)
+                    edge[: len(bad)] += bad
+                    edge[k : k + len(bad)] -= bad
                     gone = np.cumsum(edge)[:-1] > 0
-                else:
-                    gone = np.zeros(len(words), bool)
                 n_words.append(len(words))
                 n_gone.append(int(gone.sum()))
-                stay = np.flatnonzero(~gone)
-                kept.append(b" ".join(data[a:b] for a, b in zip(starts[stay].tolist(), ends[stay].tolist())).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept_text"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), F.xxhash64("row.text").alias("text_key"))
-    joined = rows.join(marks, (rows.doc_id == marks.id) & (rows.text_key == marks.text_key), "left").select("row", "doc_id", "text", "marks")
-    schema = joined.select("row").withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept_text", F.lit("")).schema
-    # the row column holds the text already; it is sent once
-    slim = joined.select("row", "doc_id", F.col("row.text").alias("text"), "marks")
+                kept.append((data if layout and not n_gone[-1] else without(data, gone, layout)).decode("utf-8"))
+                repeats.append(spans_of(gone) if n_gone[-1] else [])
+            spans = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string()), pa.array(repeats, spans)],
+                names=["row", "n_words", "n_removed", "kept_text", "repeats"],
+            )
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    rows = perhaps_in(rows, "doc_id", written(marked_bits(marks, "id"), "marked-ids"), "touched")
+    joined = rows.where("touched").select("row", "doc_id").join(marks.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("row", "doc_id", "marks")
+    both = joined.unionByName(rows.where("not touched").select("row", "doc_id", F.lit(None).cast("binary").alias("marks")))
+    slim = both.select("row", "doc_id", F.col("row.text").alias("text"), "marks")  # the row holds the text already
+    schema = slim.select("row").selectExpr("row", "0L n_words", "0L n_removed", "'' kept_text", "cast(null as array<struct<first:long,words:long>>) repeats").schema
     return slim.mapInArrow(cut, schema)
