@@ -2,66 +2,81 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from wearstream.llm.common import labelled_sample, small_batches
+from wearstream.llm.common import labelled_sample, small_batches, word_hashes
 
-UPPER, LOWERS, DIGITS = re.compile(r"[^\W\d_a-zà-öø-ÿß]+"), re.compile(r"[a-zà-öø-ÿß]+"), re.compile(r"\d+")
-BUCKETS, DIMS, NONZERO, REACH = 1 << 12, 48, 4, 2
+#: Rows of the table of vectors for words, and as many for words' endings; numbers in a vector; those of an index vector
+#: that aren't 0; how far a word's context reaches; the parts in which the table is summed up.
+UNITS, DIMS, NONZERO, REACH, PARTS = 1 << 15, 32, 4, 2, 16
 
 
-def bucket_of(word: str) -> int:
-    """A word's bucket: by its shape (runs of capitals, small letters and digits count as one) and coarse length."""
-    shape = DIGITS.sub("0", LOWERS.sub("a", UPPER.sub("A", word)))
-    return crc32(f"{shape[:12]}|{min(len(word) // 3, 5)}".encode("utf-8", "replace")) % (BUCKETS // 2)
-
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """Sparse ternary vectors: a hash's bits say which NONZERO numbers are 1 or -1 (or their sum where two fall together)."""
+    out = np.zeros((len(hashes), DIMS), np.float32)
+    for j in range(NONZERO):
+        place = (hashes >> np.uint64(5 * j)) & np.uint64(DIMS - 1)
+        sign = ((hashes >> np.uint64(40 + j)) & np.uint64(1)).astype(np.float32) * 2 - 1
+        np.add.at(out, (np.arange(len(hashes)), place.astype(np.int64)), sign)
+    return out
 
-class Reader:
-    """A text's buckets, one for each word; words equal to the one before, or seen before in the text, have buckets of their own."""
 
-    def __init__(self):
-        self.cache: dict[str, int] = {}
+def index_table() -> np.ndarray:
+    """The index vectors of all units, the same on every machine."""
+    return index_vectors(word_hashes([b"unit %d" % i for i in range(2 * UNITS)]))
 
-    def ids(self, text: str) -> np.ndarray:
-        cache, words = self.cache, text.split()
-        if len(cache) > 300_000:
-            cache.clear()
-        out = []
-        for w in words:
-            if w not in cache:
-                cache[w] = bucket_of(w)
-            out.append(cache[w])
-        ids = np.array(out, np.int64)
-        if len(words) > 1:
-            same = np.fromiter((a == b for a, b in zip(words, words[1:])), bool, len(words) - 1)
-            ids[1:][same] = BUCKETS - 1
-        return ids
 
-    def numbers(self, text: str, ids: np.ndarray) -> list[float]:
+@dataclass
+class Reading:
+    """A text's words, and the units of each: the word itself, and its last three bytes; both by their hashes."""
+
+    words: np.ndarray
+    units: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, text: str | None) -> Reading:
+        found = (text or "").encode("utf-8", "replace").split()
+        words = word_hashes(found)
+        ends = np.fromiter((xxhash.xxh3_64_intdigest(w[-3:]) for w in found), np.uint64, len(found))
+        last = np.uint64(UNITS - 1)
+        return cls(words, (words & last).astype(np.int64), (ends & last).astype(np.int64) + UNITS)
+
+    def contexts(self, index: np.ndarray) -> np.ndarray:
+        """For each word the sum of the index vectors of the words within REACH of it."""
+        own = index[self.units]
+        out = np.zeros_like(own)
+        for gap in range(1, REACH + 1):
+            out[gap:] += own[:-gap]
+            out[:-gap] += own[gap:]
+        return out
+
+    def numbers(self, text: str) -> list[float]:
+        """Length, and the shares of distinct lines, words and pairs of words."""
         lines = [x for x in text.split("\n") if x.strip()]
-        return [np.log1p(len(ids)) / 5, len(set(lines)) / len(lines) if lines else 0.0, len(np.unique(ids)) / (len(ids) or 1)]
+        pairs = self.words[:-1] * np.uint64(31) + self.words[1:]
+        share = lambda x: len(np.unique(x)) / (len(x) or 1)
+        return [np.log1p(len(self.words)) / 5, len(set(lines)) / len(lines) if lines else 0.0, share(self.words), share(pairs)]
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse ternary index vectors, by a fixed seed."""
-    rng = np.random.default_rng(12345)
-    out = np.zeros((BUCKETS, DIMS), np.float32)
-    for row in out:
-        row[rng.choice(DIMS, NONZERO, replace=False)] = rng.choice([-1, 1], NONZERO)
-    return out
+def word_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Each unit's summed context, scaled to length one, and its own index vector."""
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) + index).astype(np.float32)
 
 
-def pooled(reader: Reader, vectors: np.ndarray, text: str) -> np.ndarray:
-    ids = reader.ids(text)
-    v = vectors[ids] if len(ids) else np.zeros((1, DIMS), np.float32)
-    return np.concatenate([v.mean(0), v.std(0), reader.numbers(text, ids)]).astype(np.float64)
+def pooled(vectors: np.ndarray, text: str | None) -> np.ndarray:
+    """Means and deviations of the vectors of a text's words and endings, and its numbers."""
+    r = Reading.of(text)
+    if not len(r.words):
+        return np.r_[np.zeros(4 * DIMS), r.numbers(text or "")]
+    w, e = vectors[r.units], vectors[r.ends]
+    return np.r_[w.mean(0), w.std(0), e.mean(0), e.std(0), r.numbers(text)].astype(np.float64)
 
 
 @dataclass
@@ -118,29 +133,34 @@ def train_network(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, *, hidden:
 def fit(docs: DataFrame, labels: DataFrame, train: str, *, max_rows: int = 8000) -> Network | None:
     """Vectors and network from at most max_rows labelled rows that satisfy train; None if they are all alike.
 
-    A bucket's vector is the sum of the index vectors of the words within REACH of its words, scaled to length one, and
-    its own index vector. Eight tasks each sum up their part of the sample; the driver adds the eight tables.
+    A unit is a word or a word's ending, by its hash: unequal ones share a vector with a chance of 1 in UNITS, and none
+    are left out. Its vector is the sum of the index vectors of the words around it in the sample, scaled to length one,
+    and its own index vector. Tasks sum up their texts, and each part of the table is then added up in one place.
     """
     sample = labelled_sample(docs, labels, "quality", train, max_rows)
-    index = index_vectors()
+    index, size = index_table(), 2 * UNITS // PARTS
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(), np.zeros((BUCKETS, DIMS), np.float64)
+        total = np.zeros((2 * UNITS, DIMS), np.float32)
         for batch in small_batches(batches, 64):
             for text in batch.column(0).to_pylist():
-                ids = reader.ids(text)
-                for gap in range(1, REACH + 1):
-                    np.add.at(total, ids[gap:], index[ids[:-gap]])
-                    np.add.at(total, ids[:-gap], index[ids[gap:]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+                r = Reading.of(text)
+                around = r.contexts(index)
+                np.add.at(total, r.units, around)
+                np.add.at(total, r.ends, around)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS)), pa.array([total[i * size : (i + 1) * size].tobytes() for i in range(PARTS)], pa.binary())], names=["part", "sums"])
+
+    def added(part: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x, np.float32) for x in part.column("sums").to_pylist())
+        return pa.table([part.column("part").slice(0, 1), pa.array([sums.tobytes()], pa.binary())], names=["part", "sums"])
 
-    total = sum((np.frombuffer(r[0]).reshape(BUCKETS, DIMS) for r in sample.coalesce(8).mapInArrow(contexts, "sums binary").collect()), np.zeros((BUCKETS, DIMS)))
-    vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) + index).astype(np.float32)
+    sums = sample.mapInArrow(contexts, "part long, sums binary").groupBy("part").applyInArrow(added, "part long, sums binary").collect()
+    total = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float32) for r in sorted(sums)] or [np.zeros(2 * UNITS * DIMS, np.float32)])
+    vectors = word_vectors(total.reshape(-1, DIMS), index)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
         for batch in small_batches(batches, 64):
-            yield pa.RecordBatch.from_arrays([pa.array([pooled(reader, vectors, t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([pooled(vectors, t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     rows = sample.mapInArrow(pool, "x array<double>, y int").collect()
     y = np.array([r[1] for r in rows], float)
@@ -157,12 +177,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, train: str = "true", th
     net = fit(docs, labels, train, max_rows=max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
         for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
             scores = np.full(len(texts), 0.5)
             if net is not None and texts:
-                scores = net.probability(np.array([pooled(reader, net.vectors, t or "") for t in texts]))
+                scores = net.probability(np.array([pooled(net.vectors, t) for t in texts]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -176,9 +195,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, train: str = "true", thresh
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
         for batch in small_batches(batches):
-            x = np.array([pooled(reader, net.vectors, t or "") for t in batch.column(place).to_pylist()]).reshape(batch.num_rows, -1)
+            x = np.array([pooled(net.vectors, t) for t in batch.column(place).to_pylist()]).reshape(batch.num_rows, -1)
             if batch.num_rows:
                 yield batch.filter(pa.array(net.probability(x) >= threshold))
 
