@@ -23,16 +23,49 @@ TARGETS = "you your he she they them du ihr euch tú usted vosotros tu vous toi"
 NEGATIONS = "not never no isn aren nicht kein keine nunca jamás ne pas jamais".split()
 REPORTS = "said says wrote quoted reported claimed sagte schrieb dijo escribió dit écrivit".split()
 
-#: The transducers' arcs, composed: (state, class) -> (state, factor on a matched word's weight). A clause begins in
-#: "plain". Negation lasts for the two words after it, reported speech and a target to the clause's end.
-ARCS = {
-    ("plain", "target"): ("aimed", 1.0), ("plain", "report"): ("told", 1.0),
-    ("plain", "negation"): ("negated", 1.0), ("aimed", "negation"): ("negated", 1.0), ("told", "negation"): ("told", 1.0),
-    ("aimed", "report"): ("told", 1.0), ("told", "target"): ("told", 1.0), ("negated", "target"): ("negated", 1.0),
-    ("plain", "insult"): ("plain", 1.0), ("aimed", "insult"): ("aimed", 1.25), ("told", "insult"): ("told", 0.7), ("negated", "insult"): ("negated", 0.5),
-    ("plain", "threat"): ("plain", 0.3), ("aimed", "threat"): ("aimed", 1.0), ("told", "threat"): ("told", 0.2), ("negated", "threat"): ("negated", 0.1),
-}
-NEGATION_REACH = 2
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+
+
+@dataclass(frozen=True)
+class Machine:
+    """A weighted transducer over word classes: (state, class) -> (next state, factor on a matched word's weight).
+
+    Where it has no arc it stays in its state and leaves the weight alone.
+    """
+
+    start: object
+    arcs: dict
+
+    def step(self, state, symbol: str):
+        return self.arcs.get((state, symbol), (state, 1.0))
+
+
+def compose(a: Machine, b: Machine) -> Machine:
+    """Both machines on one tape: pairs of states that can be reached, with the product of the factors."""
+    start, arcs = (a.start, b.start), {}
+    todo, seen = [start], {start}
+    while todo:
+        x, y = todo.pop()
+        for symbol in SYMBOLS:
+            (nx, fa), (ny, fb) = a.step(x, symbol), b.step(y, symbol)
+            arcs[(x, y), symbol] = ((nx, ny), fa * fb)
+            if (nx, ny) not in seen:
+                seen.add((nx, ny))
+                todo.append((nx, ny))
+    return Machine(start, arcs)
+
+
+#: Insults count in full and threats little by themselves; after a target, to the clause's end, both count more. The two
+#: words after a negation, and all words after a verb of speech, count less.
+INSULT = Machine("insult", {})
+THREAT = Machine("threat", {("threat", "threat"): ("threat", 0.3)})
+TARGET = Machine("far", {("far", "target"): ("near", 1.0), ("near", "insult"): ("near", 1.25), ("near", "threat"): ("near", 3.0)})
+NEGATION = Machine("off", {
+    ("off", "negation"): (2, 1.0), (2, "negation"): (2, 1.0), (1, "negation"): (2, 1.0),
+    **{(n, s): (n - 1 or "off", f) for n in (2, 1) for s, f in (("insult", 0.5), ("threat", 0.3), ("target", 1.0), ("report", 1.0), ("other", 1.0))},
+})
+REPORT = Machine("direct", {("direct", "report"): ("told", 1.0), ("told", "insult"): ("told", 0.7), ("told", "threat"): ("told", 0.3)})
+CLAUSE = compose(compose(compose(compose(INSULT, THREAT), TARGET), NEGATION), REPORT)
 
 
 @dataclass
@@ -45,53 +78,41 @@ class Grammar:
 
     def __post_init__(self):
         self.fixed = {w: (name, 3.0) for name, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS), ("insult", INSULTS)) for w in words}
-        self.cache: dict[str, tuple] = {}
-
-    def entry(self, word: str):
-        """(class, weight, the entry's name) of a word, or None."""
+        self.cache: dict[str, tuple[str, float]] = {}
+        number = {state: i for i, state in enumerate(dict.fromkeys(state for state, _ in CLAUSE.arcs))}
+        self.arcs = {symbol: [CLAUSE.step(state, symbol) for state in number] for symbol in SYMBOLS}
+        self.arcs = {symbol: [(number[to], factor) for to, factor in row] for symbol, row in self.arcs.items()}
+        self.start = number[CLAUSE.start]
+
+    def entry(self, word: str) -> tuple[str, float]:
+        """A word's class and weight: by its own entry, else by its best stem's, else by the fixed classes."""
         if word in self.words:
-            return "insult", self.words[word], word
-        stem = max((word[:n] for n in range(4, min(8, len(word) - 1) + 1) if word[:n] in self.stems), key=self.stems.get, default=None)
-        if stem:
-            return "insult", self.stems[stem], stem
-        return (*self.fixed[word], word) if word in self.fixed else None
+            return "insult", self.words[word]
+        stem = max((word[:n] for n in range(4, len(word)) if word[:n] in self.stems), key=self.stems.get, default=None)
+        return ("insult", self.stems[stem]) if stem else self.fixed.get(word, ("other", 0.0))
+
+    def clause(self, words: list[str]) -> float:
+        """The sum of the weights that the composed machine gives a clause's matched words; 0 without a match."""
+        cache, state, total = self.cache, self.start, 0.0
+        for w in words:
+            found = cache.get(w)
+            if found is None:
+                if len(cache) > 300_000:
+                    cache.clear()
+                found = cache[w] = self.entry(w)
+            kind, weight = found
+            state, factor = self.arcs[kind][state]
+            if weight and kind in ("insult", "threat"):
+                total += factor * weight
+        return total
 
     def features(self, text: str) -> list[float]:
-        """Of a text's clauses: sum and maximum of scores, matched clauses, their rate, distinct words of one stem, matches per word."""
-        cache, total, best, matched, n_clauses, n_words, hits = self.cache, 0.0, 0.0, 0, 0, 0, 0
-        stems: dict[str, set] = {}
-        for clause in CLAUSE_END.split(text.lower()):
-            words = WORD.findall(clause)
-            if not words:
-                continue
-            n_clauses += 1
-            n_words += len(words)
-            state, since, score = "plain", 0, 0.0
-            for w in words:
-                if w in cache:
-                    found = cache[w]
-                else:
-                    if len(cache) > 300_000:
-                        cache.clear()
-                    found = cache[w] = self.entry(w)
-                since += 1
-                if state == "negated" and since > NEGATION_REACH:
-                    state = "plain"
-                if found:
-                    kind, weight, name = found
-                    state, factor = ARCS.get((state, kind), (state, 1.0))
-                    if kind == "negation":
-                        since = 0
-                    elif kind in ("insult", "threat"):
-                        score = max(score, factor * weight)
-                        hits += 1
-                        stems.setdefault(name[:4], set()).add(w)
-            if score:
-                matched += 1
-                total += score
-                best = max(best, score)
-        distinct = max(map(len, stems.values()), default=0)
-        return [np.log1p(total), best, np.log1p(matched), matched / (n_clauses or 1), min(distinct, 6.0), np.log1p(1000 * hits / (n_words or 1)), 1.0 if best else 0.0, 1.0]
+        """Of a text's clauses: sum, maximum and mean of scores, matched clauses, their share, whether any matched, and 1."""
+        clauses = [words for clause in CLAUSE_END.split(text.lower()) if (words := WORD.findall(clause))]
+        scores = [score for score in map(self.clause, clauses) if score]
+        best = max(scores, default=0.0)
+        n = len(clauses) or 1
+        return [np.log1p(sum(scores)), np.log1p(best), np.log1p(sum(scores) / n), np.log1p(len(scores)), len(scores) / n, 1.0 if scores else 0.0, 1.0]
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.dot(self.features(text), self.coef))))
@@ -102,7 +123,7 @@ def patterns(text: str) -> set[str]:
     words = {w for w in WORD.findall(text.lower()) if len(w) > 2}
     stems: dict[str, int] = {}
     for w in words:
-        for n in range(4, min(8, len(w) - 1) + 1):
+        for n in range(4, len(w)):
             stems[w[:n]] = stems.get(w[:n], 0) + 1
     return {w + "$" for w in words} | {s for s, n in stems.items() if n > 1}
 
@@ -117,11 +138,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: str, *, max_rows: int = 8000, max_entries: int = 600) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, train: str, *, max_rows: int = 8000) -> Grammar:
     """A grammar whose entries and weights come from at most max_rows labelled rows that satisfy train.
 
-    A word or stem enters if toxic texts hold it far oftener than others (the lower bound of its log odds is over 1.5);
-    at most max_entries do. Without toxic rows the seeds alone score.
+    A word or stem enters if toxic texts hold it far oftener than others (the lower bound of its log odds is over 1.5),
+    unless a shorter stem of it enters with at least its weight; the sample bounds how many do. Without toxic rows the
+    seeds alone score.
     """
     sample = labelled_sample(docs, labels, "toxic", train, max_rows)
 
@@ -137,10 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: str, *, max_rows: int = 8000,
     bound = odds - 1.3 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     found = (
         sample.mapInArrow(candidates, "pattern string, y int").groupBy("pattern").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        .where("a >= 4").withColumn("weight", bound).where("weight > 1.5").orderBy(F.desc(F.col("weight") * F.log("a")), "pattern").limit(max_entries)
+        .where("a >= 4").withColumn("weight", bound).where("weight > 1.5")
         .select("pattern", "weight").collect()
     )
-    grammar = Grammar({r[0][:-1]: r[1] for r in found if r[0].endswith("$")}, {r[0]: r[1] for r in found if not r[0].endswith("$")})
+    stems = {r[0]: r[1] for r in found if not r[0].endswith("$")}
+    covered = lambda word, weight, longest: any(stems.get(word[:n], 0.0) >= weight for n in range(4, longest))
+    words = {r[0][:-1]: r[1] for r in found if r[0].endswith("$") and not covered(r[0][:-1], r[1], len(r[0]) - 1)}
+    grammar = Grammar(words, {s: w for s, w in stems.items() if not covered(s, w, len(s))})
 
     def clauses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 64):
@@ -150,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: str, *, max_rows: int = 8000,
     if n1 and n0:
         grammar.coef = logistic(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
     else:
-        grammar.coef = np.array([0.0, 1.0, 0.5, 1.0, 0.0, 0.0, 1.0, -3.0])
+        grammar.coef = np.array([0.0, 2.0, 1.0, 0.5, 1.0, 1.0, -3.0])
     return grammar
 
 
