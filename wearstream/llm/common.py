@@ -174,4 +174,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: str,
         .agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_rows)
     )
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(checkpointed(chosen)), F.col("doc_id") == F.col("labelled_id"))
-    return written(rows.select("text", "y").repartition(16, F.xxhash64("text")), "sample")
+    return written(rows.repartition(16, F.xxhash64("doc_id", "text")).select("text", "y"), "sample")

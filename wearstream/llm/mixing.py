@@ -4,110 +4,102 @@ from __future__ import annotations
 
 import heapq
 import math
-import uuid
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import islice
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearstream.llm.common import checkpointed, shared_dir
+from wearstream.llm.common import checkpointed, written
 
+#: A period is repeated until it has as many slots.
+LEAST_SLOTS = 1024
+OURS = ["mix_source", "mix_block", "mix_release", "mix_due", "mix_slot", "mix_place"]
 
-def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Whole slots of a period in proportion to the weights, at least one each, that sum up to the period."""
-    if not weights:
-        return {}
-    if len(weights) > slots:
-        raise ValueError(f"{len(weights)} sources don't fit a period of {slots} slots")
-    total = sum(weights.values())
-    if min(weights.values()) <= 0:
+
+def whole_weights(weights: dict) -> dict[object, int]:
+    """The weights as the smallest whole numbers in the same proportions; floats count as their decimal forms."""
+    exact = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    if exact and min(exact.values()) <= 0:
         raise ValueError("weights must be positive")
-    free = slots - len(weights)
-    exact = {s: Fraction(w) / Fraction(total) * free for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (-(exact[s] - int(exact[s])), s))[: slots - sum(out.values())]:
-        out[s] += 1
-    return out
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * unit) for s, x in exact.items()}
+    divisor = math.gcd(*whole.values()) or 1
+    return {s: n // divisor for s, n in whole.items()}
 
 
-def turns(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
-    """(source, its block's number, slot) in order of slots, by earliest deadline first among the released.
+def turns(weights: dict[object, int]) -> Iterator[tuple[object, int]]:
+    """(source, its block's number) for each slot of one period, by earliest deadline first among the released.
 
-    With w the source's exact share of the weights, block i is released at floor(i / w) and due at ceil((i + 1) / w). The
-    shares sum up to 1, so no deadline is missed, and at every slot until its end each source is less than one block from
-    its share, however long the input is. Slots of ended sources that no other block is released for stay empty.
-    Holds one block of each source.
+    With w the source's share of the weights, block i is released at floor(i / w) and due at ceil((i + 1) / w). The period
+    is the weights' sum, in which a source has as many blocks as its weight, so one period after the other goes on as if
+    the first had not ended. The shares sum up to 1, so a released block is always there and none is late; at every slot
+    a source is less than one block from its share.
     """
-    if weights and min(weights.values()) <= 0:
-        raise ValueError("weights must be positive")
-    exact = {s: Fraction(w) for s, w in weights.items()}
-    unit = math.lcm(*(x.denominator for x in exact.values()))
-    part = {s: int(x * unit) for s, x in exact.items()}
-    total, slot = sum(part.values()), 0
-    coming, ready = [(0, s, 0) for s in sorted(weights) if blocks[s]], []
-    while coming or ready:
-        if not ready:
-            slot = max(slot, coming[0][0])
+    total, names = sum(weights.values()), sorted(weights, key=lambda s: (s is not None, s))
+    coming, ready = [(0, n, 0) for n in range(len(names))], []
+    for slot in range(total):
         while coming and coming[0][0] <= slot:
-            _, s, i = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(i + 1) * total // part[s]), s, i))
-        due, s, i = heapq.heappop(ready)
+            _, n, i = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(i + 1) * total // weights[names[n]]), n, i))
+        due, n, i = heapq.heappop(ready)
         if due < slot + 1:
             raise AssertionError("a deadline was missed")
-        yield s, i, slot
-        if i + 1 < blocks[s]:  # not released before this slot, so nothing is late by coming after it
-            heapq.heappush(coming, ((i + 1) * total // part[s], s, i + 1))
-        slot += 1
-
-
-def schedule(counts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """The turns of one period in which each source has a whole count of slots."""
-    return list(turns(counts, counts))
-
-
-def turns_table(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int], rows: int) -> DataFrame:
-    """All turns as a table (s, i, slot) in the shared folder; the driver holds that many rows of it at a time."""
-    path = f"{shared_dir(spark).rstrip('/')}/turns-{uuid.uuid4().hex}"
-    schema = pa.schema([("s", pa.string()), ("i", pa.int64()), ("slot", pa.int64())])
-    todo, first = turns(weights, blocks), True
-    while (some := list(islice(todo, rows))) or first:
-        columns = zip(*some) if some else [[]] * 3
-        table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-        spark.createDataFrame(table, "s string, i long, slot long").coalesce(1).write.mode("append").parquet(path)
-        first = False
-    return spark.read.schema("s string, i long, slot long").parquet(path)
-
-
-def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None, block_rows: int = 64, slots: int = 1000, range_bits: int = 12) -> DataFrame:
-    """The documents with mix_source, mix_block (of its source), mix_slot and mix_place (within the block); no row is lost.
-
-    Each source's rows in order of doc_id make blocks of block_rows, which take the slots of `turns`: at each slot until
-    the first source ends, every source's blocks are less than one from its weight's share. Sorting by mix_slot and
-    mix_place gives the mixture. Later slots of ended sources may stay empty. weights must be positive; None means the
-    square roots of the sources' row counts, and a source not named gets the least weight named. A null source is a
-    source of its own, named ''. Null doc_ids come first in their source; repeated ids each have a place (order among
-    them is undefined); a clash of names with the four columns is resolved for ours; an empty table gives no rows. Texts
-    aren't looked at.
-
-    Numbers within a source come from counts by ranges of ids, so a source with most rows isn't gathered in a task. The
-    driver holds the sources' counts and one block each, of any number of sources, and makes one row of the schedule per
-    block, of which it holds 256 * slots at a time.
+        yield names[n], i
+        if i + 1 < weights[names[n]]:
+            heapq.heappush(coming, ((i + 1) * total // weights[names[n]], n, i + 1))
+
+
+def mix_sources(docs: DataFrame, *, weights: dict | None = None, block_rows: int = 64, range_bits: int = 12) -> DataFrame:
+    """The documents with their place in the mixture; no row is lost.
+
+    Each source's rows in order of doc_id make blocks of block_rows, which take the slots of `turns`, period after
+    period: until a source has ended, every source's blocks are less than one from its weight's share at every slot.
+    Slots of ended sources close up, so the others go on in the same order and mix_slot has no gaps. Adds mix_source,
+    mix_block (of its source), mix_release and mix_due (that block's, in slots before they close up), mix_slot, and
+    mix_place (within the block); sorting by mix_slot and mix_place gives the mixture.
+
+    weights are positive numbers; a source that isn't named gets the least one named. None means the whole part of the
+    square roots of the sources' row counts. A null source is a source of its own. Null doc_ids come first in their
+    source; rows of one doc_id are in the order of a hash of the row, and equal rows are interchangeable. Input columns
+    with the six names are replaced; no other name matters. An empty table gives no rows. Texts aren't looked at.
+
+    The driver holds the sources' counts and one period: a row for each unit of the weights' sum. Numbers within a
+    source come from counts by ranges of ids, so a source with most rows isn't gathered in a task; rows with one
+    doc_id, or of one range of 2 ** range_bits ids, are.
     """
-    ours = {"mix_source", "mix_block", "mix_slot", "mix_place", "_range", "_before"}
-    rows = docs.drop(*ours).withColumn("mix_source", F.coalesce("source", F.lit(""))).withColumn("_range", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), range_bits), F.lit(-1 << 60)))
-    ranges = checkpointed(rows.groupBy("mix_source", "_range").count())
-    before = ranges.withColumn("_before", F.sum("count").over(Window.partitionBy("mix_source").orderBy("_range")) - F.col("count")).drop("count")
-    found = {r[0]: r[1] for r in ranges.groupBy("mix_source").agg(F.sum("count")).collect()}
-    chosen = {s: n**0.5 for s, n in found.items()} if weights is None else {s: weights.get(s, min(weights.values(), default=1.0)) for s in found}
-    schedule_rows = turns_table(docs.sparkSession, chosen, {s: -(-n // block_rows) for s, n in found.items()}, 256 * slots)
-    in_range = Window.partitionBy("mix_source", "_range").orderBy("doc_id")
-    numbered = (
-        rows.join(before.select(F.col("mix_source").alias("_s"), F.col("_range").alias("_r"), "_before"), (F.col("mix_source") == F.col("_s")) & (F.col("_range") == F.col("_r")))
-        .withColumn("_n", F.col("_before") + F.row_number().over(in_range) - 1).drop("_s", "_r", "_range", "_before")
-        .withColumn("mix_block", F.floor(F.col("_n") / block_rows).cast("long")).withColumn("mix_place", F.pmod("_n", F.lit(block_rows)).cast("long")).drop("_n")
+    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in OURS]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    rows = docs.select(row.alias("row"), F.col("source").cast("string").alias("s"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.withColumn("r", F.shiftright("id", range_bits))
+    ranges = checkpointed(rows.groupBy("s", "r").count())
+    counted = {r["s"]: r["n"] for r in ranges.groupBy("s").agg(F.sum("count").alias("n")).collect()}
+    least = min(weights.values(), default=1) if weights else 1
+    share = whole_weights({s: math.isqrt(n) for s, n in counted.items()} if weights is None else {s: weights.get(s, least) for s in counted})
+    total = sum(share.values())
+    times = -(-LEAST_SLOTS // total) if total else 1
+    period = [(s, k * share[s] + i, k * total + slot) for k in range(times) for slot, (s, i) in enumerate(turns(share))]
+    of_source = [(s, times * share[s], share[s], -(-n // block_rows)) for s, n in counted.items()]
+    place_in = written(spark.createDataFrame(period, "s string, j long, at long"), "mix-period")
+    sources = F.broadcast(spark.createDataFrame(of_source, "s string, each long, part long, blocks long"))  # a row per source
+
+    # every source's blocks with their slots: whole periods first, so that a source with most blocks is dealt out
+    laps = sources.select("s", "each", "part", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("blocks") - 1) / F.col("each")).cast("long"))).alias("lap")).repartition("lap", "s")
+    place_in = place_in.select(F.col("s").alias("ps"), "j", "at")
+    blocks = laps.join(place_in, F.col("s").eqNullSafe(F.col("ps"))).withColumn("block", F.col("lap") * F.col("each") + F.col("j")).where("block < blocks")
+    in_lap = F.row_number().over(Window.partitionBy("lap").orderBy("at")) - 1
+    sizes = laps.groupBy("lap").agg(F.sum(F.least(F.col("each"), F.col("blocks") - F.col("lap") * F.col("each"))).alias("size"))
+    starts = sizes.select(F.col("lap").alias("l"), (F.sum("size").over(Window.orderBy("lap")) - F.col("size")).alias("start"))  # a row per period of LEAST_SLOTS or more
+    blocks = blocks.withColumn("in_lap", in_lap).join(starts, F.col("lap") == F.col("l"))
+    exact = F.lit(total).cast("decimal(20,0)")
+    blocks = blocks.select(
+        F.col("s").alias("bs"), F.col("block").alias("mix_block"), (F.col("start") + F.col("in_lap")).alias("mix_slot"),
+        F.floor(F.col("block") * exact / F.col("part")).cast("long").alias("mix_release"), F.ceil((F.col("block") + 1) * exact / F.col("part")).cast("long").alias("mix_due"),
     )
-    turn = schedule_rows.select(F.col("s").alias("_s"), F.col("i").alias("_i"), F.col("slot").alias("mix_slot"))
-    return numbered.join(turn, (F.col("mix_source") == F.col("_s")) & (F.col("mix_block") == F.col("_i"))).drop("_s", "_i")
+
+    before = ranges.select(F.col("s").alias("ns"), F.col("r").alias("nr"), (F.sum("count").over(Window.partitionBy("s").orderBy(F.col("r").asc_nulls_first())) - F.col("count")).alias("before"))
+    in_range = F.row_number().over(Window.partitionBy("s", "r").orderBy(F.col("id").asc_nulls_first(), F.xxhash64("row"))) - 1
+    numbered = rows.withColumn("in_range", in_range).join(before, F.col("s").eqNullSafe(F.col("ns")) & F.col("r").eqNullSafe(F.col("nr"))).withColumn("n", F.col("before") + F.col("in_range"))
+    numbered = numbered.select("row", "s", F.floor(F.col("n") / block_rows).cast("long").alias("b"), F.pmod("n", F.lit(block_rows)).cast("long").alias("mix_place"))
+    mixed = numbered.join(blocks, F.col("s").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("mix_block")))
+    return mixed.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.col("s").alias("mix_source"), "mix_block", "mix_release", "mix_due", "mix_slot", "mix_place")

@@ -48,7 +48,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir).select("doc_id", "source")).select("doc_id", "mix_source", "mix_block", "mix_slot", "mix_place")
+    return mixing.mix_sources(_table(spark, sf_dir).select("doc_id", "source")).drop("source")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +64,42 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+e AS (SELECT a.doc_id a, b.doc_id b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id v, doc_id c FROM w UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.v WHERE r.c < u.b)
+SELECT CAST(v AS BIGINT) doc_id, coalesce(n, 0) n_shingles, CAST(min(c) AS BIGINT) component_id FROM r LEFT JOIN n ON n.doc_id = v GROUP BY 1, 2
+"""
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT k, min(doc_id) d FROM g GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + o p FROM (SELECT g.doc_id, i, unnest(range(13)) o FROM g JOIN f USING (k) WHERE f.d < g.doc_id)),
+l AS (SELECT doc_id, list(p) ps FROM gone GROUP BY 1)
+SELECT CAST(doc_id AS BIGINT) doc_id, CAST(len(ws) AS BIGINT) n_words, CAST(coalesce(len(ps), 0) AS BIGINT) n_removed,
+sha256(array_to_string(list_filter(ws, lambda x, p: ps IS NULL OR NOT list_contains(ps, p)), ' ')) kept_sha256 FROM w LEFT JOIN l USING (doc_id)
+"""
+
+OP8_SQL = """
+WITH RECURSIVE c AS (SELECT source s, count(*) n, CAST(floor(sqrt(count(*))) AS BIGINT) w FROM documents GROUP BY 1),
+q AS (SELECT s, n, w // (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) FROM c) part, row_number() OVER (ORDER BY s IS NOT NULL, s) k FROM c),
+p AS (SELECT list(CAST(part AS BIGINT) ORDER BY k) ps, CAST(sum(part) AS BIGINT) total FROM q),
+e(slot, nx, pick, i) AS (SELECT CAST(-1 AS BIGINT), list_transform(ps, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM p UNION ALL
+  SELECT slot + 1, list_transform(nx, lambda x, j: x + CAST(j = next AS BIGINT)), next, nx[next] FROM (SELECT slot, nx, total, list_min(list_filter(list_transform(range(1, len(nx) + 1),
+    lambda k: CASE WHEN nx[k] < ps[k] AND nx[k] * total // ps[k] <= slot + 1 THEN {'due': ((nx[k] + 1) * total + ps[k] - 1) // ps[k], 'k': k} END), lambda z: z IS NOT NULL)).k AS next FROM e, p WHERE slot + 1 < total)),
+b AS (SELECT s, part, total, k, CAST(unnest(range((n + 63) // 64)) AS BIGINT) block FROM q, p),
+t AS (SELECT s, block, block * total // part release, ((block + 1) * total + part - 1) // part due, row_number() OVER (ORDER BY block // part * total + slot) - 1 place FROM b JOIN e ON e.pick = b.k AND e.i = block % part),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 r FROM documents)
+SELECT CAST(doc_id AS BIGINT) doc_id, source mix_source, r // 64 mix_block, CAST(release AS BIGINT) mix_release, CAST(due AS BIGINT) mix_due, place mix_slot, r % 64 mix_place FROM d JOIN t ON t.s IS NOT DISTINCT FROM source AND t.block = r // 64
+"""
+
 OP3_SQL = r"""
 WITH t AS (SELECT CAST(doc_id AS BIGINT) doc_id, coalesce(text, '') text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws,
