@@ -91,7 +91,6 @@ def test_packing(docs):
     import public_tokenizers
 
     tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     pieces = packing.pack_documents(docs).collect()
     for i, t in ROWS:
         ids, at = tok.encode(t or "", add_special_tokens=False).ids + [1], 0

@@ -246,8 +246,8 @@ def forest(sets: list[np.ndarray], ids: np.ndarray, cross: np.ndarray | None, pe
 def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: int = 2000) -> DataFrame:
     """Every document with its set's size, its component under links of Jaccard >= percent / 100, and its links.
 
-    Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and n_links (different texts' sets linked with
-    the document's). Steps: equal sets become one representative; in each size class, representatives that share a
+    Returns doc_id, n_shingles, component_id (smallest doc_id reachable), n_links (different texts' sets linked with the
+    document's), and the hashes text_key and set_key of its text and set. Steps: equal sets become one representative; in each size class, representatives that share a
     pigeonhole signature form blocks, and no link whose smaller set is of the class leaves a block (larger sets are guests
     there); each block is joined by size-aware heavy-light join, in tiles of at most
     2 * tile sets where it is larger; links that join components are kept, one forest per tile.
@@ -260,10 +260,11 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
         for batch in small_batches(batches):
             sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
             keys = pa.array([set_key_of(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), keys], names=["doc_id", "n", "set_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), keys], names=["doc_id", "text_key", "n", "set_key"])
 
     texts = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "text")
-    members = written(texts.mapInArrow(sets_of, "doc_id long, n long, set_key long"), "members")
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    members = written(keyed.mapInArrow(sets_of, "doc_id long, text_key long, n long, set_key long"), "members")
     reps = written(members.where("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep")), "reps")
 
     # signatures go by their leading bits, packed into one row for each bucket and handful of texts
@@ -340,17 +341,33 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
     found = components(edges.where("a <> b").select("a", "b"))
     links = edges.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     named = reps.join(found, reps.rep == found.node, "left").join(links, "rep", "left").select(
-        "set_key", F.col("n").alias("rep_n"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        F.col("set_key").alias("rep_key"), F.col("n").alias("rep_n"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     named = written(named, "named")
-    same = (members.set_key == named.set_key) & (members.n == named.rep_n)
+    same = (F.col("set_key") == F.col("rep_key")) & (F.col("n") == F.col("rep_n"))
     return members.join(named, same, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", "set_key"
     )
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents, with their own columns, less those whose component has a smaller doc_id; null ids stay."""
-    groups = jaccard_groups(docs, **options)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    """The documents, with their own columns, one row of each component: of those with its smallest doc_id.
+
+    Of several texts with one id and equal sets, the one with the smallest hash stays; of equal rows, one. An id with
+    unlike texts has a row in each of their components, and each is judged by itself. Rows without words or with a null
+    doc_id are no copies of anything and all stay.
+    """
+    groups = written(jaccard_groups(docs, **options).where("n_shingles > 0"), "groups")
+    mine = groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("d"), F.col("set_key").alias("k")).agg(F.min("text_key").alias("first_text"))
+    judged = groups.join(mine, (F.col("doc_id") == F.col("d")) & (F.col("set_key") == F.col("k")), "left")
+    gone = (F.col("component_id") < F.col("doc_id")) | (F.col("text_key") != F.col("first_text"))
+    fates = judged.groupBy(F.col("doc_id").alias("fate_id"), F.col("text_key").alias("fate_key")).agg(F.bool_or(gone).alias("gone"), F.count("*").alias("copies")).where("gone or copies > 1")
+    fates = written(fates, "fates")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("id", F.col("row.doc_id").cast("long"))
+    rows = perhaps_in(rows, "id", written(marked_bits(fates, "fate_id"), "fate-ids"), "touched")
+    touched = rows.where("touched").withColumn("text_key", F.xxhash64("row.text"))
+    same = (F.col("id") == F.col("fate_id")) & (F.col("text_key") == F.col("fate_key"))
+    left = touched.join(fates, same, "left").where("gone is null or not gone")
+    once = left.where("copies > 1").groupBy("id", "text_key").agg(F.any_value("row").alias("row"))
+    out = rows.where("not touched").select("row").union(left.where("copies is null or copies = 1").select("row")).union(once.select("row"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,13 +48,20 @@ class Scanner:
         """Words, first words of the phrases' places, their labels, and the verified spans: label, first word, last word, edits, share kept."""
         words = (text or "").encode("utf-8", "replace").translate(TO_WORDS).split()
         line = f" {b' '.join(words).decode()} "
-        starts, labels, near = [], set(), {}
+        starts, labels, near, spaces = [], set(), {}, []
+
+        def word_at(place: int) -> int:
+            """How many spaces stand before a place."""
+            if not spaces:
+                spaces.extend(i for i, c in enumerate(line) if c == " ")
+            return bisect_left(spaces, place)
+
         names = list(self.phrases)
         for end, (size, where) in self.automaton.iter(line):
             for kind, n, offset in where:
                 at = end - size + 1
                 if kind == "phrase":
-                    starts.append(line.count(" ", 0, at))
+                    starts.append(word_at(at))
                     labels.add(self.phrases[names[n]])
                 else:
                     phrase, _, k = self.notices[n]
@@ -68,7 +76,7 @@ class Scanner:
                 m = self.patterns[n].search(line, a, b)
                 if m and m.end() > m.start():
                     edits = sum(m.fuzzy_counts)
-                    spans.append((label, line.count(" ", 0, m.start() + 1) - 1, line.count(" ", 0, m.end()) - 1, edits, 1 - edits / len(phrase)))
+                    spans.append((label, max(0, word_at(m.start() + 1) - 1), max(0, word_at(m.end()) - 1), edits, 1 - edits / len(phrase)))
                     reach = m.end() - k
         return len(words), starts, labels, spans
 

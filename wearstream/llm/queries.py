@@ -30,7 +30,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir)).drop("spans")
+    return licenses.scan_licenses(_table(spark, sf_dir))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_groups(_table(spark, sf_dir), size=3, percent=90).drop("n_links")
+    return jaccard_join.jaccard_groups(_table(spark, sf_dir), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,7 @@ c AS (SELECT doc_id, text, CAST(len(ws) AS BIGINT) n_words, CAST(coalesce(list_s
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (100 * n_symbols > 30 * n_words OR length(text) - length(replace(text, '!', '')) > 0.3 * n_words
-         OR 100 * n_dup_lines > 40 * (length(text) - length(replace(text, chr(10), '')) + 1) OR word_chars > 25 * n_words) kept
+         OR 100 * n_dup_lines > 40 * (length(text) - length(replace(text, chr(10), '')) + 1) OR word_chars > 25 * n_words
+         OR 100 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 40 * word_chars) kept
 FROM f
 """

@@ -61,11 +61,12 @@ class CountTree:
     """Token count of one text under edits: a segment tree over stretches of the text that encode independently.
 
     The leaves begin at a space before a letter. An edit re-encodes the leaves that it touches, with the one before
-    where it begins at a leaf's first two characters, since those made the edge; then only the sums above them change.
+    where it begins at a leaf's first two characters, since those made the edge; then only the sums above them change. An
+    edit costs the leaves it touches and the tree's height, not the text's length; the leaves' texts are joined at the end.
     """
 
     def __init__(self, text: str, count, leaf_chars: int = 256):
-        self.count, self.text, self.recoded = count, text, 0
+        self.count, self.recoded = count, 0
         cuts, at = [0], CUT.search(text, leaf_chars)
         while at:
             cuts.append(at.start())
@@ -74,8 +75,9 @@ class CountTree:
         while self.size < self.leaves:
             self.size *= 2
         self.tokens, self.chars = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(text)])):
-            self.tokens[self.size + i], self.chars[self.size + i] = count(text[a:b]), b - a
+        self.parts = [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+        for i, part in enumerate(self.parts):
+            self.tokens[self.size + i], self.chars[self.size + i] = count(part), len(part)
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
@@ -87,6 +89,14 @@ class CountTree:
     def total(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+    @property
+    def length(self) -> int:
+        return self.chars[1]
+
     def _leaf_at(self, at: int) -> tuple[int, int]:
         """The leaf that holds character at, or else the last with text, and where it starts."""
         i, start = 1, 0
@@ -97,9 +107,9 @@ class CountTree:
                 i += 1
         return i - self.size, start
 
-    def _put(self, leaf: int, tokens: int, chars: int) -> None:
+    def _put(self, leaf: int, part: str) -> None:
         i = self.size + leaf
-        self.tokens[i], self.chars[i] = tokens, chars
+        self.parts[leaf], self.tokens[i], self.chars[i] = part, self.count(part) if part else 0, len(part)
         while i > 1:
             i //= 2
             self._sum(i)
@@ -114,17 +124,18 @@ class CountTree:
         while last < self.leaves and stop < end:
             stop += self.chars[self.size + last]
             last += 1
-        self.text = self.text[:start] + new + self.text[end:]
-        stop += len(new) - (end - start)
-        self.recoded += stop - at
-        self._put(first, self.count(self.text[at:stop]), stop - at)
+        touched = "".join(self.parts[first:last])
+        touched = touched[: start - at] + new + touched[end - at :]
+        self.recoded += len(touched)
+        self._put(first, touched)
         for leaf in range(first + 1, last):
-            if self.chars[self.size + leaf]:
-                self._put(leaf, 0, 0)
+            if self.parts[leaf]:
+                self._put(leaf, "")
 
 
-#: What a redaction takes out: mail addresses, and runs of five digits or more with the marks that join them.
-PRIVATE = r"[\w.+-]+@[\w-]+\.[\w.]+|\+?\d(?:[.:/()-]?\d){4,}"
+#: What a redaction takes out: mail addresses, and runs of five digits or more with the marks that join them. Runs begin
+#: at their first character and are not given back, so a long one is read once.
+PRIVATE = r"(?<![\w.+-])[\w.+-]++@[\w-]++\.[\w.]++|\+?\d(?:[.:/()-]?\d){4,}+"
 
 
 def count_tokens(docs: DataFrame, *, private: str = PRIVATE, mark: str = "[redacted]", ranks_path: str | None = None) -> DataFrame:
@@ -148,7 +159,7 @@ def count_tokens(docs: DataFrame, *, private: str = PRIVATE, mark: str = "[redac
                     tree.replace(m.start() + shift, m.end() + shift, mark)
                     shift += len(mark) - (m.end() - m.start())
                     edits += 1
-                rows.append((before, edits, tree.total, len(tree.text), tree.recoded))
+                rows.append((before, edits, tree.total, tree.length, tree.recoded))
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", *names])
 
