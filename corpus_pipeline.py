@@ -19,13 +19,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    """One row, with the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8."""
     return keep_first(docs, size=5, percent=80)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words that smaller ids have in the same 13-word passages; those left without a word go."""
-    cut = remove_repeats(docs, k=13).where("n_removed = 0 or n_removed < n_words")
+    """Documents without the words that smaller ids have in the same 13-word passages; those left without a word go.
+
+    Lines, tabs and spaces around the words that stay are kept.
+    """
+    cut = remove_repeats(docs, k=13, layout=True).where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept_text"))
     fresh = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.char_length(text).cast("long"))}
     return cut.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -33,7 +36,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their place in the mixture of their sources, mix_slot and mix_place, as files keep no order."""
-    return mix_sources(docs).drop("mix_source", "mix_block")
+    return mix_sources(docs).drop("mix_source", "mix_block", "mix_release", "mix_due")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("mixture", mixture), ("packing", packed)]
 
-#: The classifier can't be expressed in SQL; tests hold the stages against brute-force versions.
+#: The classifier can't be expressed in SQL; tests/llm/test_pipeline.py holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
