@@ -17,21 +17,13 @@ from wearstream.streaming import stateful
 HOUR = 3600
 KIND, ALERTS = KIND_SQL, ALERTS_SQL
 SAMPLES = "s AS (SELECT event_id, user_id worker, epoch_us(ts) us, ts, value, event_type FROM events)"
-LEVELS = "v AS (SELECT *, CASE WHEN value >= 60 THEN 2 WHEN value >= 30 THEN 1 ELSE 0 END AS level FROM s)"
 TREND = "count(*) FILTER (kind = 'WARNING') warnings, count(*) FILTER (kind = 'CRITICAL') criticals"
-VOTES = """m AS (SELECT *, CASE WHEN c2 >= c1 AND c2 >= c0 THEN 2 WHEN c1 >= c0 THEN 1 ELSE 0 END smoothed FROM (
-  SELECT *, count(*) FILTER (level = 0) OVER w c0, count(*) FILTER (level = 1) OVER w c1, count(*) FILTER (level = 2) OVER w c2 FROM v
-  WINDOW w AS (PARTITION BY worker ORDER BY us, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))"""
 
 
 def _us(spark, d):
     return W.with_micros(samples(spark, d))
 
 
-def _levels(spark, d):
-    return _us(spark, d).withColumn("level", F.when(F.col("value") >= 60, 2).when(F.col("value") >= 30, 1).otherwise(0))
-
-
 @query("SELECT event_id, CASE WHEN value = -1 THEN NULL ELSE value END AS clean FROM events")
 def b03_clean(spark, d):
     return samples(spark, d).select("event_id", S.cleaned(F.col("value")).alias("clean"))
@@ -148,34 +140,12 @@ def e04_exposure(spark, d):
     return W.exposure(_us(spark, d), F.col("value") >= 20, 48 * HOUR).select("event_id", F.round("exposure", 6).alias("exposure"))
 
 
-@query(f"""WITH {SAMPLES} SELECT event_id, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, round(sum(CASE WHEN value < 80 THEN 0.0 ELSE 100.0 / (480.0 / pow(2.0, (value - 85.0) / 3.0)) END) OVER (PARTITION BY worker, CAST(ts + INTERVAL 330 MINUTE AS DATE) ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), 4) dose FROM s WHERE value <= 130""")
-def e06_dose(spark, d):
-    out = W.daily_dose(_us(spark, d).where("value <= 130"), S.site_time(F.col("ts")).cast("date"), S.noise_dose(F.col("value"), F.lit(60.0)))
-    return out.select("event_id", "day", F.round("dose", 4).alias("dose"))
-
-
 @query(f"""WITH {SAMPLES}, x AS (SELECT event_id, worker, us, CASE WHEN event_type = 'view' THEN value END v FROM s), y AS (SELECT *, last_value(v IGNORE NULLS) OVER w lv, last_value(CASE WHEN v IS NOT NULL THEN us END IGNORE NULLS) OVER w t FROM x WINDOW w AS (PARTITION BY worker ORDER BY us))
 SELECT event_id, CASE WHEN us - t <= 36000000000 THEN lv END held, CASE WHEN v IS NOT NULL THEN 'OBSERVED' WHEN us - t <= 36000000000 THEN 'IMPUTED' ELSE 'UNAVAILABLE' END origin FROM y""")
 def e08_locf(spark, d):
     return W.held(_us(spark, d).withColumn("value", F.when(F.col("event_type") == "view", F.col("value"))), 10 * HOUR).select("event_id", "held", "origin")
 
 
-@query(f"WITH {SAMPLES}, {LEVELS}, {VOTES} SELECT event_id, smoothed FROM m")
-def e12_vote(spark, d):
-    return W.voted(_levels(spark, d), 5).select("event_id", "smoothed")
-
-
-@query(f"WITH {SAMPLES}, {LEVELS}, {VOTES}, t AS (SELECT *, lag(smoothed) OVER (PARTITION BY worker ORDER BY us, event_id) b FROM m) SELECT event_id, worker, b AS before, smoothed FROM t WHERE smoothed <> b OR (b IS NULL AND smoothed <> 0)")
-def e13_transitions(spark, d):
-    return W.transitions(W.voted(_levels(spark, d), 5), "smoothed").select("event_id", "worker", "before", "smoothed")
-
-
-@query(f"""WITH {SAMPLES}, {LEVELS}, x AS (SELECT *, CASE WHEN level <> lag(level) OVER w OR us - lag(us) OVER w > 172800000000 THEN 1 ELSE 0 END new FROM v WINDOW w AS (PARTITION BY worker ORDER BY us, event_id)),
-y AS (SELECT *, CAST(sum(new) OVER (PARTITION BY worker ORDER BY us, event_id) AS BIGINT) segment FROM x) SELECT worker, segment, any_value(level) state, count(*) n, min(us) from_us, max(us) to_us FROM y GROUP BY 1, 2""")
-def e14_segments(spark, d):
-    return W.segments(_levels(spark, d), "level", 48 * HOUR)
-
-
 @query(f"""WITH {SAMPLES}, x AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY worker ORDER BY us, event_id) > 43200000000 THEN 1 ELSE 0 END f FROM s)
 SELECT event_id, CAST(sum(f) OVER (PARTITION BY worker ORDER BY us, event_id) AS BIGINT) AS session FROM x""")
 def e16_sessions(spark, d):
@@ -333,11 +303,6 @@ def d41_parity(spark, d):
     return J.parity(pick("customer", "c_cust"), pick("supplier", "s_supp"), "k", ["bal", "nation"], 5)
 
 
-@query(f"WITH {SAMPLES}, {LEVELS}, x AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY worker ORDER BY us, event_id) > 43200000000 THEN 1 ELSE 0 END f FROM s), y AS (SELECT *, CAST(sum(f) OVER (PARTITION BY worker ORDER BY us, event_id) AS BIGINT) AS session FROM x), z AS (SELECT *, min(us) OVER (PARTITION BY worker, session) t FROM y) SELECT worker, session, count(*) n, CASE WHEN count(*) >= 2 THEN quantile_cont(value, 0.5) END baseline FROM z WHERE us - t < 21600000000 AND value IS NOT NULL GROUP BY 1, 2")
-def e07_session_baseline(spark, d):
-    return W.session_baseline(W.sessions(_us(spark, d), 12 * HOUR), 6 * HOUR, 2)
-
-
 @query(f"WITH {SAMPLES}, x AS (SELECT *, CAST(us - lag(us) OVER o > 43200000000 AS INT) f, count(*) OVER (PARTITION BY worker ORDER BY us RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) received FROM s WINDOW o AS (PARTITION BY worker ORDER BY us, event_id)), y AS (SELECT *, sum(coalesce(f, 0)) OVER (PARTITION BY worker ORDER BY us, event_id) run FROM x) SELECT event_id, received, CAST(row_number() OVER (PARTITION BY worker, run ORDER BY us, event_id) AS INT) since_gap FROM y")
 def e10_receipts(spark, d):
     return W.receipts(_us(spark, d), 12 * HOUR).select("event_id", "received", "since_gap")
@@ -380,4 +345,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in registry.found.items() if sql is not None}
 
 
-from wearstream.plans import periods, records, sites  # noqa: E402, F401  (their queries register themselves)
+from wearstream.plans import periods, records, sites, timelines  # noqa: E402, F401  (their queries register themselves)

@@ -50,13 +50,6 @@ def held(rows: DataFrame, seconds: int) -> DataFrame:
     return rows.withColumn("held", F.when(fresh, v)).withColumn("origin", F.when(F.col("value").isNotNull(), "OBSERVED").when(fresh, "IMPUTED").otherwise("UNAVAILABLE"))
 
 
-def voted(rows: DataFrame, size: int) -> DataFrame:
-    """The majority of the last size states (0, 1, 2); ties go to the more severe."""
-    w = Window.partitionBy("worker").orderBy("us", "event_id").rowsBetween(-(size - 1), 0)
-    votes = F.array(*[F.struct(F.count_if(F.col("level") == s).over(w).alias("n"), F.lit(s).alias("s")) for s in range(3)])
-    return rows.withColumn("smoothed", F.array_max(votes)["s"])
-
-
 def sessions(rows: DataFrame, gap_seconds: int) -> DataFrame:
     """Numbers each worker's sessions from 0: a new one begins after a gap of more than gap_seconds."""
     w = Window.partitionBy("worker").orderBy("us", "event_id")
@@ -64,26 +57,6 @@ def sessions(rows: DataFrame, gap_seconds: int) -> DataFrame:
     return rows.withColumn("split", split.cast("int")).withColumn("session", F.sum("split").over(w)).drop("split")
 
 
-def transitions(rows: DataFrame, state: str) -> DataFrame:
-    """Rows whose state differs from the one before; a worker's first counts unless it is 0."""
-    w = Window.partitionBy("worker").orderBy("us", "event_id")
-    return rows.withColumn("before", F.lag(state).over(w)).where((F.col(state) != F.col("before")) | (F.col("before").isNull() & (F.col(state) != 0)))
-
-
-def segments(rows: DataFrame, state: str, gap_seconds: int) -> DataFrame:
-    """Stretches of one state without long gaps: worker, segment, state, samples, first and last microsecond."""
-    w = Window.partitionBy("worker").orderBy("us", "event_id")
-    new = (F.col(state) != F.lag(state).over(w)) | (F.col("us") - F.lag("us").over(w) > gap_seconds * 1_000_000)
-    cut = rows.withColumn("new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("segment", F.sum("new").over(w))
-    return cut.groupBy("worker", "segment").agg(F.first(state).alias("state"), F.count("*").alias("n"), F.min("us").alias("from_us"), F.max("us").alias("to_us"))
-
-
-def daily_dose(rows: DataFrame, day: Column, dose: Column) -> DataFrame:
-    """Running sum of a dose within a worker's day."""
-    w = Window.partitionBy("worker", "day").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("day", day).withColumn("dose", F.sum(dose).over(w))
-
-
 def receipts(rows: DataFrame, seconds: int) -> DataFrame:
     """Samples received in the last seconds, and the samples since the last gap longer than that."""
     w = Window.partitionBy("worker").orderBy("us", "event_id")
@@ -99,10 +72,3 @@ def episodes(rows: DataFrame, active: Column) -> DataFrame:
     rise = F.col("active") & ~F.coalesce(F.lag("active").over(w), F.lit(False))
     runs = marked.withColumn("rise", rise.cast("int")).withColumn("episode", F.sum("rise").over(w))
     return runs.where("active").groupBy("worker", "episode").agg(F.count("*").alias("n"))
-
-
-def session_baseline(rows: DataFrame, seconds: int, least: int) -> DataFrame:
-    """Per session: the median of its values in the first seconds, null with fewer than least."""
-    start = F.min("us").over(Window.partitionBy("worker", "session"))
-    early = rows.withColumn("start", start).where((F.col("us") - F.col("start") < seconds * 1_000_000) & F.col("value").isNotNull())
-    return early.groupBy("worker", "session").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.percentile("value", 0.5)).alias("baseline"))
