@@ -26,10 +26,11 @@ OUT_OF_ORDER, COLD_START, FEW_SAMPLES, REFILL, NO_VALUE = "OUT_OF_ORDER_TIMESTAM
 WARMING = {COLD_START, FEW_SAMPLES}
 
 
-def folded(rows: DataFrame, columns: list[str], out: str, state: str, start: tuple, step: Callable[[dict, tuple], tuple]) -> DataFrame:
-    """step(state, row) of each row of a worker in order of seq, with the state that the row before left.
+def folded(rows: DataFrame, columns: list[str], out: str, state: str, start: tuple, step: Callable[[dict, tuple], tuple | None], close: Callable[[dict], None] | None = None) -> DataFrame:
+    """step(state, row) of each row of a worker in order of seq, with the state that the row before left; None gives no row.
 
-    Equal seqs are taken in order of the other columns in a table, in order of arrival in a stream.
+    Equal seqs are taken in order of the other columns in a table, in order of arrival in a stream. close brings the
+    state into its stored form at the end of a trigger.
     """
     names, given = [c.split()[0] for c in state.split(", ")], rows.select("worker", *columns)
     schema = to_arrow_schema(StructType.fromDDL(out))
@@ -44,13 +45,17 @@ def folded(rows: DataFrame, columns: list[str], out: str, state: str, start: tup
             for worker, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (worker,) != now:
                     now, s = (worker,), dict(zip(names, start))
-                found.append((worker, *step(s, row)))
+                out_row = step(s, row)
+                if out_row is not None:
+                    found.append((worker, *out_row))
             yield table(found)
 
     def trigger(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         s = dict(zip(names, held.get if held.exists else start))
         frame = pd.concat(frames).sort_values("seq", kind="stable")
-        found = [(key[0], *step(s, row)) for row in zip(*(frame[c] for c in columns))]
+        found = [(key[0], *out_row) for row in zip(*(_plain(frame[c]) for c in columns)) if (out_row := step(s, row)) is not None]
+        if close:
+            close(s)
         held.update(tuple(s[n] for n in names))
         yield table(found).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
@@ -59,6 +64,11 @@ def folded(rows: DataFrame, columns: list[str], out: str, state: str, start: tup
     return given.repartition("worker").sortWithinPartitions("worker", *columns).mapInArrow(replay, out)
 
 
+def _plain(column: pd.Series) -> list:
+    """A column's values as Python's own, null ones as None."""
+    return [None if x is None or x is pd.NA or x != x else x for x in column.tolist()]
+
+
 def emergencies(actions: DataFrame) -> DataFrame:
     """Each action (worker, seq, us, action) with the phase after it and its outcome.
 
