@@ -345,4 +345,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in registry.found.items() if sql is not None}
 
 
-from wearstream.plans import periods, records, sites, timelines  # noqa: E402, F401  (their queries register themselves)
+from wearstream.plans import evaluation, periods, records, sites, timelines  # noqa: E402, F401  (their queries register themselves)

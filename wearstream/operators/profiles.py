@@ -68,3 +68,9 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     """One page of the ordered rows; size is kept within 1 to 100."""
     size = min(max(size, 1), 100)
     return rows.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+
+
+def page_count(rows: DataFrame, size: int) -> DataFrame:
+    """Rows in all and the pages that they fill; size is kept within 1 to 100."""
+    size = min(max(size, 1), 100)
+    return rows.agg(F.count("*").alias("total"), F.ceil(F.count("*") / size).alias("pages"))
