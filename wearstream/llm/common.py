@@ -48,10 +48,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where the session names none (tests)."""
+    """The shared folder for intermediate tables, which the cluster names in spark.checkpoint.dir.
+
+    Where it names none, a temporary one does in local mode (tests); on a cluster, whose machines share no such folder,
+    it raises.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wearstream-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -133,12 +140,14 @@ def perhaps_in(rows: DataFrame, column: str, bitmap: DataFrame, name: str, bits:
     return rows.join(held, place == F.col(f"{name}_word"), "left").withColumn(name, F.coalesce(bit != 0, F.lit(False))).drop(f"{name}_word", f"{name}_mask")
 
 
-def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """The smallest vertex that each vertex of edges (a, b) reaches: node, component.
 
     Each round every vertex takes the smallest of its neighbours and itself as parent, then its parent's parent, and the
-    edges are contracted: those within a parent vanish and equal ones merge, so a round costs what is left. The rounds'
-    parents are composed at the end. Tables are checkpointed each round. No edges give no rows.
+    edges are contracted: those within a parent vanish and equal ones merge, so a round costs what is left. A vertex
+    that is left after a round has taken in a neighbour, or has a smaller neighbour by then and merges in the next one,
+    so two rounds at least halve the vertices. The rounds' parents are composed at the end. Tables are checkpointed each
+    round. No edges give no rows.
     """
 
     def between(a: str, b: str, table: DataFrame) -> DataFrame:
@@ -146,8 +155,6 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
 
     left, rounds = between("a", "b", edges), []
     while not rounds or not left.isEmpty():
-        if len(rounds) == max_rounds:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         down = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         ends = down.unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("parent")).distinct())
         first = checkpointed(ends.groupBy("node").agg(F.min("parent").alias("parent")))
