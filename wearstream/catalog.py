@@ -154,18 +154,19 @@ def e16_sessions(spark, d):
 
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def c07_anti(spark, d):
-    nations = table(spark, d, "nation").where("n_regionkey = 1")
-    return table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("s_suppkey")
+    nations = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
+    return J.without(table(spark, d, "supplier"), nations, "s_nationkey").select("s_suppkey")
 
 
 @query(f"WITH {ALERTS} SELECT worker, arg_max(kind, (ts, event_id)) latest, max(ts) seen FROM a GROUP BY 1")
 def c09_latest_state(spark, d):
-    return alerts(spark, d).groupBy("worker").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("latest"), F.max("ts").alias("seen"))
+    return J.latest_state(alerts(spark, d), "worker", "kind")
 
 
 @query("SELECT DISTINCT k FROM (SELECT user_id k FROM events UNION ALL SELECT c_custkey FROM customer)")
 def h02_union_distinct(spark, d):
-    return samples(spark, d).select(F.col("worker").alias("k")).union(table(spark, d, "customer").select("c_custkey")).distinct()
+    ids = [samples(spark, d).select(F.col("worker").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k"))]
+    return J.concatenated(ids).distinct()
 
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal / 50 BETWEEN -90 AND 90 AND s_nationkey * 10.0 BETWEEN -180 AND 180 THEN s_acctbal / 50 END lat FROM supplier")
@@ -218,8 +219,8 @@ def b30_signature(spark, d):
 
 @query("SELECT o_orderkey, coalesce(c_name, CAST(o_custkey AS VARCHAR)) AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 10")
 def c01_names(spark, d):
-    some = table(spark, d, "customer").where("c_nationkey < 10").select("c_custkey", "c_name")
-    return table(spark, d, "orders").join(some, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.col("o_custkey").cast("string")).alias("name"))
+    some = table(spark, d, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("worker_id"), F.col("c_name").alias("name"))
+    return J.named(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("worker")), some).select("o_orderkey", "name")
 
 
 @query(f"WITH {ALERTS}, l AS (SELECT worker, arg_max(kind, (ts, event_id)) latest FROM a GROUP BY 1) SELECT coalesce(latest, 'UNKNOWN') state, count(*) workers FROM customer LEFT JOIN l ON worker = c_custkey GROUP BY 1")
@@ -246,14 +247,14 @@ def c16_latest_wins(spark, d):
     return J.latest_wins(rows.where("event_type = 'view'").drop("event_type"), rows.where("event_type = 'click'").drop("event_type"), "worker", ["ts", "event_id"])
 
 
-@query("SELECT user_id worker, max(abs(value - 30.0)) size FROM events WHERE value IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("""WITH x AS (SELECT user_id worker, max({'size': abs(value - 30.0), 'd': value - 30.0}) m FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT worker, m.size AS size, m.d deviation FROM x ORDER BY 2 DESC, 1 LIMIT 10""")
 def d09_top_deviation(spark, d):
-    return samples(spark, d).where("value is not null").groupBy("worker").agg(F.max(F.abs(F.col("value") - 30.0)).alias("size")).orderBy(F.desc("size"), "worker").limit(10)
+    return A.largest_deviations(samples(spark, d).withColumn("deviation", F.col("value") - 30.0), top=10)
 
 
 @query("SELECT event_type, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, round(avg(value), 6) mean, count(value) n FROM events GROUP BY 1, 2")
 def d15_daily_averages(spark, d):
-    return samples(spark, d).groupBy("event_type", S.site_time(F.col("ts")).cast("date").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
+    return A.daily_means(samples(spark, d), "event_type", "value")
 
 
 @query("SELECT count(*) n, count(DISTINCT user_id) AS keys, min(ts) from_ts, max(ts) to_ts, count(DISTINCT date_trunc('minute', ts)) AS minutes, count(*) FILTER (user_id IS NULL) null_worker, count(*) FILTER (ts IS NULL) null_ts, count(*) FILTER (value IS NULL) null_value FROM events")
@@ -268,7 +269,7 @@ def d29_conditional(spark, d):
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) qp, round(corr(l_quantity, l_tax), 6) qt FROM lineitem")
 def d30_correlation(spark, d):
-    return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("qp"), F.round(F.corr("l_quantity", "l_tax"), 6).alias("qt"))
+    return P.correlations(table(spark, d, "lineitem"), {"qp": ("l_quantity", "l_extendedprice"), "qt": ("l_quantity", "l_tax")})
 
 
 @query("SELECT event_type, count(value) n, round(avg(value), 6) mean, round(stddev_samp(value), 6) std, min(value) low, max(value) high, round(quantile_cont(value, 0.1), 6) p10, round(quantile_cont(value, 0.9), 6) p90 FROM events GROUP BY 1")
@@ -345,4 +346,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in registry.found.items() if sql is not None}
 
 
-from wearstream.plans import evaluation, periods, records, sites, timelines  # noqa: E402, F401  (their queries register themselves)
+from wearstream.plans import evaluation, periods, records, sites, timelines, views  # noqa: E402, F401  (their queries register themselves)

@@ -57,6 +57,18 @@ def extreme_deviation(rows: DataFrame, *, least: float) -> DataFrame:
     )
 
 
+def largest_deviations(rows: DataFrame, *, top: int) -> DataFrame:
+    """The workers with the largest deviation by size, which keeps its sign; of equal sizes the positive one, then by id."""
+    d = F.col("deviation")
+    best = rows.where(d.isNotNull()).groupBy("worker").agg(F.max(F.struct(F.abs(d).alias("size"), d.alias("deviation"))).alias("m"))
+    return best.select("worker", "m.size", "m.deviation").orderBy(F.desc("size"), "worker").limit(top)
+
+
+def daily_means(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """Means by key and local day with the number of values; days without rows are left out."""
+    return rows.groupBy(key, site_time(F.col("ts")).cast("date").alias("day")).agg(F.round(F.avg(column), 6).alias("mean"), F.count(column).alias("n"))
+
+
 def longest_streaks(rows: DataFrame, counter: str, *, top: int) -> DataFrame:
     """The workers whose counter came furthest, above 0; ties by id. The counter runs, so its maximum counts, never its sum."""
     best = rows.groupBy("worker").agg(F.max(counter).alias("longest")).where("longest > 0")

@@ -13,6 +13,22 @@ def latest_wins(snapshot: DataFrame, live: DataFrame, key: str, order: list[str]
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(key, "row.*")
 
 
+def named(rows: DataFrame, workers: DataFrame) -> DataFrame:
+    """Rows (worker, ...) with their worker's name, or the id where there is none."""
+    joined = rows.join(workers.select(F.col("worker_id").alias("_w"), F.col("name").alias("_name")), F.col("worker") == F.col("_w"), "left")
+    return joined.withColumn("name", F.coalesce("_name", F.col("worker").cast("string"))).drop("_w", "_name")
+
+
+def without(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows whose key the others don't have."""
+    return rows.join(others.select(key).distinct(), key, "left_anti")
+
+
+def latest_state(rows: DataFrame, key: str, state: str) -> DataFrame:
+    """Each key's last state and when it was; equal times by event_id."""
+    return rows.groupBy(key).agg(F.max_by(state, F.struct("ts", "event_id")).alias("latest"), F.max("ts").alias("seen"))
+
+
 def concatenated(tables: list[DataFrame]) -> DataFrame:
     """All rows of the tables, by names; columns that a table lacks are null."""
     out = tables[0]

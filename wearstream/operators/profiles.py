@@ -23,6 +23,11 @@ def inventory(rows: DataFrame, key: str, ts: str) -> DataFrame:
     )
 
 
+def correlations(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Pearson correlations of named pairs of columns; one pass."""
+    return rows.agg(*[F.round(F.corr(a, b), 6).alias(name) for name, (a, b) in pairs.items()])
+
+
 def conditional_shares(rows: DataFrame, given: Column, of: Column) -> DataFrame:
     """P(of | given) and P(given | of); null where the condition never holds."""
     share = lambda x, y: F.round(F.avg(F.when(y, x.cast("int"))), 6)

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wearstream-")).rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one in local mode (tests); otherwise it raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    return (named or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
 def finished(stream: DataFrame) -> DataFrame:
