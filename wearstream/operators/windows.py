@@ -6,29 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A slice of a worker's time is so many times as long as the window that looks back.
+SLICE = 16
+
+
 def _frame(seconds: int):
     return Window.partitionBy("worker").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
 
 
+def sliced(rows: DataFrame, seconds: int) -> DataFrame:
+    """The rows dealt to slices of time, each with copies (own false) of the last rows before it that a window of seconds needs.
+
+    Windows over (worker, slice) then see what windows over the worker would, and no task has more than a slice of one.
+    One row in SLICE is copied on average. Rows without a time keep a slice of their own.
+    """
+    size = SLICE * seconds * 1_000_000
+    here = F.floor(F.col("us") / size)
+    late = F.col("us") - here * size > size - seconds * 1_000_000
+    both = F.when(late, F.array(here, here + 1)).otherwise(F.array(here))
+    return rows.withColumn("_here", here).withColumn("slice", F.explode(both)).withColumn("own", F.col("slice").eqNullSafe(F.col("_here"))).drop("_here")
+
+
+def owned(rows: DataFrame) -> DataFrame:
+    return rows.where("own").drop("own", "slice")
+
+
 def with_micros(rows: DataFrame) -> DataFrame:
     """Adds us: the sample's time in microseconds, which range frames need."""
     return rows.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 def rolling(rows: DataFrame, seconds: int, least: int) -> DataFrame:
-    """Mean and sample deviation over the last seconds; null with fewer than least values. Both share one sort."""
-    f = _frame(seconds)
+    """Mean and sample deviation over the last seconds; null with fewer than least values. Both share one sort of slices."""
+    f = Window.partitionBy("worker", "slice").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     enough = F.count("value").over(f) >= least
-    return rows.withColumn("roll_mean", F.when(enough, F.avg("value").over(f))).withColumn("roll_std", F.when(enough, F.stddev_samp("value").over(f)))
+    return owned(sliced(rows, seconds).withColumn("roll_mean", F.when(enough, F.avg("value").over(f))).withColumn("roll_std", F.when(enough, F.stddev_samp("value").over(f))))
 
 
 def median_split(rows: DataFrame, seconds: int, part: int, least: int) -> DataFrame:
     """Change from the median of the window's first part to that of its last, per 60 units; null with few values."""
-    w = Window.partitionBy("worker").orderBy("us")
+    w = Window.partitionBy("worker", "slice").orderBy("us")
     head, tail = w.rangeBetween(-(seconds * 1_000_000 - 1), -(seconds - part) * 1_000_000), w.rangeBetween(-(part * 1_000_000 - 1), 0)
     enough = (F.count("value").over(head) >= least) & (F.count("value").over(tail) >= least)
     change = F.percentile("value", 0.5).over(tail) - F.percentile("value", 0.5).over(head)
-    return rows.withColumn("trend", F.when(enough, change / (seconds - part) * 60))
+    return owned(sliced(rows, seconds).withColumn("trend", F.when(enough, change / (seconds - part) * 60)))
 
 
 def exposure(rows: DataFrame, active: Column, bridge_seconds: int) -> DataFrame:
@@ -44,10 +65,11 @@ def exposure(rows: DataFrame, active: Column, bridge_seconds: int) -> DataFrame:
 
 def held(rows: DataFrame, seconds: int) -> DataFrame:
     """The last accepted value while it is at most seconds old, and whether it was observed, held or is unavailable."""
-    w = Window.partitionBy("worker").orderBy("us")
+    w = Window.partitionBy("worker", "slice").orderBy("us")
     v, at = F.last("value", ignorenulls=True).over(w), F.last(F.when(F.col("value").isNotNull(), F.col("us")), ignorenulls=True).over(w)
     fresh = F.col("us") - at <= seconds * 1_000_000
-    return rows.withColumn("held", F.when(fresh, v)).withColumn("origin", F.when(F.col("value").isNotNull(), "OBSERVED").when(fresh, "IMPUTED").otherwise("UNAVAILABLE"))
+    origin = F.when(F.col("value").isNotNull(), "OBSERVED").when(fresh, "IMPUTED").otherwise("UNAVAILABLE")
+    return owned(sliced(rows, seconds + 1).withColumn("held", F.when(fresh, v)).withColumn("origin", origin))
 
 
 def sessions(rows: DataFrame, gap_seconds: int) -> DataFrame:
