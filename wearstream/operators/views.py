@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wearstream.functions.guidance import actions
+from wearstream.functions.results import overall_state
 from wearstream.functions.scalars import classified, deviation_percent, half_up, online, operational_state, site_time
 from wearstream.operators.sites import last_position, last_seen, latest_packet
 
@@ -93,3 +95,29 @@ def decided(samples: DataFrame, answers: DataFrame) -> DataFrame:
 def classified_ready(rows: DataFrame, ready: Column, verdict: Column) -> DataFrame:
     """verdict for READY rows only; the others have none."""
     return rows.withColumn("state", F.when(ready, verdict))
+
+
+def of_known_workers(rows: DataFrame, workers: DataFrame) -> DataFrame:
+    """Rows (worker, state) with reason: those of unknown workers are UNCERTAIN / WORKER_NOT_FOUND whatever their state."""
+    joined = rows.join(workers.select(F.col("worker_id").alias("_w")).distinct(), F.col("worker") == F.col("_w"), "left")
+    unknown = F.col("_w").isNull()
+    return joined.withColumn("reason", F.when(unknown, "WORKER_NOT_FOUND")).withColumn("state", F.when(unknown, "UNCERTAIN").otherwise(F.col("state"))).drop("_w")
+
+
+def reason_shares(rows: DataFrame, by: str, hit: Column) -> DataFrame:
+    """Rows of each key, those that are hit, and their share."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(hit).alias("errors")).withColumn("share", F.round(F.col("errors") / F.col("n"), 6))
+
+
+def guidance_document(rows: DataFrame, baseline: float, limits: tuple[float, float], attention_percent: float) -> DataFrame:
+    """Each reading's overall state, actions in order, and how many conditions need attention.
+
+    One channel has limits, and its deviation from a baseline needs attention from attention_percent on.
+    """
+    level = classified(F.col("value"), *limits)
+    far = F.coalesce(F.abs(deviation_percent(F.col("value"), F.lit(baseline))) >= attention_percent, F.lit(False))
+    emergency = F.col("event_type") == "error"
+    state = overall_state(emergency, level, F.array(level), F.lit(False))
+    todo = actions({"noise": level}, far, F.lit(True), level, F.lit(False), emergency)
+    count = F.coalesce((level != "SAFE").cast("int"), F.lit(0)) + far.cast("int")
+    return rows.select("event_id", state.alias("state"), F.concat_ws(",", todo).alias("actions"), count.alias("attention"))

@@ -17,6 +17,7 @@ from wearstream.operators import views as V
 from wearstream.operators import windows as W
 from wearstream.plans.registry import query
 from wearstream.plans.sites import HELMETS, PACKETS, _packets
+from wearstream.sources import contracts as X
 from wearstream.sources.tables import ALERTS_SQL, alerts, helmets, profiles, samples, table, workers
 from wearstream.streaming import quality as Q
 
@@ -180,3 +181,41 @@ def f10_quality(spark, d):
     """No SQL: sessions, screening and holds are recursive; tested by hand cases."""
     rules = Q.Rules(session_gap=86400.0, major_gap=36000.0, loss_window=86400.0, sample_period=20000.0, least_samples=2, warmup=3600.0, calibration=3600.0)
     return Q.readings_gate(Q.handed_over(_readings(spark, d)), rules)
+
+
+@query("""WITH x AS (SELECT event_id, user_id worker, CASE WHEN value >= 60 THEN 'CRITICAL' WHEN value >= 30 THEN 'WARNING' ELSE 'SAFE' END n, event_type = 'error' e, value FROM events)
+SELECT event_id, CASE WHEN e THEN 'EMERGENCY' ELSE n END AS state, CASE WHEN e THEN 'followEmergencyProcedure,locateCheckWorker' ELSE concat_ws(',', CASE n WHEN 'CRITICAL' THEN 'reduceNoiseExposure' WHEN 'WARNING' THEN 'monitorNoiseExposure' END,
+CASE WHEN abs((value - 30) / 30 * 100) >= 20 THEN 'checkWorkerCondition' END, CASE WHEN n = 'SAFE' AND abs((value - 30) / 30 * 100) < 20 THEN 'continueMonitoring' END) END actions, CAST(n <> 'SAFE' AS INT) + CAST(abs((value - 30) / 30 * 100) >= 20 AS INT) attention FROM x""")
+def l09_guidance(spark, d):
+    return V.guidance_document(samples(spark, d), 30.0, (30, 60), 20.0)
+
+
+@query("SELECT DISTINCT worker, CASE WHEN e THEN 'EMERGENCY' WHEN s = 'SAFE' AND u THEN 'UNCERTAIN' ELSE s END AS state FROM (SELECT user_id worker, bool_or(event_type = 'error' AND ts >= TIMESTAMP '2024-01-30 00:00:00') e, CASE WHEN arg_max(value, (ts, event_id)) >= 60 THEN 'CRITICAL' WHEN arg_max(value, (ts, event_id)) >= 30 THEN 'WARNING' ELSE 'SAFE' END s, arg_max(event_type, (ts, event_id)) = 'signup' u FROM events GROUP BY 1)")
+def l13_status_events(spark, d):
+    pressed = samples(spark, d).where((F.col("event_type") == "error") & (F.col("ts") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))).select("worker")
+    seen = samples(spark, d).select(F.col("worker").alias("worker_id")).distinct()
+    return V.status(seen, samples(spark, d), _states(spark, d), pressed, _now(), 180).select(F.col("worker_id").alias("worker"), "state")
+
+
+@query("SELECT user_id worker, count(*) n, count(*) FILTER (event_type = 'error') errors, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS share FROM events GROUP BY 1")
+def l16_reason_shares(spark, d):
+    return V.reason_shares(samples(spark, d), "worker", F.col("event_type") == "error")
+
+
+@query("""SELECT user_id worker, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) place, value heart_rate, CASE WHEN event_id % 3 = 0 THEN NULL WHEN value <> -1 THEN value / 2 END gas, CASE WHEN event_id % 7 = 0 THEN 'NO_TIME' END problem FROM events WHERE user_id % 2 = 0
+UNION ALL SELECT user_id, NULL, NULL, NULL, NULL, 'NO_HELMET' FROM events WHERE user_id % 2 = 1 GROUP BY 1""")
+def a07_uploads(spark, d):
+    k, v = F.col("event_id"), F.col("value")
+    sample = F.struct(
+        F.when(k % 7 > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"), v.cast("string").alias("heartRate"), F.when(k % 3 == 0, "-1").otherwise((v / 2).cast("string")).alias("gas"), k.alias("bodyTemp")
+    )
+    lists = samples(spark, d).groupBy("worker").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), sample.alias("s")))).alias("l"))
+    packets = lists.select("worker", F.to_json(F.struct(F.when(F.col("worker") % 2 == 0, "H").alias("helmetId"), F.transform("l", lambda x: x["s"]).alias("samples"))).alias("value"))
+    rows = X.uploads(packets.withColumnRenamed("worker", "sender"))
+    return rows.select(F.col("sender").alias("worker"), F.col("body_temperature").cast("long").alias("event_id"), "place", "heart_rate", "gas", "problem")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'UNCERTAIN' ELSE event_type END AS state, CASE WHEN user_id % 4 = 0 THEN 'WORKER_NOT_FOUND' END reason FROM events")
+def l23_unknown_workers(spark, d):
+    known = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("worker_id"))
+    return V.of_known_workers(samples(spark, d).select("event_id", "worker", F.col("event_type").alias("state")), known).select("event_id", "state", "reason")
