@@ -222,10 +222,13 @@ def remove_repeats(
     hot_seen, hot_first = Held(hot_hashes), np.frombuffer(b"".join(bytes(r["ids"]) for r in firsts), np.int64)[np.argsort(hot_hashes)]
     marks = written(found.where("part >= 0").repartition(buckets, "part").groupBy("part").applyInArrow(by_id, "id long, marks binary"), "marks")
 
+    place = docs.columns.index("text")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 256):
             n_words, n_gone, kept, repeats = [], [], [], []
-            for doc_id, text, marked in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+            texts = batch.column(0).field(place).to_pylist()
+            for doc_id, text, marked in zip(batch.column(1).to_pylist(), texts, batch.column(2).to_pylist()):
                 data = (text or "").encode("utf-8", "replace")
                 words = word_hashes(data.split())
                 gone = np.zeros(len(words), bool)
@@ -252,6 +255,5 @@ def remove_repeats(
     rows = perhaps_in(rows, "doc_id", written(marked_bits(marks, "id"), "marked-ids"), "touched")
     joined = rows.where("touched").select("row", "doc_id").join(marks.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("row", "doc_id", "marks")
     both = joined.unionByName(rows.where("not touched").select("row", "doc_id", F.lit(None).cast("binary").alias("marks")))
-    slim = both.select("row", "doc_id", F.col("row.text").alias("text"), "marks")  # the row holds the text already
-    schema = slim.select("row").selectExpr("row", "0L n_words", "0L n_removed", "'' kept_text", "cast(null as array<struct<first:long,words:long>>) repeats").schema
-    return slim.mapInArrow(cut, schema)
+    schema = both.select("row").selectExpr("row", "0L n_words", "0L n_removed", "'' kept_text", "cast(null as array<struct<first:long,words:long>>) repeats").schema
+    return both.mapInArrow(cut, schema)  # the row holds the text, so it travels once
