@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearstream.llm import jaccard_join, licenses, mixing, order_minhash, packing, quality_model, quality_rules, substring_dedup, tokens, toxicity
+from wearstream.llm import jaccard_join, licenses, mixing, order_minhash, packing, periodic_runs, quality_model, quality_rules, substring_dedup, tokens, toxicity
+from wearstream.llm.common import words_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -59,8 +62,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir))
 
 
+def looped(doc_id: int | None, text: str | None) -> list[bytes]:
+    """A text's words; of one id in ten those from some place on repeat with a period, both given by the id's CRC."""
+    words = words_of(text)
+    h = crc32(b"%d" % doc_id) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    once = words[a : a + p]
+    return words[:a] + (once * (1 + (n - a) // p))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(_table(spark, sf_dir), words=looped))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality_rules, op4_license_scan, op5_quality_classifier, op6_jaccard_join, op7_substring_dedup, op8_mixing, op9_order_minhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality_rules, op4_license_scan, op5_quality_classifier, op6_jaccard_join, op7_substring_dedup, op8_mixing, op9_order_minhash, op10_token_counts, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
