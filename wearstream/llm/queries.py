@@ -7,7 +7,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearstream.llm import jaccard_join, licenses, mixing, order_minhash, packing, periodic_runs, quality_model, quality_rules, substring_dedup, tokens, toxicity
+from wearstream.llm import fast_sketch, jaccard_join, licenses, mixing, order_minhash, packing, periodic_runs, quality_model, quality_rules, substring_dedup, tokens, toxicity
 from wearstream.llm.common import words_of
 
 
@@ -62,6 +62,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fast_sketch.near_duplicates(_table(spark, sf_dir), size=4, percent=80)
+
+
 def looped(doc_id: int | None, text: str | None) -> list[bytes]:
     """A text's words; of one id in ten those from some place on repeat with a period, both given by the id's CRC."""
     words = words_of(text)
@@ -80,13 +84,23 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality_rules, op4_license_scan, op5_quality_classifier, op6_jaccard_join, op7_substring_dedup, op8_mixing, op9_order_minhash, op10_token_counts, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality_rules, op4_license_scan, op5_quality_classifier, op6_jaccard_join, op7_substring_dedup, op8_mixing, op9_order_minhash, op10_token_counts, op12_minhash_dedup, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op12_minhash_dedup": OP12_SQL}
 
 
+OP12_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 3], ' ') END g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+e AS (SELECT a.doc_id a, b.doc_id b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id v, doc_id c FROM w UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.v WHERE r.c < u.b)
+SELECT CAST(v AS BIGINT) doc_id, coalesce(n, 0) n_shingles, CAST(min(c) AS BIGINT) component_id, v = min(c) kept FROM r LEFT JOIN n ON n.doc_id = v GROUP BY 1, 2, v
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) i FROM w WHERE len(ws) > 0)),
