@@ -15,7 +15,8 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, DATA)
     columns = sorted(df.columns)

@@ -7,7 +7,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearstream.llm import fast_sketch, jaccard_join, licenses, mixing, order_minhash, packing, periodic_runs, quality_model, quality_rules, substring_dedup, tokens, toxicity
+from wearstream.llm import fast_sketch, jaccard_join, licenses, mixing, order_minhash, packing, periodic_runs, prefix_trie, quality_model, quality_rules, substring_dedup, tokens, toxicity
 from wearstream.llm.common import words_of
 
 
@@ -62,6 +62,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"), branch=True)
+
+
 def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fast_sketch.near_duplicates(_table(spark, sf_dir), size=4, percent=80)
 
@@ -84,12 +88,26 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality_rules, op4_license_scan, op5_quality_classifier, op6_jaccard_join, op7_substring_dedup, op8_mixing, op9_order_minhash, op10_token_counts, op12_minhash_dedup, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality_rules, op4_license_scan, op5_quality_classifier, op6_jaccard_join, op7_substring_dedup, op8_mixing, op9_order_minhash, op10_token_counts, op11_prefix_trie, op12_minhash_dedup, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op12_minhash_dedup": OP12_SQL}
-
+    return {"op3_quality_rules": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_minhash_dedup": OP12_SQL}
+
+
+OP11_SQL = """
+WITH o AS (SELECT conv_id c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) own FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT c, own, xor(list_reduce([4294967295] || flatten(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: [CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295) % 6 h FROM o),
+s AS (SELECT h.c, coalesce(b.own[1:h], []) || h.own[h + 1:] s FROM h LEFT JOIN o b ON b.c = h.c - h.c % 100),
+m AS (SELECT c, d, s[1:d] p, len(s) = d ended FROM (SELECT c, s, unnest(range(0, len(s) + 1)) d FROM s)),
+n AS (SELECT p, d, min(c) conv_id, count(*) n, CASE WHEN d > 0 THEN length(p[d].t) ELSE 0 END w, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '') e FROM m GROUP BY p, d),
+k AS (SELECT p[1:d - 1] p, d - 1 d, count(*) k FROM n WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(k, 0) k FROM n LEFT JOIN k USING (p, d)),
+u AS (SELECT a.p, a.d, sum(CAST(b.k = 0 AS BIGINT)) leaves, sum((b.n - 1) * b.w) saved FROM f a JOIN f b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY 1, 2)
+SELECT CAST(f.conv_id AS BIGINT) conv_id, f.d depth, CAST(q.conv_id AS BIGINT) parent_conv_id, f.n n_convs, f.k n_children, CAST(leaves AS BIGINT) n_leaves, CAST(saved AS BIGINT) saved_tokens, sha256(f.e) ends_sha256
+FROM f JOIN u USING (p, d) LEFT JOIN n q ON q.d = f.d - 1 AND q.p = f.p[1:f.d - 1]
+"""
 
 OP12_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
