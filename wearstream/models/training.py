@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wearstream.operators.aggregates import confusion
 from wearstream.operators.evaluation import summary
 from wearstream.operators.quantiles import quantiles
+from wearstream.operators.scans import numbered
 
 #: The features in the order of the contract; each set contains the one before.
 RAW = ["ambient_temperature", "uv_index", "gas", "noise", "body_temperature", "heart_rate"]
@@ -49,14 +50,22 @@ def standardised(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataF
 
     Exact medians; deviations are the population's; a column that doesn't vary is only centred.
     """
-    medians = [quantiles(train, [], c, [0.5]).select(F.col("q")[0].alias(f"_q_{c}")) for c in columns]
-    fill = medians[0]
-    for more in medians[1:]:
-        fill = fill.crossJoin(more)  # one row each
-    filled = lambda t: t.crossJoin(F.broadcast(fill)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_q_{c}")) for c in columns}).drop(*[f"_q_{c}" for c in columns])
-    moments = filled(train).agg(*[x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_d_{c}"))])
-    scaled = filled(rows).crossJoin(F.broadcast(moments)).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_d_{c}") for c in columns})
-    return scaled.select(*rows.columns)
+    fill, moments = training_moments(train, columns)
+    out = {c: (F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) - moments[c][0]) / moments[c][1] for c in columns}
+    return rows.withColumns(out)
+
+
+def training_moments(train: DataFrame, columns: list[str]) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
+    """Each column's exact median, and mean and population deviation once nulls are filled by it; numbers for each of a few columns.
+
+    All medians come from one pass over the columns' counted values. A column without values has the median 0, one that
+    doesn't vary the deviation 1.
+    """
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "name", "value")
+    fill = dict.fromkeys(columns, 0.0) | {r["name"]: r["q"][0] for r in quantiles(long, ["name"], "value", [0.5]).collect()}
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in columns]
+    one = train.agg(*[x for v, c in zip(filled, columns) for x in (F.avg(v).alias(f"m_{c}"), F.stddev_pop(v).alias(f"d_{c}"))]).first()
+    return fill, {c: (one[f"m_{c}"] or 0.0, one[f"d_{c}"] or 1.0) for c in columns}
 
 
 def with_weights(rows: DataFrame, label: str, factors: dict | None = None, balanced: bool = True) -> DataFrame:
@@ -82,8 +91,7 @@ def with_blocks(rows: DataFrame, order: list[str], blocks: int, purge: int) -> D
 
     The rows are cut into contiguous blocks; a row within purge rows of another block's edge isn't trained on for it.
     """
-    w = Window.partitionBy("worker")
-    rows = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    rows = _counted(numbered(rows, "worker", order, "_i"), "worker", "_n")
     edge = lambda k: F.floor(F.lit(k) * F.col("_n") / blocks)
     inside = [(F.col("_i") >= edge(k)) & (F.col("_i") < edge(k + 1)) for k in range(blocks)]
     near = [(F.col("_i") >= edge(k) - purge) & (F.col("_i") < edge(k + 1) + purge) & ~inside[k] for k in range(blocks)]
@@ -92,21 +100,29 @@ def with_blocks(rows: DataFrame, order: list[str], blocks: int, purge: int) -> D
     return rows.withColumn("block", block).withColumn("purged_from", purged).drop("_i", "_n")
 
 
+def _counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the number of the key's rows."""
+    counts = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias(name))
+    return rows.join(counts, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+
+
 def with_stopping_split(rows: DataFrame, order: list[str], block: int = 300, every: int = 7, purge: int = 60) -> DataFrame:
-    """rows with part: 'stop' for each worker's every-th block of rows, 'purged' for the rows next to one, else 'fit'."""
-    w = Window.partitionBy("worker").orderBy(*order)
-    rows = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_i") / block))
-    at, stops = F.col("_i") - F.col("_b") * block, lambda b: F.pmod(b, F.lit(every)) == every - 1
-    last = F.max("_b").over(Window.partitionBy("worker"))
+    """rows with part: 'stop' for the middle one of each every blocks of a worker's rows, 'purged' for the rows next to one, else 'fit'."""
+    rows = _counted(numbered(rows, "worker", order, "_i"), "worker", "_n").withColumn("_b", F.floor(F.col("_i") / block))
+    at, stops = F.col("_i") - F.col("_b") * block, lambda b: F.pmod(b, F.lit(every)) == every // 2
+    last = F.floor((F.col("_n") - 1) / block)
     near = ((at < purge) & (F.col("_b") > 0) & stops(F.col("_b") - 1)) | ((at >= block - purge) & stops(F.col("_b") + 1) & (F.col("_b") < last))
-    return rows.withColumn("part", F.when(stops(F.col("_b")), "stop").when(near, "purged").otherwise("fit")).drop("_i", "_b")
+    return rows.withColumn("part", F.when(stops(F.col("_b")), "stop").when(near, "purged").otherwise("fit")).drop("_i", "_b", "_n")
 
 
 def split(rows: DataFrame, label: str, key: str, seed: int, share: float = 0.2) -> DataFrame:
-    """rows with test: the share of each class with the smallest hashes of seed and key, rounded; others train."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
-    return rows.withColumn("test", place <= F.floor(F.count("*").over(w) * share + 0.5))
+    """rows with test: the share of each class with the smallest hashes of seed and key (a whole number), rounded; others train.
+
+    Hashes are counted by class, so no class is in one place; ties go by key.
+    """
+    hashed = rows.withColumn("_h", F.pmod(F.col(key).cast("long") * 2654435761 + seed * 40503, F.lit(1 << 32)))
+    placed = _counted(numbered(hashed, label, ["_h", key], "_i"), label, "_n")
+    return placed.withColumn("test", F.col("_i") < F.floor(F.col("_n") * share + 0.5)).drop("_h", "_i", "_n")
 
 
 def configurations(space: dict[str, list], n: int, seed: int) -> list[dict]:

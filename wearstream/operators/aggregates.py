@@ -91,11 +91,17 @@ def group_quantiles(rows: DataFrame, key: str, column: str, at: list[float]) ->
     return quantiles(rows, [key], column, at).select(key, *[F.round(F.col("q")[i], 6).alias(f"q{int(100 * x)}") for i, x in enumerate(at)])
 
 
-def mean_difference(rows: DataFrame, flag: Column, columns: list[str]) -> DataFrame:
-    """Standardised differences between flagged rows' means and the others'."""
-    long = rows.select(flag.alias("flag"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["flag"], columns, "channel", "value")
-    a = {f: (F.avg(F.when(F.col("flag") == f, F.col("value"))), F.var_samp(F.when(F.col("flag") == f, F.col("value")))) for f in (True, False)}
-    return long.groupBy("channel").agg(F.round((a[True][0] - a[False][0]) / F.sqrt((a[True][1] + a[False][1]) / 2), 6).alias("smd"))
+def mean_difference(rows: DataFrame, one: Column, other: Column, train: Column, columns: list[str]) -> DataFrame:
+    """How far the mean of one part of the rows is from another's, in sample deviations of the training rows; null if they don't vary."""
+    flags = {"_one": one, "_other": other, "_train": train}
+    long = rows.select(*[f.alias(n) for n, f in flags.items()], *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(flags), columns, "channel", "value")
+    of = lambda f: F.when(F.col(f), F.col("value"))
+    return long.groupBy("channel").agg(F.round((F.avg(of("_one")) - F.avg(of("_other"))) / F.nullif(F.stddev_samp(of("_train")), F.lit(0.0)), 6).alias("smd"))
+
+
+def largest_differences(differences: DataFrame, top: int) -> DataFrame:
+    """The channels whose means differ most, either way; ties by name."""
+    return differences.orderBy(F.abs("smd").desc_nulls_last(), "channel").limit(top)
 
 
 def confusion(rows: DataFrame, truth: str, said: str, classes: list) -> DataFrame:

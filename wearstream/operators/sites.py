@@ -89,26 +89,54 @@ def unread(notifications: DataFrame, read: Column) -> DataFrame:
     return notifications.groupBy("recipient").agg(F.count("*").alias("total"), F.count_if(~read).alias("unread"))
 
 
-def coverage(helmets: DataFrame, packets: DataFrame, start: Column, end: Column, now: Column) -> DataFrame:
-    """Of each helmet's packets in [start, end): their number, those expected at one per second, and the share, at most 100 percent.
+def coverage(helmets: DataFrame, packets: DataFrame, start: Column, end: Column, now: Column, seconds: int = 1) -> DataFrame:
+    """Of each helmet (helmet, wearer, registered, removed: times or null) the packets in [start, end), those expected, and the share.
 
-    The window ends now at the latest and begins at the helmet's registration at the earliest.
+    The window begins at the helmet's registration at the earliest, and ends now or at its removal at the latest. One packet
+    is expected each so many seconds; the share is in whole percents, at most 100, null where none is expected.
     """
     counts = packets.where((F.col("ts") >= start) & (F.col("ts") < end)).groupBy("worker").agg(F.count("*").alias("n"))
-    from_ = F.greatest(start, F.col("registered"))
-    expected = F.greatest(F.lit(0), F.floor((F.unix_micros(F.least(end, now).cast("timestamp")) - F.unix_micros(from_.cast("timestamp"))) / 1_000_000))
-    joined = helmets.join(counts, helmets.wearer == counts.worker, "left").withColumn("packets", F.coalesce("n", F.lit(0))).withColumn("expected", expected)
-    share = F.least(F.lit(100.0), half_up(F.coalesce(F.try_divide(F.col("packets") * 100.0, F.col("expected")), F.lit(0.0)), 1))
-    return joined.select("helmet", "packets", "expected", share.alias("coverage"))
+    from_, to = F.greatest(start, F.col("registered")), F.least(end, now, F.col("removed"))
+    micros = F.unix_micros(to.cast("timestamp")) - F.unix_micros(from_.cast("timestamp"))
+    joined = helmets.join(counts, helmets.wearer == counts.worker, "left").withColumn("packets", F.coalesce("n", F.lit(0)))
+    joined = joined.withColumn("expected", F.greatest(F.lit(0), F.floor(micros / (1_000_000 * seconds))).cast("long"))
+    share = F.least(F.lit(100.0), half_up(F.try_divide(F.col("packets") * 100.0, F.col("expected")), 0))
+    return joined.select("helmet", "packets", "expected", F.when(F.col("expected") > 0, share).alias("coverage"))
+
+
+def reliability(helmets: DataFrame, packets: DataFrame, start: Column, end: Column, now: Column, online_seconds: int) -> DataFrame:
+    """Of active helmets: how many, how many reported in [start, end), which didn't (in order), and how many are online now."""
+    reported = packets.where((F.col("ts") >= start) & (F.col("ts") < end)).select(F.col("worker").alias("_r")).distinct()
+    seen = last_seen(packets, "worker").select(F.col("worker").alias("_w"), "seen")
+    joined = helmets.where("active").join(reported, F.col("wearer") == F.col("_r"), "left").join(seen, F.col("wearer") == F.col("_w"), "left")
+    on = F.coalesce(F.col("seen") >= now - F.expr(f"interval '{online_seconds}' second"), F.lit(False))
+    return joined.agg(
+        F.count("*").alias("registered"), F.count("_r").alias("reporting"), F.count_if(F.col("_r").isNull()).alias("silent"), F.count_if(on).alias("online"), F.count_if(~on).alias("offline")
+    )
+
+
+def silent(helmets: DataFrame, packets: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Active helmets without a packet in [start, end)."""
+    reported = packets.where((F.col("ts") >= start) & (F.col("ts") < end)).select(F.col("worker").alias("_r")).distinct()
+    return helmets.where("active").join(reported, F.col("wearer") == F.col("_r"), "left_anti").select("helmet")
 
 
 def response(alerts: DataFrame) -> DataFrame:
-    """Alerts (acknowledged, resolved: minutes or null): totals, the share acknowledged, mean and median minutes to it, mean to resolution."""
+    """Alerts (emergency: boolean; acknowledged, resolved: minutes or null; closed: boolean): totals, answers and resolutions.
+
+    The share acknowledged in percent; mean and median minutes to it; emergencies closed and open; mean minutes to the
+    resolution of those emergencies that have one, and their number. One digit throughout; null where nothing counts.
+    """
+    urgent = F.col("emergency")
+    done = F.when(urgent, F.col("resolved"))
+    digits = lambda c: half_up(c, 1)
     one = alerts.agg(
-        F.count("*").alias("total"), F.count("acknowledged").alias("answered"), half_up(F.try_divide(F.count("acknowledged") * 100.0, F.count("*")), 1).alias("answer_rate"),
-        F.round(F.avg("acknowledged"), 6).alias("mean_minutes"), F.round(F.avg("resolved"), 6).alias("mean_resolution"), F.count("resolved").alias("resolutions"),
+        F.count("*").alias("total"), F.count("acknowledged").alias("answered"), F.count_if(F.col("acknowledged").isNull()).alias("unanswered"),
+        digits(F.try_divide(F.count("acknowledged") * 100.0, F.count("*"))).alias("answer_rate"), digits(F.avg("acknowledged")).alias("mean_minutes"),
+        F.count_if(urgent & F.col("closed")).alias("closed_emergencies"), F.count_if(urgent & ~F.col("closed")).alias("open_emergencies"),
+        digits(F.avg(done)).alias("mean_resolution"), F.count(done).alias("resolutions"),
     )
-    middle = quantiles(alerts, [], "acknowledged", [0.5]).select(F.col("q")[0].alias("median_minutes"))
+    middle = quantiles(alerts, [], "acknowledged", [0.5]).select(digits(F.col("q")[0]).alias("median_minutes"))
     return one.join(middle, F.lit(True), "left")  # one row each
 
 

@@ -1,7 +1,7 @@
 """Timelines within sessions: signals, doses, baselines, votes, transitions, segments and what a chart shows of them.
 
 Rows have worker, session, us (microseconds) and event_id, which orders equal times. Windows are by worker and session or
-by worker and day, so they are bounded by a shift; only the sessions themselves need a worker's rows in order.
+by worker and day, so they are bounded by a shift; what goes on across sessions is scanned by slices of time.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SECOND = 1_000_000
+from wearstream.operators.scans import SECOND, SLICE_SECONDS, in_slices, with_previous, with_running
+
 
 
 def by_session() -> WindowSpec:
@@ -77,17 +78,18 @@ def changes(rows: DataFrame, state: str) -> DataFrame:
     return rows.where((F.col(state) != F.col("before")) | (F.col("before").isNull() & (F.col(state) != 0)))
 
 
-def compressed(rows: DataFrame, gap_seconds: int) -> DataFrame:
+def compressed(rows: DataFrame, gap_seconds: int, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Segments of one state (and, while UNCERTAIN, one reason) without long gaps.
 
     worker, segment, state, reason, from_us, to_us, n, mean confidence to four digits, and quality: UNCERTAIN, IMPUTED if
     any sample is, else VALID. Rows: state, reason, confidence, quality.
     """
-    w = Window.partitionBy("worker").orderBy("us", "event_id")
+    order = ["us", "event_id"]
     why = F.when(F.col("state") == "UNCERTAIN", F.coalesce("reason", F.lit("")))
-    rows = rows.withColumn("_why", why)
-    same = F.col("state").eqNullSafe(F.lag("state").over(w)) & F.col("_why").eqNullSafe(F.lag("_why").over(w)) & (F.col("us") - F.lag("us").over(w) <= gap_seconds * SECOND)
-    cut = rows.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("segment", F.sum("_new").over(w))
+    rows = with_previous(in_slices(rows.withColumn("_why", why), slice_seconds), ["us", "state", "_why"], order)
+    before = lambda c: F.col("previous").getField(c)
+    same = before("us").isNotNull() & F.col("state").eqNullSafe(before("state")) & F.col("_why").eqNullSafe(before("_why")) & (F.col("us") - before("us") <= gap_seconds * SECOND)
+    cut = with_running(rows, {"segment": (~F.coalesce(same, F.lit(False))).cast("int")}, order)
     quality = F.when(F.first("state") == "UNCERTAIN", "UNCERTAIN").when(F.bool_or(F.col("quality") == "IMPUTED"), "IMPUTED").otherwise("VALID")
     return cut.groupBy("worker", "segment").agg(
         F.first("state").alias("state"), F.first(F.when(F.col("state") == "UNCERTAIN", F.col("reason"))).alias("reason"), F.min("us").alias("from_us"), F.max("us").alias("to_us"),
@@ -117,11 +119,43 @@ def chart_rows(drawn: DataFrame, levels: dict[str, int]) -> DataFrame:
     return drawn.select("worker", "segment", F.explode(points).alias("p")).select("worker", "segment", "p.*")
 
 
-def live(segments: DataFrame, points: DataFrame) -> DataFrame:
-    """Points that may be appended to a worker's segments: those after the last one's end, each time once."""
+def later(segments: DataFrame, points: DataFrame) -> DataFrame:
+    """Points with a time that may be appended to a worker's segments: those after the last one's end, each time once."""
     last = segments.groupBy(F.col("worker").alias("_w")).agg(F.max("to_us").alias("_to"))
-    later = points.join(last, points.worker == F.col("_w"), "left").where("_to is null or us > _to").drop("_w", "_to")
-    return later.dropDuplicates(["worker", "us"])
+    fresh = points.where("us is not null").join(last, points.worker == F.col("_w"), "left").where("_to is null or us > _to").drop("_w", "_to")
+    return fresh.dropDuplicates(["worker", "us"])
+
+
+def live(segments: DataFrame, points: DataFrame, gap_seconds: int, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Segments, as `compressed` gives them, with later points (worker, us, event_id, state, reason, confidence, quality).
+
+    Points without a state, and those no later than a worker's last segment, are left out; of equal times the smallest
+    event_id counts. A point with the state (and, while UNCERTAIN, the reason) of what is before it within the gap
+    extends it, the last segment included: its end, its number of samples, its mean confidence, and a VALID quality to
+    IMPUTED. Other points begin segments of their own. The mean of an earlier segment counts once for each of its samples.
+    """
+    known = points.where("state is not null").withColumn("_first", F.min("event_id").over(Window.partitionBy("worker", "us"))).where(F.col("event_id") == F.col("_first"))
+    fresh = later(segments, known)
+    why = F.when(F.col("state") == "UNCERTAIN", F.coalesce("reason", F.lit("")))
+    given = segments.select(
+        "worker", F.col("to_us").alias("us"), F.col("segment").cast("long").alias("event_id"), "state", why.alias("_why"), F.lit(True).alias("_old"), "from_us", "n",
+        F.when(F.col("confidence").isNotNull(), F.col("confidence") * F.col("n")).alias("_sum"), F.when(F.col("confidence").isNotNull(), F.col("n")).otherwise(0).alias("_count"), "quality",
+    )
+    one = fresh.select(
+        "worker", "us", F.col("event_id").cast("long").alias("event_id"), "state", why.alias("_why"), F.lit(False).alias("_old"), F.col("us").alias("from_us"), F.lit(1).cast("long").alias("n"),
+        F.col("confidence").cast("double").alias("_sum"), F.col("confidence").isNotNull().cast("long").alias("_count"), F.when(F.col("state") == "UNCERTAIN", F.lit("UNCERTAIN")).otherwise(F.col("quality")).alias("quality"),
+    )
+    order = ["us", "_old", "event_id"]
+    rows = with_previous(in_slices(given.unionByName(one), slice_seconds), ["us", "state", "_why"], order)
+    before = lambda c: F.col("previous").getField(c)
+    joins = ~F.col("_old") & F.col("state").eqNullSafe(before("state")) & F.col("_why").eqNullSafe(before("_why")) & (F.col("us") - before("us") <= gap_seconds * SECOND)
+    cut = with_running(rows, {"segment": (~F.coalesce(joins, F.lit(False))).cast("int")}, order)
+    first = F.min_by("quality", F.struct(*order))
+    quality = F.when((first == "VALID") & F.bool_or(F.coalesce(F.col("quality") == "IMPUTED", F.lit(False))), "IMPUTED").otherwise(first)
+    return cut.groupBy("worker", "segment").agg(
+        F.first("state").alias("state"), F.first(F.when(F.col("state") == "UNCERTAIN", F.nullif("_why", F.lit("")))).alias("reason"), F.min("from_us").alias("from_us"), F.max("us").alias("to_us"),
+        F.sum("n").alias("n"), F.round(F.sum("_sum") / F.nullif(F.sum("_count"), F.lit(0)), 4).alias("confidence"), quality.alias("quality"),
+    )
 
 
 def minute_places(rows: DataFrame) -> DataFrame:

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearstream.operators.scans import SLICE_SECONDS, in_slices, with_last, with_previous, with_running
 
 #: A slice of a worker's time is so many times as long as the window that looks back.
 SLICE = 16
 
 
-def _frame(seconds: int):
-    return Window.partitionBy("worker").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-
-
 def sliced(rows: DataFrame, seconds: int) -> DataFrame:
     """The rows dealt to slices of time, each with copies (own false) of the last rows before it that a window of seconds needs.
 
@@ -52,15 +49,12 @@ def median_split(rows: DataFrame, seconds: int, part: int, least: int) -> DataFr
     return owned(sliced(rows, seconds).withColumn("trend", F.when(enough, change / (seconds - part) * 60)))
 
 
-def exposure(rows: DataFrame, active: Column, bridge_seconds: int) -> DataFrame:
+def exposure(rows: DataFrame, active: Column, bridge_seconds: int, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Seconds that a condition has held: 1 at its start, growing with time, 0 when it ends; gaps up to bridge_seconds count."""
-    w = Window.partitionBy("worker").orderBy("us")
-    rows = rows.withColumn("active", F.coalesce(active, F.lit(False)))
-    gap = F.col("us") - F.lag("us").over(w)
-    fresh = F.col("active") & (~F.coalesce(F.lag("active").over(w), F.lag("us").over(w).isNotNull() & F.lit(False)) | F.coalesce(gap > bridge_seconds * 1_000_000, F.lit(True)))
-    rows = rows.withColumn("began", F.when(fresh, F.col("us")))
-    began = F.last("began", ignorenulls=True).over(w)
-    return rows.withColumn("exposure", F.when(F.col("active"), F.lit(1.0) + (F.col("us") - began) / 1e6).otherwise(0.0)).drop("began")
+    marked = with_previous(in_slices(rows.withColumn("active", F.coalesce(active, F.lit(False))), slice_seconds), ["us", "active"], ["us"])
+    goes_on = F.coalesce(F.col("previous.active") & (F.col("us") - F.col("previous.us") <= bridge_seconds * 1_000_000), F.lit(False))
+    began = with_last(marked, F.when(F.col("active") & ~goes_on, F.col("us")), "began", ["us"])
+    return began.withColumn("exposure", F.when(F.col("active"), F.lit(1.0) + (F.col("us") - F.col("began")) / 1e6).otherwise(0.0)).drop("began", "previous", "_slice")
 
 
 def held(rows: DataFrame, seconds: int) -> DataFrame:
@@ -72,25 +66,29 @@ def held(rows: DataFrame, seconds: int) -> DataFrame:
     return owned(sliced(rows, seconds + 1).withColumn("held", F.when(fresh, v)).withColumn("origin", origin))
 
 
-def sessions(rows: DataFrame, gap_seconds: int) -> DataFrame:
+def sessions(rows: DataFrame, gap_seconds: int, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Numbers each worker's sessions from 0: a new one begins after a gap of more than gap_seconds."""
-    w = Window.partitionBy("worker").orderBy("us", "event_id")
-    split = F.coalesce(F.col("us") - F.lag("us").over(w) > gap_seconds * 1_000_000, F.lit(False))
-    return rows.withColumn("split", split.cast("int")).withColumn("session", F.sum("split").over(w)).drop("split")
+    order = ["us", "event_id"]
+    before = with_previous(in_slices(rows, slice_seconds), ["us"], order)
+    split = F.coalesce(F.col("us") - F.col("previous.us") > gap_seconds * 1_000_000, F.lit(False)).cast("int")
+    return with_running(before, {"session": split}, order).drop("previous", "_slice")
 
 
-def receipts(rows: DataFrame, seconds: int) -> DataFrame:
+def receipts(rows: DataFrame, seconds: int, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Samples received in the last seconds, and the samples since the last gap longer than that."""
-    w = Window.partitionBy("worker").orderBy("us", "event_id")
-    split = F.coalesce(F.col("us") - F.lag("us").over(w) > seconds * 1_000_000, F.lit(False))
-    cut = rows.withColumn("received", F.count("*").over(_frame(seconds))).withColumn("run", F.sum(split.cast("int")).over(w))
-    return cut.withColumn("since_gap", F.row_number().over(Window.partitionBy("worker", "run").orderBy("us", "event_id")))
+    order = ["us", "event_id"]
+    frame = Window.partitionBy("worker", "slice").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    counted = owned(sliced(rows, seconds).withColumn("received", F.count("*").over(frame)))
+    before = with_previous(in_slices(counted, slice_seconds), ["us"], order)
+    placed = with_running(before, {"_place": F.lit(1)}, order)
+    first = F.coalesce(F.col("us") - F.col("previous.us") > seconds * 1_000_000, F.col("previous").isNull())
+    return with_last(placed, F.when(first, F.col("_place")), "_first", order).withColumn("since_gap", F.col("_place") - F.col("_first") + 1).drop("_place", "_first", "previous", "_slice")
 
 
-def episodes(rows: DataFrame, active: Column) -> DataFrame:
+def episodes(rows: DataFrame, active: Column, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Runs of rows for which active holds: worker, number of the run, rows."""
-    w = Window.partitionBy("worker").orderBy("us", "event_id")
-    marked = rows.withColumn("active", F.coalesce(active, F.lit(False)))
-    rise = F.col("active") & ~F.coalesce(F.lag("active").over(w), F.lit(False))
-    runs = marked.withColumn("rise", rise.cast("int")).withColumn("episode", F.sum("rise").over(w))
+    order = ["us", "event_id"]
+    marked = with_previous(in_slices(rows.withColumn("active", F.coalesce(active, F.lit(False))), slice_seconds), ["active"], order)
+    rise = F.col("active") & ~F.coalesce(F.col("previous.active"), F.lit(False))
+    runs = with_running(marked, {"episode": rise.cast("int")}, order)
     return runs.where("active").groupBy("worker", "episode").agg(F.count("*").alias("n"))

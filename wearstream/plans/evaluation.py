@@ -66,11 +66,11 @@ def d40_nearest(spark, d):
     return E.nearest_centroid(rows, rows.where("event_type = 'error'").select("event_id", "value", "k"), "event_type", ["value", "k"]).select("event_id", "nearest")
 
 
-@query("""WITH u AS (UNPIVOT (SELECT l_linenumber = 1 AS f, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME channel VALUE v),
-s AS (SELECT channel, round((avg(v) FILTER (f) - avg(v) FILTER (NOT f)) / sqrt((var_samp(v) FILTER (f) + var_samp(v) FILTER (NOT f)) / 2), 6) smd FROM u GROUP BY 1) SELECT * FROM s ORDER BY abs(smd) DESC, channel LIMIT 2""")
+@query("""WITH u AS (UNPIVOT (SELECT l_linenumber, CAST(l_quantity AS DOUBLE) l_quantity, CAST(l_discount AS DOUBLE) l_discount, CAST(l_tax AS DOUBLE) l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME channel VALUE v),
+s AS (SELECT channel, round((avg(v) FILTER (l_linenumber = 1) - avg(v) FILTER (l_linenumber = 2)) / nullif(stddev_samp(v) FILTER (l_linenumber <> 1), 0), 6) smd FROM u GROUP BY 1) SELECT * FROM s ORDER BY abs(smd) DESC, channel LIMIT 2""")
 def d27_largest(spark, d):
-    found = A.mean_difference(table(spark, d, "lineitem"), F.col("l_linenumber") == 1, ["l_quantity", "l_discount", "l_tax"])
-    return found.orderBy(F.abs("smd").desc(), "channel").limit(2)
+    line = F.col("l_linenumber")
+    return A.largest_differences(A.mean_difference(table(spark, d, "lineitem"), line == 1, line == 2, line != 1, ["l_quantity", "l_discount", "l_tax"]), 2)
 
 
 @query("SELECT user_id worker, count(*) n, count(*) - count(DISTINCT (event_type, floor(value))) repeats FROM events GROUP BY 1")
@@ -158,11 +158,12 @@ def j05_blocks(spark, d):
 
 
 @query("""WITH i AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 i FROM events), b AS (SELECT *, i // 5 b, i % 5 r FROM i), m AS (SELECT *, max(b) OVER (PARTITION BY user_id) z FROM b)
-SELECT event_id, CASE WHEN b % 3 = 2 THEN 'stop' WHEN (r < 2 AND b > 0 AND (b - 1) % 3 = 2) OR (r >= 3 AND (b + 1) % 3 = 2 AND b < z) THEN 'purged' ELSE 'fit' END part FROM m""")
+SELECT event_id, CASE WHEN b % 3 = 1 THEN 'stop' WHEN (r < 2 AND b > 0 AND (b - 1) % 3 = 1) OR (r >= 3 AND (b + 1) % 3 = 1 AND b < z) THEN 'purged' ELSE 'fit' END part FROM m""")
 def j06_stopping_split(spark, d):
     return M.with_stopping_split(samples(spark, d), ["event_id"], block=5, every=3, purge=2).select("event_id", "part")
 
 
-@query(None)
+@query("""WITH h AS (SELECT event_id, event_type, (event_id * 2654435761 + 42 * 40503) % 4294967296 h FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY h, event_id) k, count(*) OVER (PARTITION BY event_type) n FROM h)
+SELECT event_id, k <= floor(n * 0.2::DOUBLE + 0.5) test FROM r""")
 def j12_split(spark, d):
     return M.split(samples(spark, d), "event_type", "event_id", 42).select("event_id", "test")

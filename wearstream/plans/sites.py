@@ -83,20 +83,48 @@ def c14_aligned(spark, d):
     return O.aligned(a, a.select("c_custkey", F.when(k % 500 != 3, F.col("bal") + 1e-8).alias("bal"), (F.col("nation") + (k == 9).cast("int")).alias("nation")), "c_custkey", ["bal", "nation"])
 
 
+REMOVED = "CASE WHEN helmet % 5 = 0 THEN TIMESTAMP '2024-01-01 04:30:00' END"
+
+
+def _dated(spark, d):
+    """Helmets of which each fifth was removed during the day."""
+    return helmets(spark, d).withColumn("removed", F.when(F.col("helmet") % 5 == 0, F.lit("2024-01-01 04:30:00").cast("timestamp_ntz")))
+
+
+def _at(text):
+    return F.lit(text).cast("timestamp_ntz")
+
+
 @query(f"""WITH {HELMETS}, {PACKETS}, c AS (SELECT worker, count(*) n FROM p WHERE ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-01-01 06:00:00' GROUP BY 1), x AS (SELECT helmet, coalesce(n, 0) packets,
-greatest(0, floor((epoch_us(TIMESTAMP '2024-01-01 06:00:00') - epoch_us(greatest(TIMESTAMP '2024-01-01 00:00:00', registered))) / 1000000)::BIGINT) expected FROM h LEFT JOIN c ON worker = wearer)
-SELECT *, least(100.0::DOUBLE, CASE WHEN expected = 0 THEN 0.0::DOUBLE ELSE floor(packets * 100.0::DOUBLE / expected * 10 + 0.5) / 10 END) coverage FROM x""")
+greatest(0, floor((epoch_us(least(TIMESTAMP '2024-01-01 06:00:00', {REMOVED})) - epoch_us(greatest(TIMESTAMP '2024-01-01 00:00:00', registered))) / 1000000 / 3600)::BIGINT) expected FROM h LEFT JOIN c ON worker = wearer)
+SELECT *, CASE WHEN expected > 0 THEN least(100.0::DOUBLE, floor(packets * 100.0::DOUBLE / expected + 0.5)) END coverage FROM x""")
 def d11_reliability(spark, d):
-    at = lambda t: F.lit(t).cast("timestamp_ntz")
-    return O.coverage(helmets(spark, d), _packets(spark, d), at("2024-01-01 00:00:00"), at("2024-01-01 06:00:00"), _now())
+    return O.coverage(_dated(spark, d), _packets(spark, d), _at("2024-01-01 00:00:00"), _at("2024-01-01 06:00:00"), _now(), 3600)
+
+
+@query(f"""WITH {HELMETS}, {PACKETS}, r AS (SELECT DISTINCT worker r FROM p WHERE ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'), z AS (SELECT worker, max(ts) seen FROM p GROUP BY 1)
+SELECT count(*) registered, count(r) reporting, count(*) FILTER (r IS NULL) silent, count(*) FILTER (coalesce(seen >= TIMESTAMP '2024-01-30 12:00:00', false)) online, count(*) FILTER (NOT coalesce(seen >= TIMESTAMP '2024-01-30 12:00:00', false)) offline
+FROM h LEFT JOIN r ON r = wearer LEFT JOIN z ON z.worker = wearer WHERE active""")
+def d11_reporting(spark, d):
+    return O.reliability(helmets(spark, d), _packets(spark, d), _at("2024-01-01 00:00:00"), _at("2024-01-20 00:00:00"), _now(), 12 * 3600)
+
+
+@query(f"WITH {HELMETS}, {PACKETS} SELECT helmet FROM h WHERE active AND NOT EXISTS (SELECT 1 FROM p WHERE worker = wearer AND ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00')")
+def d11_silent(spark, d):
+    return O.silent(helmets(spark, d), _packets(spark, d), _at("2024-01-01 00:00:00"), _at("2024-01-20 00:00:00"))
 
 
-@query("""WITH x AS (SELECT o_orderkey, CAST(date_diff('day', o_orderdate, min(l_shipdate)) AS DOUBLE) acknowledged, CASE WHEN o_orderkey % 3 = 0 THEN CAST(date_diff('day', o_orderdate, max(l_shipdate)) AS DOUBLE) END resolved FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, o_orderdate)
-SELECT count(*) total, count(acknowledged) answered, floor(count(acknowledged) * 100.0::DOUBLE / count(*) * 10 + 0.5) / 10 answer_rate, round(avg(acknowledged), 6) mean_minutes, quantile_cont(acknowledged, 0.5) median_minutes, round(avg(resolved), 6) mean_resolution, count(resolved) resolutions FROM x""")
+@query("""WITH x AS (SELECT o_orderkey, o_orderkey % 2 = 0 emergency, o_orderkey % 3 = 0 closed, CAST(date_diff('day', o_orderdate, min(l_shipdate)) AS DOUBLE) acknowledged, CASE WHEN o_orderkey % 12 = 0 THEN CAST(date_diff('day', o_orderdate, max(l_shipdate)) AS DOUBLE) END resolved
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, o_orderdate)
+SELECT count(*) total, count(acknowledged) answered, count(*) - count(acknowledged) unanswered, floor(count(acknowledged) * 100.0::DOUBLE / count(*) * 10 + 0.5) / 10 answer_rate, floor(avg(acknowledged) * 10 + 0.5) / 10 mean_minutes,
+floor(quantile_cont(acknowledged, 0.5) * 10 + 0.5) / 10 median_minutes, count(*) FILTER (emergency AND closed) closed_emergencies, count(*) FILTER (emergency AND NOT closed) open_emergencies,
+floor(avg(resolved) FILTER (emergency) * 10 + 0.5) / 10 mean_resolution, count(resolved) FILTER (emergency) resolutions FROM x""")
 def d12_response(spark, d):
     ships = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("r"))
-    rows = table(spark, d, "orders").join(ships, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return O.response(rows.select(F.datediff("a", "o_orderdate").cast("double").alias("acknowledged"), F.when(F.col("o_orderkey") % 3 == 0, F.datediff("r", "o_orderdate")).cast("double").alias("resolved")))
+    rows, k = table(spark, d, "orders").join(ships, F.col("o_orderkey") == F.col("l_orderkey"), "left"), F.col("o_orderkey")
+    return O.response(rows.select(
+        (k % 2 == 0).alias("emergency"), (k % 3 == 0).alias("closed"), F.datediff("a", "o_orderdate").cast("double").alias("acknowledged"), F.when(k % 12 == 0, F.datediff("r", "o_orderdate")).cast("double").alias("resolved")
+    ))
 
 
 @query("SELECT user_id worker, max(ts) seen FROM events GROUP BY 1")

@@ -37,11 +37,14 @@ def _voted(spark, d):
     return T.votes(rows, F.col("event_type") != "signup", 5)
 
 
-def _segments(spark, d):
+def _graded(spark, d):
     kind, v = F.col("event_type"), F.col("value")
     state = F.when(kind.isin("error", "signup"), "UNCERTAIN").when(v >= 60, "CRITICAL").otherwise("SAFE")
-    rows = W.with_micros(samples(spark, d)).withColumns({"state": state, "reason": kind, "quality": F.when(kind == "click", "IMPUTED").otherwise("VALID"), "confidence": v / 701})
-    return T.compressed(rows, 48 * HOUR)
+    return W.with_micros(samples(spark, d)).withColumns({"state": state, "reason": kind, "quality": F.when(kind == "click", "IMPUTED").otherwise("VALID"), "confidence": v / 701})
+
+
+def _segments(spark, d):
+    return T.compressed(_graded(spark, d), 48 * HOUR)
 
 
 @query(f"""WITH {SESSIONS} SELECT event_id, round(avg(value) OVER a, 6) mean, round(10 * log10(avg(pow(10, value / 10 / 10)) OVER b), 6) leq, round((avg(value) OVER a - 30) / 30 * 100, 6) "percent" FROM y
@@ -52,12 +55,13 @@ def e05_signals(spark, d):
     return rows.select("event_id", *[F.round(c, 6).alias(c) for c in ("mean", "leq", "percent")])
 
 
-@query(f"""WITH {SESSIONS}, z AS (SELECT *, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, CASE WHEN event_type = 'view' THEN least(greatest(coalesce((us - lag(us) OVER (PARTITION BY worker, session ORDER BY us, event_id)) / 1e6, 3600), 0), 3600) ELSE 0 END credit FROM y WHERE value <= 130)
-SELECT event_id, day, round(sum(credit * CASE WHEN value < 80 THEN 0.0 ELSE 100.0 / 60.0 / (480.0 / pow(2.0, (value - 85.0) / 3.0)) END) OVER (PARTITION BY worker, day ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) dose FROM z""")
+@query(f"""WITH {SESSIONS}, z AS (SELECT *, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, CASE WHEN event_type = 'view' THEN least(greatest(coalesce((us - lag(us) OVER (PARTITION BY worker, session ORDER BY us, event_id)) / 1e6, 3600), 0), 3600) ELSE 0 END credit FROM y)
+SELECT event_id, day, round(log10(1 + sum(credit * CASE WHEN value < 80 THEN 0.0 ELSE 100.0 / 60.0 / (480.0 / pow(2.0, (value - 85.0) / 3.0)) END) OVER (PARTITION BY worker, day ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) dose_log10 FROM z""")
 def e06_dose(spark, d):
-    rows = _sessions(spark, d).where("value <= 130").withColumn("day", S.site_time(F.col("ts")).cast("date"))
+    """All events, of which the loudest have doses beyond any rounding to digits; so their logarithms are compared."""
+    rows = _sessions(spark, d).withColumn("day", S.site_time(F.col("ts")).cast("date"))
     out = T.shift_dose(rows, S.noise_dose(F.col("value"), F.lit(1.0)), F.col("event_type") == "view", HOUR)
-    return out.select("event_id", "day", F.round("dose", 4).alias("dose"))
+    return out.select("event_id", "day", F.round(F.log10(1 + F.col("dose")), 6).alias("dose_log10"))
 
 
 @query(f"""WITH {SESSIONS}, o AS (SELECT *, CASE WHEN event_type <> 'signup' THEN value END ov, (us - min(us) OVER (PARTITION BY worker, session)) / 1e6 e FROM y),
@@ -96,11 +100,18 @@ def e15_chart(spark, d):
     return T.chart_rows(T.visible(_segments(spark, d), START, 48 * HOUR, 60), {"SAFE": 0, "WARNING": 1, "CRITICAL": 2})
 
 
-@query(f"WITH s AS (SELECT event_id, user_id worker, epoch_us(ts) us, value, event_type FROM events), l AS (SELECT worker, max(us) m FROM s WHERE us < {START} GROUP BY 1) SELECT s.worker, us FROM s LEFT JOIN l USING (worker) WHERE m IS NULL OR us > m GROUP BY 1, 2")
+@query(f"""WITH s AS (SELECT event_id, user_id worker, epoch_us(ts) us, value, event_type FROM events WHERE epoch_us(ts) < {START}), {SEGMENTS},
+n AS (SELECT event_id, user_id worker, epoch_us(ts) us, value, event_type FROM events), np AS (SELECT *, CASE WHEN event_type IN ('error', 'signup') THEN 'UNCERTAIN' WHEN value >= 60 THEN 'CRITICAL' ELSE 'SAFE' END AS state, CASE WHEN event_type = 'click' THEN 'IMPUTED' ELSE 'VALID' END quality FROM n),
+lp AS (SELECT np.*, row_number() OVER (PARTITION BY np.worker, us ORDER BY event_id) k FROM np LEFT JOIN (SELECT worker, max(to_us) t FROM c GROUP BY 1) z ON z.worker = np.worker WHERE t IS NULL OR us > t),
+al AS (SELECT worker, to_us us, true old, segment o, state, CASE WHEN state = 'UNCERTAIN' THEN reason END why, from_us, n, confidence * n cs, n cn, quality FROM c
+  UNION ALL SELECT worker, us, false, event_id, state, CASE WHEN state = 'UNCERTAIN' THEN event_type END, us, 1, value / 701, 1, CASE WHEN state = 'UNCERTAIN' THEN 'UNCERTAIN' ELSE quality END FROM lp WHERE k = 1),
+cu AS (SELECT *, CASE WHEN NOT old AND coalesce(state = lag(state) OVER w AND why IS NOT DISTINCT FROM lag(why) OVER w AND us - lag(us) OVER w <= 172800000000, false) THEN 0 ELSE 1 END new FROM al WINDOW w AS (PARTITION BY worker ORDER BY us, old, o)),
+cv AS (SELECT *, CAST(sum(new) OVER (PARTITION BY worker ORDER BY us, old, o) AS BIGINT) seg FROM cu)
+SELECT worker, seg AS segment, any_value(state) AS state, any_value(why) reason, min(from_us) from_us, max(us) to_us, CAST(sum(n) AS BIGINT) n, round(sum(cs) / sum(cn), 4) confidence,
+  CASE WHEN arg_min(quality, (us, old, o)) = 'VALID' AND bool_or(quality = 'IMPUTED') THEN 'IMPUTED' ELSE arg_min(quality, (us, old, o)) END quality FROM cv GROUP BY 1, 2""")
 def e15_live(spark, d):
-    rows = W.with_micros(samples(spark, d))
-    drawn = rows.where(F.col("us") < START).select("worker", F.col("us").alias("to_us"))
-    return T.live(drawn, rows.select("worker", "us")).select("worker", "us")
+    rows = _graded(spark, d)
+    return T.live(T.compressed(rows.where(F.col("us") < START), 48 * HOUR), rows, 48 * HOUR)
 
 
 @query("SELECT event_id, row_number() OVER w - 1 place, count(*) OVER (PARTITION BY user_id, epoch_us(ts) // 60000000) in_minute FROM events WINDOW w AS (PARTITION BY user_id, epoch_us(ts) // 60000000 ORDER BY ts, event_id)")

@@ -138,12 +138,12 @@ def l22_alert_documents(spark, d):
     return V.alert_documents(changed.select("event_id", "worker", "state"), samples(spark, d))
 
 
-@query("""WITH s AS (SELECT user_id batch, event_id place, value FROM events WHERE event_id % 2 = 0), a AS (SELECT user_id batch, event_id place, CASE WHEN event_id % 10 > 0 THEN event_type END st FROM events WHERE event_id % 2 = 0 AND NOT (user_id % 3 = 0 AND event_id % 4 = 0)),
+@query("""WITH s AS (SELECT user_id batch, event_id place, value FROM events), a AS (SELECT user_id batch, event_id place, CASE WHEN event_id % 10 > 0 THEN event_type END st FROM events WHERE NOT (user_id % 3 = 0 AND event_id % 4 = 0)),
 n AS (SELECT batch, count(*) c FROM s GROUP BY 1), m AS (SELECT batch, count(*) c FROM a GROUP BY 1) SELECT s.batch, s.place, CASE WHEN n.c = coalesce(m.c, 0) AND st IS NOT NULL THEN st ELSE 'UNCERTAIN' END AS state,
 CASE WHEN n.c <> coalesce(m.c, 0) THEN 'ML_SERVICE_UNAVAILABLE' WHEN st IS NULL THEN 'INVALID_RESULT' END reason FROM s JOIN n USING (batch) LEFT JOIN m USING (batch) LEFT JOIN a ON a.batch = s.batch AND a.place = s.place""")
 def f17_decided(spark, d):
     k = F.col("event_id")
-    sent = samples(spark, d).where(k % 2 == 0).select(F.col("worker").alias("batch"), k.alias("place"), "event_type")
+    sent = samples(spark, d).select(F.col("worker").alias("batch"), k.alias("place"), "event_type")
     answers = sent.where(~((F.col("batch") % 3 == 0) & (F.col("place") % 4 == 0))).select("batch", "place", F.when(F.col("place") % 10 > 0, F.col("event_type")).alias("state"))
     return V.decided(sent.drop("event_type"), answers)
 
@@ -153,10 +153,12 @@ def f12_ready_only(spark, d):
     return V.classified_ready(samples(spark, d).select("event_id", "value"), F.col("event_id") % 3 > 0, S.classified(F.col("value"), 30, 60)).drop("value")
 
 
-@query("SELECT user_id worker, CAST(ts AS DATE) AS day, min(event_id) event_id FROM events GROUP BY 1, 2")
+@query("""WITH r AS (SELECT user_id worker, CAST(ts AS DATE) AS day, event_id, event_type = 'view' stored FROM events), o AS (SELECT DISTINCT worker, day FROM r WHERE stored)
+SELECT worker, day, min(event_id) event_id FROM r WHERE NOT stored AND (worker, day) NOT IN (SELECT worker, day FROM o) GROUP BY 1, 2""")
 def f18_once(spark, d):
-    rows = samples(spark, d).select("worker", F.to_date("ts").alias("day"), "event_id")
-    return J.unseen(rows, rows.where("false"), ["worker", "day"], "event_id")
+    """Uploads, of which what is stored already comes again and is left out."""
+    rows = samples(spark, d).select("worker", F.to_date("ts").alias("day"), "event_id", (F.col("event_type") == "view").alias("stored"))
+    return J.unseen(rows.where("not stored").drop("stored"), rows.where("stored").drop("stored"), ["worker", "day"], "event_id")
 
 
 def _readings(spark, d):
