@@ -326,13 +326,6 @@ def g04_selection(spark, d):
     return P.picked(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey", "c_acctbal", ["c_nationkey"], 50.0)
 
 
-def f15_emergencies(spark, d):
-    """No SQL: a state machine over the order of receipt; tested by hand cases."""
-    e = table(spark, d, "events")
-    action = F.when(F.col("event_type") == "error", "press").when(F.col("event_type") == "purchase", "request").when(F.col("event_type") == "click", "ack")
-    return stateful.emergencies(e.select(F.col("user_id").alias("worker"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), action.alias("action")))
-
-
 def f10_gate(spark, d):
     """No SQL: late samples, sessions and pauses between alerts are recursive; tested by hand cases."""
     e = table(spark, d, "events")
@@ -341,7 +334,7 @@ def f10_gate(spark, d):
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in registry.found.items()} | {f.__name__: f for f in (f10_gate, f15_emergencies)}
+    return {name: f for name, (f, _) in registry.found.items()} | {f.__name__: f for f in (f10_gate,)}
 
 
 def oracle_sql() -> dict[str, str]:
