@@ -7,13 +7,14 @@ import json
 import random
 from itertools import product
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wearstream.models import parts as P
 from wearstream.operators.aggregates import confusion
 from wearstream.operators.evaluation import summary
 from wearstream.operators.quantiles import quantiles
@@ -136,31 +137,61 @@ def stratified(spaces: dict[str, tuple[dict[str, list], int]], seed: int) -> lis
     return [{"kind": k, **c} for k, (space, n) in spaces.items() for c in configurations(space, n, seed)]
 
 
-def estimator(name: str, columns: list[str], params: dict | None = None) -> Pipeline:
-    """A pipeline from features to prediction: medians, scaling where the algorithm needs it, and the classifier.
+def estimator(name: str, columns: list[str], params: dict | None = None, classes: int = 3) -> Pipeline:
+    """A pipeline from features to prediction: exact medians, scaling where the algorithm needs it, and the classifier.
 
-    label is 0, 1, 2; weight is used where the algorithm takes it. Boosted trees and the linear machine are one-vs-rest.
+    label is 0, 1, 2; weight is used where the algorithm takes it. Boosted Trees and SVM are one-vs-rest; SVM with kernel
+    'rbf' or 'poly' (gamma, degree, size: features of its approximation) is a linear machine on kernel features; Softmax
+    Boosting has all classes in one, and stops early by a boolean column named by stop.
     """
     params = dict(params or {})
     scaled = name in ("Logistic Regression", "SVM")
-    filled = [f"_{c}" for c in columns]
-    steps = [Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_raw", handleInvalid="keep")]
-    if scaled:
-        steps.append(StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_features"))
-    features = "_features" if scaled else "_raw"
+    steps, features = [P.Preparation().given(columns=columns, out="_features", scaled=scaled)], "_features"
+    common = {"featuresCol": features, "labelCol": "label", "weightCol": "weight"}
     if name == "Logistic Regression":
-        model = LogisticRegression(featuresCol=features, labelCol="label", weightCol="weight", **params)
+        model = LogisticRegression(**common, **params)
     elif name == "Random Forest":
-        model = RandomForestClassifier(featuresCol=features, labelCol="label", weightCol="weight", seed=42, **params)
+        model = RandomForestClassifier(**common, seed=42, **params)
     elif name == "Boosted Trees":
-        model = OneVsRest(classifier=GBTClassifier(featuresCol=features, labelCol="label", weightCol="weight", seed=42, **params), featuresCol=features, labelCol="label", weightCol="weight")
+        model = OneVsRest(classifier=GBTClassifier(**common, seed=42, **params), **common)
+    elif name == "Softmax Boosting":
+        kept = {"rounds": 50, "depth": 4, "rate": 0.3, "patience": 5, "stop": None} | params
+        model = P.SoftmaxBoosting().given(inp=features, label="label", weight="weight", classes=classes, **kept)
     elif name == "SVM":
-        model = OneVsRest(classifier=LinearSVC(featuresCol=features, labelCol="label", weightCol="weight", **params), featuresCol=features, labelCol="label", weightCol="weight")
+        kernel, gamma = params.pop("kernel", "linear"), params.pop("gamma", 1.0 / len(columns))
+        size, degree = params.pop("size", 256), params.pop("degree", 3)
+        if kernel == "rbf":
+            steps.append(P.FourierFeatures().given(inp=features, out="_kernel", size=size, gamma=gamma, seed=42))
+        elif kernel == "poly":
+            steps.append(P.PolynomialFeatures().given(inp=features, out="_kernel", size=size, gamma=gamma, degree=degree, seed=42))
+        elif kernel != "linear":
+            raise ValueError(f"no such kernel: {kernel}")
+        common["featuresCol"] = features if kernel == "linear" else "_kernel"
+        model = OneVsRest(classifier=LinearSVC(**common, **params), **common)
     else:
         raise ValueError(f"no such algorithm: {name}")
     return Pipeline(stages=[*steps, model])
 
 
+def importances(model: PipelineModel, columns: list[str]) -> dict[str, float]:
+    """A model's own importances of its features, summing to 1: of trees by gain, of linear models by absolute weights.
+
+    Models of kernel features and softmax boosting have none by feature and raise.
+    """
+    last = model.stages[-1]
+    parts = getattr(last, "models", [last])
+    if any(type(s).__name__ in ("FourierFeatures", "PolynomialFeatures") for s in model.stages) or type(last).__name__ == "BoostedModel":
+        raise ValueError("no importances by feature")
+    total = np.zeros(len(columns))
+    for p in parts:
+        if hasattr(p, "featureImportances"):
+            total += p.featureImportances.toArray()
+        else:
+            weights = p.coefficientMatrix.toArray() if hasattr(p, "coefficientMatrix") else p.coefficients.toArray()[None, :]
+            total += np.abs(weights).sum(axis=0)
+    return dict(zip(columns, (total / (total.sum() or 1.0)).tolist()))
+
+
 def fit(train: DataFrame, name: str, columns: list[str], params: dict | None = None, factors: dict | None = None) -> PipelineModel:
     """A model of train's features and label (0, 1, 2), with balanced weights."""
     check_contract(train, columns)

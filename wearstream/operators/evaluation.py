@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,13 +134,56 @@ def ranked_with_ties(candidates: list[dict], score: str, tolerance: float, then:
     return out
 
 
-def shuffled(rows: DataFrame, key: str, column: str, seed: int, buckets: int = 64) -> DataFrame:
-    """rows with a column's values dealt out anew among rows of one hash bucket of the key; the same for one seed."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
-    here, there = Window.partitionBy("_b").orderBy(key), Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed), key), key)
-    dealt = rows.withColumn("_b", bucket)
-    given = dealt.select("_b", F.row_number().over(there).alias("_i"), F.col(column).alias("_given"))
-    taken = dealt.drop(column).withColumn("_i", F.row_number().over(here)).join(given, ["_b", "_i"])
+def distributed_ranks(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with their rank from 0 by key (ties: arbitrary), by sorted partitions' sizes; the same at every partitioning.
+
+    Sorted rows are written to the shared folder first, so that their partitions stay as they were counted.
+    """
+    from wearstream.streaming.runs import shared_dir
+
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/ranks-{uuid.uuid4().hex}"
+    parted = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    parted.write.parquet(path)
+    kept = spark.read.schema(parted.schema).parquet(path).withColumn("_p", F.shiftright("_m", 33))
+    sizes = kept.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_p").alias("_q"), before.alias("_before"))
+    local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(offsets), F.col("_p") == F.col("_q")).withColumn(name, F.col("_before") + local).drop("_m", "_p", "_q", "_before")
+
+
+def feistel(ranks: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarray:
+    """A seeded permutation of 0 to n - 1 at some ranks: a Feistel network over the next even number of bits, walked until it is below n."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask, rng = np.uint64((1 << half) - 1), np.random.default_rng(seed)
+    keys = rng.integers(1, 1 << 63, rounds).astype(np.uint64) | np.uint64(1)
+    out, todo = ranks.astype(np.uint64), np.ones(len(ranks), bool)
+    while todo.any():
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for k in keys:
+            mixed = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * k
+            left, right = right, left ^ ((mixed >> np.uint64(31)) & mask)
+        out[todo] = (left << np.uint64(half)) | right
+        todo = out >= np.uint64(n)
+    return out.astype(np.int64)
+
+
+def shuffled(rows: DataFrame, key: str, column: str, seed: int) -> DataFrame:
+    """rows with a column's values dealt out anew among all rows; the same for one seed, whatever the partitions.
+
+    Ranks by key are permuted by a bijection, row by row, and the values come by a join on the rank: nothing is sorted
+    but by key, and no bucket holds a share of the rows. keys should be distinct.
+    """
+    ranked = distributed_ranks(rows, key, "_rank")
+    n = ranked.count()
+
+    @F.pandas_udf("long")
+    def target(r: pd.Series) -> pd.Series:
+        return pd.Series(feistel(r.to_numpy(), n, seed))
+
+    given = ranked.select(F.col("_rank").alias("_from"), F.col(column).alias("_given"))
+    taken = ranked.drop(column).withColumn("_to", target("_rank")).join(given, F.col("_to") == F.col("_from"))
     return taken.select(*[F.col("_given").alias(column) if c == column else c for c in rows.columns])
 
 
