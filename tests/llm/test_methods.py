@@ -134,11 +134,79 @@ def test_likeness_falls_with_edits():
     assert like(swapped) < 1
 
 
-def test_cascade_orders_by_rejections_per_second(spark):
-    assert quality_rules.cascade({"a": (1.0, 5), "b": (0.1, 1), "c": (2.0, 30), "d": (1.0, 0), "e": (0.5, 0)}) == ["c", "b", "a", "e", "d"]
+def test_cascade_orders_by_what_is_left_per_second():
+    cost = {"a": 1.0, "b": 0.1, "c": 2.0, "d": 1.0, "e": 0.5}
+    hits = [(frozenset("a"), 5), (frozenset("b"), 1), (frozenset("c"), 30), (frozenset(), 100)]
+    assert quality_rules.cascade(cost, hits) == ["c", "b", "a", "e", "d"]
+    both = [(frozenset("ca"), 30), (frozenset("b"), 1), (frozenset("a"), 1)]  # what c rejects isn't counted for a again
+    assert quality_rules.cascade(cost, both) == ["a", "b", "e", "d", "c"]
+
+
+def test_verdicts_do_not_depend_on_the_order(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["word " * 5, "### " * 20, "!!! ok " * 6 + "other words that are here and do differ a lot from those", None, "1234 5678 9012 " + " ".join(str(x) for x in range(40)), "plain words go on and on without end or any other fault"])], "doc_id long, text string")
     got = {r.doc_id: (r.kept, r.failed_rule) for r in quality_rules.quality_rules(docs).collect()}
     assert got == {0: (False, "base"), 1: (False, "base"), 2: (False, "base"), 3: (False, "base"), 4: (False, "few_letters"), 5: (True, None)}
     for order in (["few_letters", "symbols"], ["symbols", "few_letters"]):
         rules = {name: quality_rules.RULES[name] for name in order}
         assert {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, rules=rules).collect()} == {i: i == 5 for i in range(6)}
+
+
+def test_counts_are_free_and_rejected_rows_skip_what_reads_texts(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{k}" for k in range(30)) + ("#" * 40 if i % 2 else "")) for i in range(2000)] + [(9999, "short")], "doc_id long, text string")
+    cost, hits = quality_rules.measured(quality_rules.counted(docs), quality_rules.RULES, 2000)
+    assert cost["symbols"] == cost["long_words"] == quality_rules.FREE and cost["few_letters"] >= quality_rules.FREE
+    assert sum(n for _, n in hits) <= 2000 and any("symbols" in h for h, _ in hits)
+    odd = "if(text like '%#%' or n_words < 10, raise_error('read'), false)"  # would fail on rows that other rules reject
+    rows = quality_rules.quality_rules(docs, rules={"dear": odd, "symbols": quality_rules.RULES["symbols"]}, sample_rows=0)
+    with pytest.raises(Exception, match="read"):
+        rows.collect()  # unmeasured rules stay as given, and the dear one comes first
+    some = quality_rules.counted(docs)
+    cheap = quality_rules.cascade({"dear": 1.0, "symbols": quality_rules.FREE}, [(frozenset(["symbols"]), 5)])
+    verdict = quality_rules.F.when(quality_rules.F.expr(quality_rules.BASE), True)
+    for name in cheap:
+        verdict = verdict.when(quality_rules.F.expr({"dear": odd, "symbols": quality_rules.RULES["symbols"]}[name]), True)
+    assert some.select(verdict.otherwise(False).alias("no")).where("no").count() > 1000
+
+
+def plain_clause(grammar, words):
+    """A clause's weight word by word, from the machines' rules in words."""
+    total, near, told, denied = 0.0, False, False, 0
+    for w in words:
+        kind, weight = grammar.entry(w)
+        factor = {"insult": 1.0, "threat": 0.3}.get(kind, 1.0)
+        if near:
+            factor *= {"insult": 1.25, "threat": 3.0}.get(kind, 1.0)
+        if denied and kind != "negation":
+            factor *= {"insult": 0.5, "threat": 0.3}.get(kind, 1.0)
+        if told:
+            factor *= {"insult": 0.5, "threat": 0.3}.get(kind, 1.0)
+        if kind in ("insult", "threat"):
+            total += factor * weight
+        denied = 2 if kind == "negation" else max(denied - 1, 0)
+        near, told = near or kind == "target", told or kind == "report"
+    return total
+
+
+def test_the_grammar_tells_negated_and_reported_insults_where_words_alone_do_not(spark):
+    rng = np.random.default_rng(3)
+    fill = [f"word{i}" for i in range(300)]
+    prose = lambda n: " ".join(rng.choice(fill, n))
+    bad = toxicity.INSULTS[:8]
+    rows = [(i, f"{prose(12)}. you are a {bad[i % 8]}. {prose(12)}." if i % 2 else f"{prose(12)}. {prose(12)}.", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    grammar = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), "true")
+    flat = toxicity.Grammar(grammar.words, grammar.stems, grammar.coef)
+    flat.arcs = {s: [(to, 1.0) for to, _ in row] for s, row in grammar.arcs.items()}
+    texts = lambda form: [f"{prose(12)}. {form.format(w)}. {prose(12)}." for w in bad]
+    flagged = lambda g, form: np.mean([g.score(t) >= 0.5 for t in texts(form)])
+    assert flagged(grammar, "you {0}") == flagged(flat, "you {0}") == 1
+    for form in ("{0}", "sheer {0}"):
+        low = [f"they were not {form}", f"he said {form}", f"she wrote he was never {form}"]
+        for one in low:
+            direct, mild = np.mean([grammar.score(t) for t in texts(form)]), np.mean([grammar.score(t) for t in texts(one)])
+            alike = np.mean([flat.score(t) for t in texts(form)]), np.mean([flat.score(t) for t in texts(one)])
+            assert mild < direct and alike[1] >= alike[0] - 1e-9
+    words = bad + ["kill", "you", "not", "said", "word1", "word2", "nie"]
+    for _ in range(300):
+        clause = rng.choice(words, rng.integers(1, 12)).tolist()
+        assert grammar.clause(clause) == pytest.approx(plain_clause(grammar, clause))
