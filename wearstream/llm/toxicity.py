@@ -64,7 +64,7 @@ NEGATION = Machine("off", {
     ("off", "negation"): (2, 1.0), (2, "negation"): (2, 1.0), (1, "negation"): (2, 1.0),
     **{(n, s): (n - 1 or "off", f) for n in (2, 1) for s, f in (("insult", 0.5), ("threat", 0.3), ("target", 1.0), ("report", 1.0), ("other", 1.0))},
 })
-REPORT = Machine("direct", {("direct", "report"): ("told", 1.0), ("told", "insult"): ("told", 0.7), ("told", "threat"): ("told", 0.3)})
+REPORT = Machine("direct", {("direct", "report"): ("told", 1.0), ("told", "insult"): ("told", 0.5), ("told", "threat"): ("told", 0.3)})
 CLAUSE = compose(compose(compose(compose(INSULT, THREAT), TARGET), NEGATION), REPORT)
 
 
