@@ -87,3 +87,19 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
     with pytest.raises(ValueError):
         sinks.as_text(spark.range(3).toDF("a"), str(tmp_path / "no"), most=2)
+
+
+def test_files_of_one_name_in_two_folders_stay_apart(spark, tmp_path):
+    for folder, text in (("a", "1"), ("b", "2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(text)
+    before = spark.createDataFrame(C.file_hashes(spark, str(tmp_path)).collect())
+    assert sorted(r.file for r in before.collect()) == ["a/x.csv", "b/x.csv"] and C.changed_files(before, before).count() == 0
+    (tmp_path / "b" / "x.csv").write_text("3")
+    assert [(r.file, r.change) for r in C.changed_files(before, C.file_hashes(spark, str(tmp_path))).collect()] == [("b/x.csv", "changed")]
+
+
+def test_features_may_not_tell_how_a_label_came_about():
+    for name in ("hr_evidence", "rule_count", "artifact_share", "quality_score", "uncertain_minutes", "imputed_gas", "hot_flag"):
+        with pytest.raises(C.ContractError):
+            C.check_features([name], [name])

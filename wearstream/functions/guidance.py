@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a channel's severity asks for, and the other rules: (key, priority).
+#: What a channel's severity asks for, and the other rules: (key, priority); keys are names of our own but for noise.
 CHANNEL_ACTIONS = {
     ("noise", "CRITICAL"): ("reduceNoiseExposure", "HIGH"),
     ("noise", "WARNING"): ("monitorNoiseExposure", "MEDIUM"),
@@ -21,7 +21,8 @@ COMMUNICATION_LOST = ("restoreCommunication", "MEDIUM")
 REVIEW_SIGNAL = {"CRITICAL": ("checkWorkerCondition", "HIGH"), "WARNING": ("checkWorkerCondition", "MEDIUM")}
 DATA_QUALITY = ("checkSensors", "MEDIUM")
 ALL_SAFE = ("continueMonitoring", "LOW")
-EMERGENCY = [("followEmergencyProcedure", "HIGH"), ("locateCheckWorker", "HIGH")]
+#: What an emergency asks of each role, in this order.
+EMERGENCY = {"ADMIN": ["locateCheckWorker", "followEmergencyProcedure", "emergencyResetAfterCheck"], "WORKER": ["followEmergencyProcedure", "seekAssistance", "remainSafeLocation"]}
 PRIORITIES = ["LOW", "MEDIUM", "HIGH"]
 MOST = 5
 
@@ -30,10 +31,10 @@ def _action(pair: tuple[str, str], place: int) -> Column:
     return F.struct(F.lit(PRIORITIES.index(pair[1])).alias("rank"), F.lit(place).alias("place"), F.lit(pair[0]).alias("key"))
 
 
-def actions(levels: dict[str, Column], attention: Column, online: Column, risk: Column, uncertain: Column, emergency: Column) -> Column:
+def actions(levels: dict[str, Column], attention: Column, online: Column, risk: Column, uncertain: Column, emergency: Column, viewer: Column | None = None) -> Column:
     """Up to five action keys, the most pressing first, equal ones in the rules' order; each key once, by its highest priority.
 
-    An emergency has its own list. Otherwise: each channel's warning or critical level, a heart rate that needs
+    An emergency has a list of its own for admins, and one for workers (viewer: ADMIN or else a worker). Otherwise: each channel's warning or critical level, a heart rate that needs
     attention, lost communication; a raised risk that none of these explain; doubtful data without a risk; and if there
     is nothing, to go on.
     """
@@ -51,7 +52,9 @@ def actions(levels: dict[str, Column], attention: Column, online: Column, risk:
     every = F.when(F.size(every) == 0, F.array(_action(ALL_SAFE, 24))).otherwise(every)
     ordered = F.array_sort(F.transform(every, lambda a: F.struct((-a["rank"]).alias("rank"), a["place"].alias("place"), a["key"].alias("key"))))
     keys = F.slice(F.array_distinct(F.transform(ordered, lambda a: a["key"])), 1, MOST)
-    return F.when(emergency, F.array(*[F.lit(k) for k, _ in EMERGENCY])).otherwise(keys)
+    urgent = {role: F.array(*[F.lit(k) for k in keys_]) for role, keys_ in EMERGENCY.items()}
+    admin = F.coalesce((F.lit("WORKER") if viewer is None else viewer) == "ADMIN", F.lit(False))
+    return F.when(emergency & admin, urgent["ADMIN"]).when(emergency, urgent["WORKER"]).otherwise(keys)
 
 
 def insights(alerts: Column, before: Column, worst_hour: Column, coverage: Column) -> Column:

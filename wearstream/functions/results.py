@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 
 from wearstream.functions.scalars import STATES, severity
 
-#: The texts of data-quality reasons.
+#: What each data-quality reason is called, in words of our own.
 REASON_TEXT = {
-    "BASELINE_UNAVAILABLE": "worker baseline not set",
-    "ML_SERVICE_UNAVAILABLE": "ML service unavailable",
-    "LOW_CONFIDENCE": "low prediction confidence",
-    "WORKER_NOT_FOUND": "worker not found",
-    "BODY_CONTACT_FAILURE": "sensor skin contact lost",
-    "SENSOR_UNAVAILABLE": "sensor reading unavailable",
-    "TOO_MANY_MISSING_SENSORS": "several sensors unavailable",
-    "PACKET_LOSS": "samples missing (packet loss)",
-    "MAJOR_TIMESTAMP_GAP": "gap in the sample stream",
-    "OUT_OF_ORDER_TIMESTAMP": "out-of-order samples",
-    "UNSTABLE_HR": "unstable heart-rate signal",
-    "INVALID_PACKET": "invalid sample",
-    "REQUIRED_FEATURES_UNAVAILABLE": "required features unavailable",
-    "SENSOR_WARMUP": "sensor warm-up",
-    "INSUFFICIENT_HISTORY": "collecting initial history",
-    "GAS_BASELINE_UNAVAILABLE": "gas baseline calibrating",
+    "BASELINE_UNAVAILABLE": "no baselines are stored for this worker",
+    "ML_SERVICE_UNAVAILABLE": "the classifier did not answer",
+    "LOW_CONFIDENCE": "the classifier is not sure enough",
+    "WORKER_NOT_FOUND": "nobody is known by this id",
+    "BODY_CONTACT_FAILURE": "a body sensor has no contact",
+    "SENSOR_UNAVAILABLE": "a channel has no usable value",
+    "TOO_MANY_MISSING_SENSORS": "two or more channels have no usable value",
+    "PACKET_LOSS": "too few samples arrived lately",
+    "MAJOR_TIMESTAMP_GAP": "samples have just resumed after a pause",
+    "OUT_OF_ORDER_TIMESTAMP": "a sample came after a later one",
+    "UNSTABLE_HR": "the heart rate jumps about",
+    "INVALID_PACKET": "a sample could not be read",
+    "REQUIRED_FEATURES_UNAVAILABLE": "the classifier's inputs are incomplete",
+    "SENSOR_WARMUP": "sensors are still heating up",
+    "INSUFFICIENT_HISTORY": "the session has only begun",
+    "GAS_BASELINE_UNAVAILABLE": "clean air is still being measured",
 }
 
 

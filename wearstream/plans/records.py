@@ -107,7 +107,7 @@ def b18_filtered(spark, d):
 
 
 @query(f"""WITH {ALERTS_SQL}, x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PACKET_LOSS' WHEN 1 THEN 'ODD' WHEN 2 THEN 'UNSTABLE_HR' END r, kind, lag(kind) OVER (PARTITION BY worker ORDER BY ts, event_id) b FROM a)
-SELECT event_id, CASE r WHEN 'PACKET_LOSS' THEN 'samples missing (packet loss)' WHEN 'UNSTABLE_HR' THEN 'unstable heart-rate signal' ELSE coalesce(r, 'unknown reason') END reason,
+SELECT event_id, CASE r WHEN 'PACKET_LOSS' THEN 'too few samples arrived lately' WHEN 'UNSTABLE_HR' THEN 'the heart rate jumps about' ELSE coalesce(r, 'unknown reason') END reason,
 CASE WHEN b IS NULL THEN 'Risk state: ' || kind ELSE 'Risk changed: ' || b || ' → ' || kind END AS label FROM x""")
 def b19_labels(spark, d):
     k = F.col("event_id") % 4

@@ -39,11 +39,11 @@ def _states(spark, d):
 a AS (SELECT *, list_filter([CASE WHEN n = 'CRITICAL' THEN {'r': 0, 'p': 1, 'k': 'reduceNoiseExposure'} END, CASE WHEN n = 'WARNING' THEN {'r': 1, 'p': 2, 'k': 'monitorNoiseExposure'} END, CASE WHEN g = 'WARNING' THEN {'r': 1, 'p': 4, 'k': 'monitorGasLevel'} END,
   CASE WHEN att THEN {'r': 1, 'p': 20, 'k': 'checkWorkerCondition'} END, CASE WHEN NOT online THEN {'r': 1, 'p': 21, 'k': 'restoreCommunication'} END], lambda z: z IS NOT NULL) l FROM x),
 b AS (SELECT *, list_concat(l, list_filter([CASE WHEN len(l) = 0 AND risk = 'CRITICAL' THEN {'r': 0, 'p': 22, 'k': 'checkWorkerCondition'} END, CASE WHEN u AND risk IS NULL THEN {'r': 1, 'p': 23, 'k': 'checkSensors'} END], lambda z: z IS NOT NULL)) m FROM a)
-SELECT event_id, CASE WHEN e THEN 'followEmergencyProcedure,locateCheckWorker' WHEN len(m) = 0 THEN 'continueMonitoring' ELSE array_to_string(list_transform(list_sort(m), lambda z: z.k), ',') END actions FROM b""")
+SELECT event_id, CASE WHEN e AND event_id % 2 = 1 THEN 'locateCheckWorker,followEmergencyProcedure,emergencyResetAfterCheck' WHEN e THEN 'followEmergencyProcedure,seekAssistance,remainSafeLocation' WHEN len(m) = 0 THEN 'continueMonitoring' ELSE array_to_string(list_transform(list_sort(m), lambda z: z.k), ',') END actions FROM b""")
 def k02_actions(spark, d):
     k, level = F.col("event_id"), S.classified(F.col("value"), 30, 60)
     risk = F.when(k % 7 == 0, None).when(k % 7 == 1, "CRITICAL").otherwise("SAFE")
-    found = G.actions({"noise": level, "gas": F.when(k % 4 == 0, "WARNING").otherwise("SAFE")}, k % 3 == 0, k % 5 > 0, risk, k % 2 == 0, F.col("event_type") == "error")
+    found = G.actions({"noise": level, "gas": F.when(k % 4 == 0, "WARNING").otherwise("SAFE")}, k % 3 == 0, k % 5 > 0, risk, k % 2 == 0, F.col("event_type") == "error", F.when(k % 2 == 1, "ADMIN").otherwise("WORKER"))
     return samples(spark, d).select("event_id", F.concat_ws(",", found).alias("actions"))
 
 
@@ -186,7 +186,7 @@ def f10_quality(spark, d):
 
 
 @query("""WITH x AS (SELECT event_id, user_id worker, CASE WHEN value >= 60 THEN 'CRITICAL' WHEN value >= 30 THEN 'WARNING' ELSE 'SAFE' END n, event_type = 'error' e, value FROM events)
-SELECT event_id, CASE WHEN e THEN 'EMERGENCY' ELSE n END AS state, CASE WHEN e THEN 'followEmergencyProcedure,locateCheckWorker' ELSE concat_ws(',', CASE n WHEN 'CRITICAL' THEN 'reduceNoiseExposure' WHEN 'WARNING' THEN 'monitorNoiseExposure' END,
+SELECT event_id, CASE WHEN e THEN 'EMERGENCY' ELSE n END AS state, CASE WHEN e THEN 'followEmergencyProcedure,seekAssistance,remainSafeLocation' ELSE concat_ws(',', CASE n WHEN 'CRITICAL' THEN 'reduceNoiseExposure' WHEN 'WARNING' THEN 'monitorNoiseExposure' END,
 CASE WHEN abs((value - 30) / 30 * 100) >= 20 THEN 'checkWorkerCondition' END, CASE WHEN n = 'SAFE' AND abs((value - 30) / 30 * 100) < 20 THEN 'continueMonitoring' END) END actions, CAST(n <> 'SAFE' AS INT) + CAST(abs((value - 30) / 30 * 100) >= 20 AS INT) attention FROM x""")
 def l09_guidance(spark, d):
     return V.guidance_document(samples(spark, d), 30.0, (30, 60), 20.0)

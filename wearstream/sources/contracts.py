@@ -13,7 +13,7 @@ LABELS = ["Safe", "Warning", "Critical"]
 TIME_FORMAT = "M/d/yyyy H:mm"
 MOST_SAMPLES = 600
 #: Names or parts of names that no feature may have, as they give the label or the worker away.
-FORBIDDEN = ["risk", "label", "target", "worker", "baseline_hr", "baseline_body", "timestamp", "prediction"]
+FORBIDDEN = ["risk", "label", "target", "worker", "baseline_hr", "baseline_body", "timestamp", "prediction", "evidence", "rule", "artifact", "quality", "uncertain", "imputed", "flag"]
 
 
 class ContractError(ValueError):
@@ -67,8 +67,11 @@ def check_features(columns: list[str], allowed: list[str]) -> None:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path and sha256 of every file under a path."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    """file, its path below the given one, and sha256 of every file under a path."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = path.rstrip("/").split("://")[-1]
+    below = F.when(F.locate(root + "/", "path") > 0, F.substring_index("path", root + "/", -1)).otherwise(F.element_at(F.split("path", "/"), -1))
+    return rows.select(below.alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
