@@ -240,3 +240,10 @@ def test_a_session_in_a_restarted_stream_goes_on(spark, tmp_path):
         Q.live_features(stream, audit=True).writeStream.format("parquet").option("path", paths[1]).option("checkpointLocation", paths[2]).trigger(availableNow=True).start().awaitTermination()
     got = {r.seq: r for r in spark.read.parquet(paths[1]).collect()}
     assert got == {r.seq: r for r in Q.live_features(spark.createDataFrame(rows, SCHEMA), audit=True).collect()} and len(got) == len(rows)
+
+
+def test_without_a_model_nothing_counts(spark):
+    rows = [(1, *[reading(i)[c] for c in Q.COLUMNS]) for i in range(240)]
+    out = live.live_states(spark.createDataFrame(rows, SCHEMA), None).orderBy("seq").collect()
+    assert {r.reason for r in out[:180]} == {"SENSOR_WARMUP"} and {r.reason for r in out[181:]} == {"ML_SERVICE_UNAVAILABLE"}
+    assert all(r.state == "UNCERTAIN" and r.confirmed is None for r in out) and [r.seq for r in out if r.alert] == [210]

@@ -56,11 +56,16 @@ def handovers(readings: DataFrame) -> DataFrame:
     return worn.select("worker", *COLUMNS).unionByName(readings.where("helmet is null or worker is null").select("worker", *COLUMNS))
 
 
-def scored(features: DataFrame, model: PipelineModel, labels: list[str] = LEVELS) -> DataFrame:
+def scored(features: DataFrame, model: PipelineModel | None, labels: list[str] = LEVELS) -> DataFrame:
     """Rows of `live_features` with predicted (a label), confidence and probabilities by label; null unless the row is READY.
 
-    model takes the features by name and gives prediction and probability, as `training.fit` makes them.
+    model takes the features by name and gives prediction and probability, as `training.fit` makes them. Without a model
+    READY rows have no result, for the reason ML_SERVICE_UNAVAILABLE.
     """
+    if model is None:
+        none = {"predicted": "string", "confidence": "double", "probabilities": "map<string,double>"}
+        why = F.when(F.col("status") == "READY", F.array(F.lit("ML_SERVICE_UNAVAILABLE"))).otherwise(F.col("reasons"))
+        return features.withColumn("reasons", why).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
     out = model.transform(features)
     ready = F.col("status") == "READY"
     found = vector_to_array("probability")
@@ -149,7 +154,7 @@ def states(results: DataFrame, limits: Decisions = Decisions()) -> DataFrame:
     return fold(given, "worker", RESULTS, STATES_OUT, Votes(limits))
 
 
-def live_states(readings: DataFrame, model: PipelineModel, rules: Rules = Rules(), limits: Decisions = Decisions(), backstop: Column | None = None) -> DataFrame:
+def live_states(readings: DataFrame, model: PipelineModel | None, rules: Rules = Rules(), limits: Decisions = Decisions(), backstop: Column | None = None) -> DataFrame:
     """Readings to states: handovers, features, the model's results on READY rows, and `states` of them."""
     results = scored(live_features(handovers(readings), rules), model)
     kept = results.select("worker", *RESULTS[:-1], (F.lit(None).cast("string") if backstop is None else backstop).alias("backstop"))
