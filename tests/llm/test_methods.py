@@ -153,7 +153,7 @@ def test_verdicts_do_not_depend_on_the_order(spark):
 
 def test_counts_are_free_and_rejected_rows_skip_what_reads_texts(spark):
     docs = spark.createDataFrame([(i, " ".join(f"word{k}" for k in range(30)) + ("#" * 40 if i % 2 else "")) for i in range(2000)] + [(9999, "short")], "doc_id long, text string")
-    cost, hits = quality_rules.measured(quality_rules.counted(docs), quality_rules.RULES, 2000)
+    cost, hits = quality_rules.measured(docs, quality_rules.RULES, 2000)
     assert cost["symbols"] == cost["long_words"] == quality_rules.FREE and cost["few_letters"] >= quality_rules.FREE
     assert sum(n for _, n in hits) <= 2000 and any("symbols" in h for h, _ in hits)
     odd = "if(text like '%#%' or n_words < 10, raise_error('read'), false)"  # would fail on rows that other rules reject

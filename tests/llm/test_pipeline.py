@@ -8,6 +8,7 @@ import pytest
 pytest.importorskip("wearstream.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tests.llm import brute  # noqa: E402
+from wearstream.llm import tokens  # noqa: E402
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, gone boolean"
 RNG = np.random.default_rng(5)
