@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from wearstream.functions import calendar
 from wearstream.models.training import frozen
 from wearstream.sources import contracts as C
 from wearstream.streaming import sinks
@@ -103,3 +104,16 @@ def test_features_may_not_tell_how_a_label_came_about():
     for name in ("hr_evidence", "rule_count", "artifact_share", "quality_score", "uncertain_minutes", "imputed_gas", "hot_flag"):
         with pytest.raises(C.ContractError):
             C.check_features([name], [name])
+
+
+def test_times_do_not_depend_on_the_sessions_zone(spark):
+    texts = ["2026-01-01T10:00:00Z", "2026-01-01T10:00:00+05:30", "2026-01-01T10:00:00", "2026-01-01 10:00", "2026-01-01T10:00:00.250-0330", "2026-01-01", "soon", "", None]
+    df, zone, got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for z in ("UTC", "Asia/Colombo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            got.append([r.p and (r.p.epoch, str(r.p.local_date), r.p.local_hour) for r in df.select("i", calendar.parsed_time(F.col("t")).alias("p")).orderBy("i").collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    noon = 1767261600.0
+    assert got[0] == got[1] == got[2] == [(noon, "2026-01-01", 10), *[(noon - 19800, "2026-01-01", 10)] * 3, (noon + 12600.25, "2026-01-01", 10), None, None, None, None]

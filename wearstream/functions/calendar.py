@@ -94,14 +94,26 @@ def site_iso(ts: Column) -> Column:
     return F.concat(F.date_format(site_time(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit(f"{sign}{size // 60:02d}:{size % 60:02d}"))
 
 
+def instant(text: Column) -> Column:
+    """The instant of an ISO time: by its offset, or as the site's wall clock where it has none; null for other texts.
+
+    It doesn't depend on the session's zone.
+    """
+    sign, size = "+" if SITE_OFFSET_MINUTES >= 0 else "-", abs(SITE_OFFSET_MINUTES)
+    seconds = F.when(text.rlike(r"[T ]\d{2}:\d{2}$"), ":00").otherwise("")
+    at_site = F.concat(text, seconds, F.lit(f"{sign}{size // 60:02d}:{size % 60:02d}"))
+    timed = text.rlike(r"[T ]\d{2}:\d{2}")
+    return F.try_to_timestamp(F.when(text.rlike(r"[T ]\d{2}:.*(Z|[+-]\d{2}(:?\d{2})?)$"), text).when(timed, at_site))
+
+
 def parsed_time(text: Column) -> Column:
-    """Of an ISO time with an offset: epoch seconds, and the date and hour at that offset; null for other texts.
+    """Of an ISO time: epoch seconds (see `instant`), and the date and hour as the text has them; null for other texts.
 
-    The offset is the text's own, so the local date is the sender's.
+    The offset is the text's own, or else the site's, so the local date is the sender's.
     """
-    instant = F.try_to_timestamp(text)
+    found = instant(text)
     local = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2})", 0)
     return F.when(
-        instant.isNotNull() & (local != ""),
-        F.struct((F.unix_micros(instant) / 1e6).alias("epoch"), F.substring(local, 1, 10).cast("date").alias("local_date"), F.substring(local, 12, 2).cast("int").alias("local_hour")),
+        found.isNotNull() & (local != ""),
+        F.struct((F.unix_micros(found) / 1e6).alias("epoch"), F.substring(local, 1, 10).cast("date").alias("local_date"), F.substring(local, 12, 2).cast("int").alias("local_hour")),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from wearstream.functions.calendar import instant
 from wearstream.functions.scalars import cleaned, gps
 
 #: The labels a training table may have, its time format, and the most samples of a batch.
@@ -106,7 +107,7 @@ def uploads(packets: DataFrame, text: str = "value") -> DataFrame:
     rows = parsed.withColumn("_bad", bad).select(
         *packets.columns, F.col("_p.helmetId").alias("helmet"), F.col("_p.workerId").alias("worker"), "_bad", F.posexplode_outer(F.when(F.col("_bad").isNull(), F.col("_s"))).alias("place", "_x")
     )
-    time = F.try_to_timestamp(F.col("_x.timestamp"))
+    time = instant(F.col("_x.timestamp"))
     return rows.select(
         *packets.columns, "helmet", "worker", "place", time.alias("time"), *[channel(F.col(f"_x.{a}")).alias(b) for a, b in CHANNELS.items()], gps(F.col("_x.lat"), F.col("_x.lon")).alias("gps"),
         F.coalesce("_bad", F.when(time.isNull(), "NO_TIME")).alias("problem"),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wearstream.functions.calendar import instant
 from wearstream.streaming.keyed import Fold, fold
 
 ACTIONS = ("press", "request", "poll", "ack")
@@ -33,7 +34,7 @@ def packets(rows: DataFrame, text: str = "value") -> DataFrame:
     kind = {p: F.coalesce(_kind(v, p), F.lit("VOID")) for p in ("$", "$.helmetId", "$.timestamp", "$.emergency", "$.gps", "$.gps.lat", "$.gps.lon")}
     number = lambda p: kind[p].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     said = get("$.timestamp", "string")
-    from_text = F.unix_micros(F.try_to_timestamp(said))
+    from_text = F.unix_micros(instant(said))
     time = F.when(number("$.timestamp"), (get("$.timestamp", "double") * 1000).cast("long")).when(kind["$.timestamp"] == "STRING", from_text)
     missing = (kind["$.timestamp"] == "VOID") | said.isin("", "false") | (number("$.timestamp") & (get("$.timestamp", "double") == 0))
     urgent = ((kind["$.emergency"] == "BOOLEAN") & (get("$.emergency", "string") == "true")) | F.coalesce(get("$.status.overall", "string") == "EMERGENCY", F.lit(False))
