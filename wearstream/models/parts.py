@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearstream.streaming.runs import shared_dir
+from wearstream.streaming.runs import kept as kept_rows
 
 
 class Settings(Params, DefaultParamsReadable, DefaultParamsWritable):
@@ -171,7 +170,7 @@ class SoftmaxBoosting(Settings, Estimator):
         kept = rows.select(F.col(s["inp"]).alias("x"), F.col(s["label"]).cast("int").alias("y"), F.col(s["weight"]).cast("double").alias("w"), F.coalesce(stop, F.lit(False)).alias("stop"))
         shares = {r.y: r.s for r in kept.where("not stop").groupBy("y").agg(F.sum("w").alias("s")).collect()}
         start = [float(np.log(max(shares.get(c, 0.0), 1e-9) / sum(shares.values()))) for c in range(k)]
-        now = self._written(kept.withColumn("m", F.array(*[F.lit(x) for x in start])))
+        now = kept_rows(kept.withColumn("m", F.array(*[F.lit(x) for x in start])))
         found, best, since = [], (None, 0), 0
         for n in range(s["rounds"]):
             p = now.withColumn("p", softmax(F.col("m"))).where("not stop")
@@ -182,7 +181,7 @@ class SoftmaxBoosting(Settings, Estimator):
                 trees.append(flat_tree(fitted._java_obj.rootNode()))
             found.append(trees)
             step = margins(F.col("x"), [trees], [0.0] * k, s["rate"])
-            now = self._written(now.withColumn("m", F.zip_with("m", step, lambda a, b: a + b)))
+            now = kept_rows(now.withColumn("m", F.zip_with("m", step, lambda a, b: a + b)))
             if s["stop"]:
                 loss = now.where("stop").agg((-F.avg(F.log(softmax(F.col("m"))[F.col("y")]))).alias("l")).first().l
                 if loss is None or best[0] is None or loss < best[0] - 1e-6:
@@ -193,9 +192,3 @@ class SoftmaxBoosting(Settings, Estimator):
                         break
         rounds = found[: best[1]] if s["stop"] and best[0] is not None else found
         return BoostedModel().given(inp=s["inp"], rounds=rounds, start=start, rate=s["rate"])
-
-    @staticmethod
-    def _written(rows: DataFrame) -> DataFrame:
-        path = f"{shared_dir(rows.sparkSession)}/boosting-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return rows.sparkSession.read.schema(rows.schema).parquet(path)

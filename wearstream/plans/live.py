@@ -12,6 +12,7 @@ from wearstream.sources.tables import samples, table
 from wearstream.streaming import emergencies as E
 from wearstream.streaming import live as L
 from wearstream.streaming import quality as Q
+from wearstream.streaming import runs as R
 from wearstream.streaming import stateful
 from wearstream.streaming import updates as U
 
@@ -54,7 +55,7 @@ def a09_live_features(spark, d):
 
 def _model(spark, d):
     """A model of a third of the workers' readings, labelled by their noise; none if none of them is READY."""
-    rows = Q.live_features(_readings(spark, d).where("worker % 3 = 0"), RULES).where("status = 'READY'")
+    rows = R.kept(Q.live_features(_readings(spark, d).where("worker % 3 = 0"), RULES).where("status = 'READY'"))
     if rows.isEmpty():
         return None
     label = F.when(F.col("noise") >= 85, 2).when(F.col("noise") >= 60, 1).otherwise(0)

@@ -22,3 +22,10 @@ def finished(stream: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """A table written once to the shared folder and read again, for steps that read it often."""
+    path = f"{shared_dir(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
