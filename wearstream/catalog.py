@@ -341,4 +341,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in registry.found.items() if sql is not None}
 
 
-from wearstream.plans import evaluation, live, periods, records, sites, timelines, views  # noqa: E402, F401  (their queries register themselves)
+from wearstream.plans import dashboards, evaluation, live, periods, records, sites, timelines, views  # noqa: E402, F401  (their queries register themselves)

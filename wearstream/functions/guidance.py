@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: What a channel's severity asks for, and the other rules: (key, priority); keys are names of our own but for noise.
 CHANNEL_ACTIONS = {
+    ("ambientTemperature", "CRITICAL"): ("moveToCoolerArea", "HIGH"),
+    ("ambientTemperature", "WARNING"): ("hydrateAndRest", "MEDIUM"),
     ("noise", "CRITICAL"): ("reduceNoiseExposure", "HIGH"),
     ("noise", "WARNING"): ("monitorNoiseExposure", "MEDIUM"),
     ("gas", "CRITICAL"): ("leaveOrVentilateArea", "HIGH"),
     ("gas", "WARNING"): ("monitorGasLevel", "MEDIUM"),
-    ("ambientTemperature", "CRITICAL"): ("moveToCoolerArea", "HIGH"),
-    ("ambientTemperature", "WARNING"): ("hydrateAndRest", "MEDIUM"),
     ("uv", "CRITICAL"): ("avoidDirectSun", "HIGH"),
     ("uv", "WARNING"): ("useSunProtection", "MEDIUM"),
 }
@@ -57,6 +57,32 @@ def actions(levels: dict[str, Column], attention: Column, online: Column, risk:
     return F.when(emergency & admin, urgent["ADMIN"]).when(emergency, urgent["WORKER"]).otherwise(keys)
 
 
+def summary_title(state: Column) -> Column:
+    """What a guidance document is headed by, in words of our own."""
+    titles = {"EMERGENCY": "Emergency", "CRITICAL": "Act now", "WARNING": "Take care", "SAFE": "All as it should be", "UNCERTAIN": "Not certain", "NO_HELMET": "No helmet", "NO_DATA": "No readings yet"}
+    out = F.when(F.lit(False), "")
+    for name, title in titles.items():
+        out = out.when(state == name, title)
+    return out.otherwise("Not known yet")
+
+
+def summary_text(state: Column, attention: Column, reason: Column, viewer: Column) -> Column:
+    """One sentence below the title; a warning or critical state always names at least one condition. viewer: ADMIN or a worker."""
+    whom = F.when(viewer == "ADMIN", "this worker").otherwise("you")
+    n = F.greatest(attention, F.lit(1))
+    conditions = F.when(n == 1, "1 condition needs ").otherwise(F.concat(n.cast("string"), F.lit(" conditions need ")))
+    return (
+        F.when(state == "EMERGENCY", F.concat(F.lit("An emergency is on for "), whom, F.lit(".")))
+        .when(state == "CRITICAL", F.concat(conditions, F.lit("attention at once.")))
+        .when(state == "WARNING", F.concat(conditions, F.lit("attention.")))
+        .when(state == "SAFE", "The readings are in their usual ranges.")
+        .when(state == "UNCERTAIN", F.concat(F.lit("The risk for "), whom, F.lit(" can't be told now: "), reason, F.lit(". It may not be safe.")))
+        .when(state == "NO_HELMET", "Guidance begins when a helmet is assigned.")
+        .when(state == "NO_DATA", "Guidance begins with the first readings.")
+        .otherwise("No state has been found yet.")
+    )
+
+
 def insights(alerts: Column, before: Column, worst_hour: Column, coverage: Column) -> Column:
     """Sentences on a period, in order; without alerts and coverage there are none."""
     change = F.when(alerts > before, "more").when(alerts < before, "fewer")
