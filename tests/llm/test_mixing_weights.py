@@ -75,3 +75,33 @@ def test_awkward_rows_and_names(spark):
         mixing.mix_sources(docs, weights={"a": 0})
     none = spark.createDataFrame([], docs.schema)
     assert mixing.mix_sources(none).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [{"a": 1, "b": 1, "c": 1}, {"a": 40, "b": 3, "c": 0}, {"a": 2, "b": 900, "c": 5}])
+def test_slots_needed_hold_every_block(blocks):
+    weights = {"a": 501, "b": 333, "c": 170}
+    slots = mixing.slots_needed(weights, blocks)
+    said = list(mixing.turns(weights, slots))
+    assert said == list(mixing.turns(weights))[:slots] and slots <= 1004
+    for s, n in blocks.items():
+        assert {i for t, i in said if t == s} >= set(range(min(n, weights[s])))
+
+
+def test_weights_of_nine_digits_make_only_the_slots_that_the_table_uses(spark, monkeypatch):
+    weights = {"a": 0.123456789, "b": 0.876543211, "c": 0.333333333}
+    assert sum(mixing.whole_weights(weights).values()) == 1333333333
+    made, turns = [], mixing.turns
+    monkeypatch.setattr(mixing, "turns", lambda *a: (made.append(1) or t for t in turns(*a)))
+    docs = spark.range(6000).selectExpr("id doc_id", "element_at(array('a', 'b', 'c'), cast(id % 3 as int) + 1) source")
+    rows = mixing.mix_sources(docs, weights=weights, block_rows=1).collect()
+    assert len(made) == -(-2000 * 1333333333 // 123456789)
+    assert sorted(r.mix_slot for r in rows) == list(range(6000))
+    assert worst_deviation([(r.mix_slot, r.mix_source) for r in rows], weights, 2000 * 1333333333 // 876543211 - 1) < 1
+
+
+def test_ranges_of_slots_give_the_same_mixture(spark, monkeypatch):
+    docs = spark.range(900).selectExpr("id doc_id", "if(id < 30, 'a', if(id % 3 = 0, 'b', 'c')) source")
+    rows = lambda: sorted((r.doc_id, r.mix_slot, r.mix_place) for r in mixing.mix_sources(docs, weights={"a": 3, "b": 800, "c": 400}, block_rows=1).collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "SLOTS_AT_ONCE", 50)
+    assert rows() == want and sorted(s for _, s, _ in want) == list(range(900))
