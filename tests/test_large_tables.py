@@ -1,8 +1,11 @@
-"""What only larger tables showed: values on a limit."""
+"""What only larger tables showed: values on a limit, long lists of recipients."""
 
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
+
+from wearstream.operators import records as O
 from wearstream.plans import sites, views
 
 
@@ -22,3 +25,9 @@ def test_the_last_position_is_below_the_limit(spark, limit):
 
 def test_the_snapshot_has_the_last_position_below_the_limit(spark, limit):
     assert [r["lat"] for r in views.l08_snapshot(spark, limit).collect()] == [45.0]
+
+
+def test_alerts_go_to_any_number_of_recipients(spark):
+    alerts = spark.createDataFrame([(1, 5), (2, 20_000), (3, None), (2, 20_000)], "event_id long, worker long")
+    to = O.fanned_out(alerts, spark.range(12_000).withColumnRenamed("id", "recipient"), "worker")
+    assert {r["event_id"]: (r["n"], r["d"]) for r in to.groupBy("event_id").agg(F.count("*").alias("n"), F.count_distinct("recipient").alias("d")).collect()} == {1: (12_000,) * 2, 2: (12_001,) * 2, 3: (12_000,) * 2}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Recipients in a list.
+LISTED = 4096
+
 
 def find(rows: DataFrame, where: dict, fields: list[str]) -> DataFrame:
     """The named fields of rows equal to all given values; a value may be a list of alternatives, or None for null."""
@@ -49,16 +52,18 @@ def updated(rows: DataFrame, where: Column, changes: dict[str, Column]) -> DataF
     return rows.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in rows.columns])
 
 
-def fanned_out(alerts: DataFrame, recipients: DataFrame, own: str, most: int = 10_000) -> DataFrame:
+def fanned_out(alerts: DataFrame, recipients: DataFrame, own: str) -> DataFrame:
     """One row per alert and recipient, and one for the alert's own worker: event_id, recipient.
 
-    The recipients are active admins, a short list: more than most of them raise. A worker who is one of them has one row.
+    The result has as many rows as alerts times recipients; none is twice in it, also where a worker is a recipient or an
+    alert is given twice. Null recipients and workers get none. Recipients may be any number: they are in lists of about
+    LISTED, and each alert meets one list after the other.
     """
-    if recipients.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} recipients")
-    everyone = recipients.agg(F.collect_set("recipient").alias("everyone"))
-    to = F.array_distinct(F.concat(F.col("everyone"), F.array(own)))
-    return alerts.crossJoin(F.broadcast(everyone)).select("event_id", F.explode(to).alias("recipient"))
+    everyone = recipients.select("recipient").where("recipient is not null").distinct()
+    lists = everyone.groupBy(F.pmod(F.xxhash64("recipient"), F.lit(everyone.count() // LISTED + 1))).agg(F.collect_list("recipient").alias("_list"))
+    to_all = alerts.select("event_id").distinct().crossJoin(lists.select("_list")).select("event_id", F.explode("_list").alias("recipient"))
+    to_own = alerts.select("event_id", F.col(own).alias("recipient")).where("recipient is not null").distinct()
+    return to_all.unionByName(to_own.join(everyone, "recipient", "left_anti").select("event_id", "recipient"))
 
 
 def retained(rows: DataFrame, now: Column, days: int) -> DataFrame:
