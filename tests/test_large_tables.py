@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wearstream.operators import records as O
 from wearstream.plans import sites, views
+from wearstream.streaming.emergencies import emergencies
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +32,9 @@ def test_alerts_go_to_any_number_of_recipients(spark):
     alerts = spark.createDataFrame([(1, 5), (2, 20_000), (3, None), (2, 20_000)], "event_id long, worker long")
     to = O.fanned_out(alerts, spark.range(12_000).withColumnRenamed("id", "recipient"), "worker")
     assert {r["event_id"]: (r["n"], r["d"]) for r in to.groupBy("event_id").agg(F.count("*").alias("n"), F.count_distinct("recipient").alias("d")).collect()} == {1: (12_000,) * 2, 2: (12_001,) * 2, 3: (12_000,) * 2}
+
+
+def test_a_tables_replay_keeps_its_tasks(spark):
+    actions = spark.range(1000).selectExpr("id worker", "id seq", "id us", "'H' helmet", "'press' action", "1D lat", "1D lon")
+    out = emergencies(actions)
+    assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and out.count() == 1000

@@ -55,7 +55,7 @@ def a09_live_features(spark, d):
 
 def _model(spark, d):
     """A model of a third of the workers' readings, labelled by their noise; none if none of them is READY."""
-    rows = R.kept(Q.live_features(_readings(spark, d).where("worker % 3 = 0"), RULES).where("status = 'READY'"))
+    rows = R.kept(Q.live_features(_readings(spark, d).where("worker % 3 = 0"), RULES).where("status = 'READY'").select("noise", "noise_rolling_mean_60s"))
     if rows.isEmpty():
         return None
     label = F.when(F.col("noise") >= 85, 2).when(F.col("noise") >= 60, 1).otherwise(0)

@@ -16,6 +16,10 @@ from pyspark.sql.types import StructType
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Tasks of a table's replay for each core, at least.
+TASKS_A_CORE = 4
+
+
 class Fold:
     """What is done with a key's rows. states: name to the schema of a value, or to the schemas of a map's key and value.
 
@@ -97,7 +101,8 @@ class KeyedState(StatefulProcessor):
 def fold(rows: DataFrame, key: str, columns: list[str], out: str, by: Fold) -> DataFrame:
     """The outputs of a fold over each key's rows in order of seq (of equal seqs: of the other columns).
 
-    A table is replayed in the order of all its rows, sorted by Spark and read batch by batch. In a stream, triggers are
+    A table is replayed in the order of all its rows, sorted by Spark and read batch by batch, in a fixed number of tasks:
+    folds are costly and their rows short, so by their bytes Spark would merge them into few. In a stream, triggers are
     taken as they come and a trigger's rows of a key are sorted; its state is in RocksDB, to which this sets the session.
     """
     given = rows.select(key, *columns)
@@ -118,4 +123,6 @@ def fold(rows: DataFrame, key: str, columns: list[str], out: str, by: Fold) -> D
                 found += rows_from(by.step(now, {c: None if isinstance(v, float) and v != v else v for c, v in zip(columns, row)}), one)
             yield table_of(found, schema)
 
-    return given.repartition(key).sortWithinPartitions(key, *columns).mapInArrow(replay, out)
+    session = given.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * session.sparkContext.defaultParallelism)
+    return given.repartition(tasks, key).sortWithinPartitions(key, *columns).mapInArrow(replay, out)
