@@ -105,3 +105,12 @@ def test_awkward_rows(spark):
     want += [(False, 3, n + 1, low, False), (False, 5, 1, 5, True), (False, low, n, low, True), (False, 1 << 62, 3, 1, False)]
     assert got == sorted(want, key=str)
     assert S.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_a_tile_settles_only_pairs_whose_first_band_it_is():
+    a = np.arange(1, 401, dtype=np.uint64)
+    sets = [a, a[:-10]]
+    bands = S.bands_of(S.fast_sketches(sets, 200), *S.banding(200, 80))
+    shared = bands[0][bands[0] == bands[1]].tolist()
+    settle = lambda band: S.joined_components(sets, np.array([1, 2]), np.array([0, 0]), 120, 80, 200, band)
+    assert len(shared) > 1 and len(settle(shared[0])) == 1 and [settle(b) for b in shared[1:]] == [[]] * (len(shared) - 1)

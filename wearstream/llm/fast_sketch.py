@@ -30,9 +30,10 @@ from wearstream.llm.jaccard_join import linked, set_key_of, shingles
 #: The chance that banding misses a pair at the threshold is at most this; sketches rule pairs out SIGMAS deviations below it.
 MISS = 1e-6
 SIGMAS = 7
-#: Bands that a set shares with its leader at least; pairs that a tile hands on for each of its members, else it is dense.
+#: Bands that a set shares with its leader at least; pairs that a tile hands on for each of its members, else it is dense and
+#: its members, which are fewer, are sent.
 LEADER_BANDS = 3
-PAIRS_EACH = 8
+PAIRS_EACH = 1
 #: Members that one copy of a leader's text meets.
 CHUNK = 256
 LOW = np.uint64(0xFFFFFFFF)
@@ -102,8 +103,11 @@ def close_pairs(tile: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: np
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def joined_components(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, least: int, percent: int, t: int) -> list[tuple[int, int]]:
-    """Links between components of a tile's sets, verified in full, the likeliest first, until none is left to join."""
+def joined_components(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, least: int, percent: int, t: int, band: int | None = None) -> list[tuple[int, int]]:
+    """Links between components of a tile's sets, verified in full, the likeliest first, until none is left to join.
+
+    Given the tile's band, pairs that share an earlier one are left out, as they meet there too.
+    """
     if len(sets) < 2:
         return []
     root = {int(c): int(c) for c in comp}
@@ -114,10 +118,14 @@ def joined_components(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray
             c = root[c]
         return c
 
-    sketch, sizes, out = short(fast_sketches(sets, t)), np.array([len(s) for s in sets]), []
+    full = fast_sketches(sets, t)
+    sketch, bands, sizes, out = short(full), bands_of(full, *banding(t, percent)), np.array([len(s) for s in sets]), []
     for i in range(len(sets)):
         agree = (sketch[:i] == sketch[i]).sum(axis=1)
-        for j in sorted(np.flatnonzero((agree >= least) & ((side[:i] == 0) | (side[:i] != side[i]))).tolist(), key=lambda j: -agree[j]):
+        likely = np.flatnonzero((agree >= least) & (comp[:i] != comp[i]) & ((side[:i] == 0) | (side[:i] != side[i])))
+        if band is not None:
+            likely = likely[bands[i, (bands[likely] == bands[i]).argmax(axis=1)] == band]
+        for j in sorted(likely.tolist(), key=lambda j: -agree[j]):
             a, b = find(int(comp[i])), find(int(comp[j]))
             if a != b and linked(np.intersect1d(sets[i], sets[j], assume_unique=True).size, int(sizes[i]), sizes[j], percent):
                 root[max(a, b)] = min(a, b)
@@ -224,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, t: int
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets, of = None, [], []
-        joined = lambda: pairs_of(joined_components(sets, *np.array(of, np.int64).reshape(-1, 2).T, least, percent, t))
+        joined = lambda: pairs_of(joined_components(sets, *np.array(of, np.int64).reshape(-1, 2).T, least, percent, t, at and at[0]))
         for batch in batches:
             for band, low, high, key, comp, side, text in zip(*(batch.column(c).to_pylist() for c in ("band", "low", "high", "key", "comp", "side", "text"))):
                 if (band, low, high) != at:
