@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wearstream.operators import records as O
 from wearstream.plans import sites, views
-from wearstream.streaming.emergencies import emergencies
+from wearstream.streaming.emergencies import emergencies, packets
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,9 @@ def test_a_tables_replay_keeps_its_tasks(spark):
     actions = spark.range(1000).selectExpr("id worker", "id seq", "id us", "'H' helmet", "'press' action", "1D lat", "1D lon")
     out = emergencies(actions)
     assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and out.count() == 1000
+
+
+def test_packets_are_read_once_for_a_row(spark):
+    rows = packets(spark.createDataFrame([('{"helmetId": "H"}',)], "value string"))
+    plan = rows.select("problems", "us")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("variant_get(") <= 16 and rows.first()["problems"] == ["NO_TIME", "NO_EMERGENCY"]

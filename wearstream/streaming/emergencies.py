@@ -29,27 +29,33 @@ def packets(rows: DataFrame, text: str = "value") -> DataFrame:
     an ISO time nor milliseconds), NO_EMERGENCY (neither emergency: true nor status.overall EMERGENCY), BAD_GPS (no
     object), BAD_LAT and BAD_LON (no number in range). A null gps is none. Values are null where a packet isn't valid.
     """
-    v = F.try_parse_json(text)
-    get = lambda path, kind: F.try_variant_get(v, path, kind)
-    kind = {p: F.coalesce(_kind(v, p), F.lit("VOID")) for p in ("$", "$.helmetId", "$.timestamp", "$.emergency", "$.gps", "$.gps.lat", "$.gps.lon")}
+    # each step's columns are read often by the next, so they are columns of their own: parsed and found once for a row
+    get = lambda path, kind: F.try_variant_get("_v", path, kind)
+    paths = {p: f"_kind{i}" for i, p in enumerate(("$", "$.helmetId", "$.timestamp", "$.emergency", "$.gps", "$.gps.lat", "$.gps.lon"))}
+    read = {
+        "_said": get("$.timestamp", "string"), "_stamp": get("$.timestamp", "double"), "_helmet": get("$.helmetId", "string"), "_worker": get("$.workerId", "string"),
+        "_urgent": get("$.emergency", "string"), "_overall": get("$.status.overall", "string"), "_lat": get("$.gps.lat", "double"), "_lon": get("$.gps.lon", "double"),
+    }
+    found_in = rows.withColumn("_v", F.try_parse_json(text)).withColumns({c: F.coalesce(_kind(F.col("_v"), p), F.lit("VOID")) for p, c in paths.items()} | read)
+    kind = {p: F.col(c) for p, c in paths.items()}
     number = lambda p: kind[p].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    said = get("$.timestamp", "string")
+    said = F.col("_said")
     from_text = F.unix_micros(instant(said))
-    time = F.when(number("$.timestamp"), (get("$.timestamp", "double") * 1000).cast("long")).when(kind["$.timestamp"] == "STRING", from_text)
-    missing = (kind["$.timestamp"] == "VOID") | said.isin("", "false") | (number("$.timestamp") & (get("$.timestamp", "double") == 0))
-    urgent = ((kind["$.emergency"] == "BOOLEAN") & (get("$.emergency", "string") == "true")) | F.coalesce(get("$.status.overall", "string") == "EMERGENCY", F.lit(False))
+    time = F.when(number("$.timestamp"), (F.col("_stamp") * 1000).cast("long")).when(kind["$.timestamp"] == "STRING", from_text)
+    missing = (kind["$.timestamp"] == "VOID") | said.isin("", "false") | (number("$.timestamp") & (F.col("_stamp") == 0))
+    urgent = ((kind["$.emergency"] == "BOOLEAN") & (F.col("_urgent") == "true")) | F.coalesce(F.col("_overall") == "EMERGENCY", F.lit(False))
     placed, there = kind["$.gps"] != "VOID", kind["$.gps"].startswith("OBJECT")
-    inside = lambda c, most: number(f"$.gps.{c}") & F.coalesce(get(f"$.gps.{c}", "double").between(-most, most), F.lit(False))
+    inside = lambda c, most: number(f"$.gps.{c}") & F.coalesce(F.col(f"_{c}").between(-most, most), F.lit(False))
     found = [
-        F.when((kind["$.helmetId"] != "STRING") | (get("$.helmetId", "string") == ""), "NO_HELMET"), F.when(missing, "NO_TIME").when(time.isNull(), "BAD_TIME"), F.when(~urgent, "NO_EMERGENCY"),
+        F.when((kind["$.helmetId"] != "STRING") | (F.col("_helmet") == ""), "NO_HELMET"), F.when(missing, "NO_TIME").when(time.isNull(), "BAD_TIME"), F.when(~urgent, "NO_EMERGENCY"),
         F.when(placed & ~there, "BAD_GPS"), F.when(there & ~inside("lat", 90), "BAD_LAT"), F.when(there & ~inside("lon", 180), "BAD_LON"),
     ]
     problems = F.when(~kind["$"].startswith("OBJECT"), F.array(F.lit("NOT_AN_OBJECT"))).otherwise(F.array_compact(F.array(*found)))
-    checked = rows.withColumn("problems", problems)
+    checked = found_in.withColumns({"_us": time, "problems": problems})
     valid = lambda c: F.when(F.size("problems") == 0, c)
     return checked.select(
-        *rows.columns, valid(get("$.helmetId", "string")).alias("helmet"), valid(get("$.workerId", "string")).alias("worker_given"), valid(time).alias("us"),
-        *[valid(F.when(there, get(f"$.gps.{c}", "double"))).alias(c) for c in ("lat", "lon")], "problems",
+        *rows.columns, valid(F.col("_helmet")).alias("helmet"), valid(F.col("_worker")).alias("worker_given"), valid(F.col("_us")).alias("us"),
+        *[valid(F.when(there, F.col(f"_{c}"))).alias(c) for c in ("lat", "lon")], "problems",
     )
 
 
