@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearstream.llm.common import written
+from wearstream.llm.common import removed, written
 from wearstream.llm.jaccard_join import keep_first
 from wearstream.llm.mixing import mix_sources
 from wearstream.llm.packing import pack_documents
@@ -51,8 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each result written as Parquet in the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """The stages one after the other, each result written as Parquet in the shared folder, read by the next and then removed."""
+    docs, last = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            removed(last)
+        last = docs
     return docs

@@ -40,6 +40,24 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix64((sums[k:] - sums[:-k]) * down[:n] + odd_constants(1, 64 * seed + k)[0])
 
 
+class Held:
+    """A sorted table of hashes, asked for many at once: most are ruled out by one bit each."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.table = np.sort(hashes)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.table >> np.uint64(44)] = True
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes the table holds, by their places, and where it holds them."""
+        some = np.flatnonzero(self.bits[hashes >> np.uint64(44)])
+        if not len(some):
+            return some, some
+        at = np.minimum(np.searchsorted(self.table, hashes[some]), len(self.table) - 1)
+        yes = self.table[at] == hashes[some]
+        return some[yes], at[yes]
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches, so that long texts don't add up in memory."""
     for batch in batches:
@@ -68,13 +86,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Whether an execution's shuffle files go at its end; else they stay until the driver's JVM happens to collect garbage.
+FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+    """df written as Parquet in the shared folder and read again; the shuffle files that this took are gone then."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(FILES_GO, "false")
+    conf.set(FILES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FILES_GO, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Takes the files of a table that written() made, and that nothing reads any more, out of the shared folder."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _flags(members: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(members)] = True

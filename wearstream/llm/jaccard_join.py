@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearstream.llm.common import components, hashed_words, marked_bits, mix64, odd_constants, perhaps_in, small_batches, window_hashes, written
+from wearstream.llm.common import Held, components, hashed_words, marked_bits, mix64, odd_constants, perhaps_in, removed, small_batches, window_hashes, written
 
 #: Sizes from CLASS_RATIO ** c up to the next power are class c.
 CLASS_RATIO = 1.3
@@ -74,23 +74,31 @@ def parts_of(c: int, percent: int) -> tuple[int, int]:
     return parts, need
 
 
-def signatures(s: np.ndarray, percent: int) -> dict[int, np.ndarray]:
+def signatures(s: np.ndarray, percent: int, frequent: Held | None = None) -> dict[int, np.ndarray]:
     """By size class, hashes such that linked sets share one in the class of the smaller.
 
     Two sets whose smaller one is in the class differ by less than the needed number of parts, to which elements belong by
-    their hashes. If as many parts as that have elements, one of those is equal; the empty parts, which unlike sets
-    share too, give signatures only for a set that fills fewer.
+    their hashes; so do their elements that aren't frequent. If as many parts as that have such elements in one of the two sets,
+    one of those parts is equal. A set that fills fewer has signatures of the parts of all its elements besides, by which two
+    such sets meet: of the filled ones if those are enough, else of the empty parts too, which unlike sets share.
     """
     out = {}
+    rare = np.delete(s, frequent.places(s)[0]) if frequent is not None else s
     for c in classes_of(len(s), percent):
         parts, need = parts_of(c, percent)
         salt = odd_constants(1, 31 * c)[0]
-        part = ((mix64(s ^ salt) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, mix64(s + salt))
-        filled = np.unique(part)
-        at = filled if len(filled) >= need else np.arange(parts)
-        out[c] = mix64(sums[at] + mix64(at.astype(np.uint64) * salt + np.uint64(c + 1)))
+
+        def hashes(elements: np.ndarray, enough: int) -> tuple[np.ndarray, int]:
+            part = ((mix64(elements ^ salt) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+            sums = np.zeros(parts, np.uint64)
+            np.add.at(sums, part, mix64(elements + salt))
+            filled = np.unique(part)
+            at = filled if len(filled) >= enough else np.arange(parts)
+            return mix64(sums[at] + mix64(at.astype(np.uint64) * salt + np.uint64(c + 1))), len(filled)
+
+        out[c], filled = hashes(rare, 0)
+        if filled < need:
+            out[c] = np.union1d(out[c], hashes(s, need)[0])
     return out
 
 
@@ -243,14 +251,34 @@ def forest(sets: list[np.ndarray], ids: np.ndarray, cross: np.ndarray | None, pe
     return kept, links
 
 
-def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: int = 2000) -> DataFrame:
+def frequent_shingles(texts: DataFrame, size: int, one_in: int, least: int, most: int) -> Held:
+    """Shingles that at least `least` different texts of one in one_in have, at most `most` of them.
+
+    Only by which signatures sets meet depends on them, never the result.
+    """
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            found, times = np.unique(np.concatenate([np.empty(0, np.uint64), *(shingles(t, size) for t in batch.column(0).to_pylist())]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["hash", "times"])
+
+    sample = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).distinct().mapInArrow(counts, "hash long, times long")
+    found = sample.groupBy("hash").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+    return Held(np.array([r[0] for r in found.orderBy(F.desc("times"), "hash").limit(most).select("hash").collect()], np.int64).view(np.uint64))
+
+
+def jaccard_groups(
+    docs: DataFrame, *, size: int = 5, percent: int = 80, tile: int = 2000, one_in: int = 32, least: int = 6, most: int = 1 << 16, round_sets: int = 100_000
+) -> DataFrame:
     """Every document with its set's size, its component under links of Jaccard >= percent / 100, and its links.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), n_links (different texts' sets linked with the
     document's), and the hashes text_key and set_key of its text and set. Steps: equal sets become one representative; in each size class, representatives that share a
     pigeonhole signature form blocks, and no link whose smaller set is of the class leaves a block (larger sets are guests
     there); each block is joined by size-aware heavy-light join, in tiles of at most
-    2 * tile sets where it is larger; links that join components are kept, one forest per tile.
+    2 * tile sets where it is larger; links that join components are kept, one forest per tile. Shingles that a sample
+    (one text in one_in) finds in many texts don't count for a signature, or each passage that texts have in common would
+    chain them to one block; sets of hardly anything else have signatures of all their shingles too.
 
     A null or wordless text has n_shingles 0, is linked with nothing and is its own component; an id repeated with
     different texts keeps a row and a component for each text; a null doc_id is left out, as it can't name a component; an empty table gives no rows; other columns aren't read. Texts are whole.
@@ -279,7 +307,7 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
                 s = shingles(text, size)
                 key = set_key_of(s)
                 if len(s) and vertex(key, class_of(len(s))) not in held:
-                    found = {vertex(key, c): sigs for c, sigs in signatures(s, percent).items()}
+                    found = {vertex(key, c): sigs for c, sigs in signatures(s, percent, frequent).items()}
                     held |= found
                     count += sum(map(len, found.values()))
                 if count >= PACKED_SIGNATURES:
@@ -288,6 +316,7 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
         if held:
             yield packed_signatures(held, buckets)
 
+    frequent = frequent_shingles(texts, size, one_in, least, most)
     packed = texts.mapInArrow(dealt_signatures, "bucket long, sigs binary, set_keys binary")
     stars = written(packed.groupBy("bucket").applyInArrow(stars_of, "a long, b long").distinct(), "stars")
     blocks = components(stars).select(F.col("node").alias("vertex"), F.col("component").alias("block"))
@@ -308,8 +337,10 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
     dealt = written(rows.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int")), "dealt")
     # texts travel, as they are shorter than their sets; those of no such block are left out before the exchange, but for few
     needed = perhaps_in(texts, "doc_id", written(marked_bits(dealt, "rep"), "block-ids"), "needed").where("needed").drop("needed")
-    chosen = dealt.hint("merge").join(needed, F.col("rep") == F.col("doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = chosen.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "guest", "rep", "set_key", "text")
+    chosen = dealt.hint("merge").join(needed, F.col("rep") == F.col("doc_id")).select("block", "part", "parts", "guest", "rep", "set_key", "text")
+    # a block's texts travel once for each of its parts, so their tiles take turns: no round sends more texts than there are, or round_sets
+    rounds = 1 + int((dealt.agg(F.sum("parts")).first()[0] or 0) // max(members.count(), round_sets))
+    chosen = written(chosen, "block-texts") if rounds > 1 else chosen
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, at = {}, None  # (rep, set_key): (part, guest, elements)
@@ -336,8 +367,16 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, tile: i
         if len(group) > 1:
             yield flush()
 
-    grouped = tiles.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "rep", "set_key")
-    edges = written(grouped.mapInArrow(joined, "a long, b long, n long"), "links")
+    def links_of(turn: int) -> DataFrame:
+        its = F.expr(f"filter(sequence(0, parts - 1), x -> pmod(xxhash64(block, least(part, x), greatest(part, x)), {rounds}) = {turn})")
+        spread = chosen.withColumn("other", F.explode(its))
+        tiles = spread.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "guest", "rep", "set_key", "text")
+        grouped = tiles.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "rep", "set_key")
+        return written(grouped.mapInArrow(joined, "a long, b long, n long"), "links")
+
+    edges = reduce(DataFrame.unionByName, [links_of(turn) for turn in range(rounds)])
+    if rounds > 1:
+        removed(chosen)
     found = components(edges.where("a <> b").select("a", "b"))
     links = edges.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     named = reps.join(found, reps.rep == found.node, "left").join(links, "rep", "left").select(

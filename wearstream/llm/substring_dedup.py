@@ -16,30 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearstream.llm.common import marked_bits, mix64, perhaps_in, small_batches, window_hashes, word_hashes, word_spans, written
+from wearstream.llm.common import Held, marked_bits, mix64, perhaps_in, small_batches, window_hashes, word_hashes, word_spans, written
 
 #: What a task packs at a time.
 PACKED_SUFFIXES = 1 << 20
 
 
-class Held:
-    """A sorted table of hashes, asked for many at once: most are ruled out by one bit each."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.table = np.sort(hashes)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.table >> np.uint64(44)] = True
-
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes the table holds, by their places, and where it holds them."""
-        some = np.flatnonzero(self.bits[hashes >> np.uint64(44)])
-        if not len(some):
-            return some, some
-        at = np.minimum(np.searchsorted(self.table, hashes[some]), len(self.table) - 1)
-        yes = self.table[at] == hashes[some]
-        return some[yes], at[yes]
-
-
 def hashes_of(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "replace").split())
 
