@@ -2,9 +2,9 @@
 
 Every word of a text begins a suffix, of which the first k words count. The suffixes are dealt to groups by prefixes of
 variable length: one word, lengthened word by word while a sample says that it begins more suffixes than a group may
-hold. Groups are bundled to buckets, and a task sorts one bucket at a time, in which its groups' subtrees are runs: a
-run of several suffixes that are equal to depth k is an internal node of that depth or deeper. All of its suffixes but
-those of the smallest doc_id are repeats, and neighbouring ones join to the document's maximal repeats.
+hold. Groups are bundled to buckets, of which a task gets several and sorts one at a time, in which its groups' subtrees
+are runs: a run of several suffixes that are equal to depth k is an internal node of that depth or deeper. All of its
+suffixes but those of the smallest doc_id are repeats, and neighbouring ones join to the document's maximal repeats.
 """
 
 from __future__ import annotations
@@ -21,6 +21,12 @@ from wearstream.llm.common import Held, marked_bits, mix64, perhaps_in, small_ba
 #: What a task packs at a time.
 PACKED_SUFFIXES = 1 << 20
 
+#: A prefix counts in a batch of the sample if it is there so often; the more batches, the more suffixes this may hide.
+LOCAL = 2
+
+#: What a task has in memory at a time: Arrow, the JVM's buffer to Python and the sort each hold it, the sort several times.
+SORTED_SUFFIXES = 1 << 19
+
 
 def hashes_of(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "replace").split())
@@ -44,7 +50,6 @@ def sampled(texts: DataFrame, k: int, one_in: int, group_suffixes: int, least: i
 
     Only how a suffix is handled depends on them, never the result. Both tables have at most most entries.
     """
-    local = max(2, group_suffixes // one_in // 64)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 512):
@@ -55,7 +60,7 @@ def sampled(texts: DataFrame, k: int, one_in: int, group_suffixes: int, least: i
             for p in range(1, k):  # a prefix's continuations count only where it is frequent itself
                 hashes = [window_hashes(w, p)[: len(t)] for w, t in zip(texts_words, todo)]
                 found, times = np.unique(np.concatenate([np.empty(0, np.uint64), *(h[t] for h, t in zip(hashes, todo))]), return_counts=True)
-                found, times = found[times >= local], times[times >= local]
+                found, times = found[times >= LOCAL], times[times >= LOCAL]
                 if not len(found):
                     break
                 out.append((1, found, times))
@@ -74,12 +79,15 @@ def sampled(texts: DataFrame, k: int, one_in: int, group_suffixes: int, least: i
     return table(pick(1)), table(pick(0)), total * one_in
 
 
-def packed_suffixes(hashes: np.ndarray, groups: np.ndarray, ids: np.ndarray, buckets: int, hot: Held) -> pa.RecordBatch:
+def bucket_of(groups: np.ndarray, buckets: int) -> np.ndarray:
+    return (((mix64(groups) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+def packed_suffixes(hashes: np.ndarray, bucket: np.ndarray, ids: np.ndarray, hot: Held) -> pa.RecordBatch:
     """One row for each bucket: its suffixes' hashes, 8 bytes each, and the steps between their ids, 4 bytes where they fit.
 
     Of a window that many texts hold only the smallest id goes.
     """
-    bucket = (((mix64(groups) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     some, at = hot.places(hashes)
     if len(some):
         least = np.full(len(hot.table), np.iinfo(np.int64).max)
@@ -90,12 +98,13 @@ def packed_suffixes(hashes: np.ndarray, groups: np.ndarray, ids: np.ndarray, buc
         hashes, ids, bucket = np.r_[hashes[rest], hot.table[which]], np.r_[ids[rest], least[which]], np.r_[bucket[rest], bucket[some[first]]]
     order = np.lexsort((ids, bucket))
     hashes, ids, bucket = hashes[order], ids[order], bucket[order]
+    del order
     begin = np.flatnonzero(np.diff(bucket, prepend=-1))
     spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)]))
     steps = [np.diff(ids[a:b], prepend=ids[a]) for a, b in spans]
     narrow = [x.astype(np.uint32) if 0 <= x.min() and x.max() < 1 << 32 else x for x in steps]
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[begin]), pa.array(ids[begin]), pa.array([hashes[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([x.tobytes() for x in narrow], pa.binary())],
+        [pa.array(bucket[begin].astype(np.int64)), pa.array(ids[begin]), pa.array([hashes[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([x.tobytes() for x in narrow], pa.binary())],
         names=["bucket", "base", "hashes", "steps"],
     )
 
@@ -169,40 +178,47 @@ def remove_repeats(
     an empty table gives no rows. Texts are whole.
 
     A suffix travels as its first k words' 64-bit hash; two unequal windows would have to agree in it and fall into one
-    bucket. A task holds one bucket, about bucket_suffixes of 16 bytes, whose groups are at most about
-    group_suffixes each as far as the sample tells; windows that many texts hold travel once per packed batch, and
+    bucket. A task is dealt about bucket_suffixes, in buckets of at most about SORTED_SUFFIXES of 16 bytes, which it holds
+    one at a time and whose groups are at most about group_suffixes each as far as the sample tells; windows that many texts hold travel once per packed batch, and
     their smallest ids (at most most) reach every task. Rows without a repeat aren't exchanged, but for few.
     """
     texts = docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as long) doc_id", "text")
     longer, hot, total = sampled(texts, k, one_in, group_suffixes, least, most)
-    buckets = 1 + total // bucket_suffixes
+    tasks, buckets = 1 + total // bucket_suffixes, 1 + total // min(bucket_suffixes, SORTED_SUFFIXES)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        hashes, bucket, ids, lengths, count = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            hashes, groups, ids = (np.concatenate(x) for x in zip(*held))
-            return packed_suffixes(hashes, groups, ids, buckets, hot)
+            all_ids, all_hashes = np.repeat(np.array(ids, np.int64), lengths), np.concatenate(hashes)
+            hashes.clear()
+            all_buckets = np.concatenate(bucket)
+            for x in (bucket, ids, lengths):
+                x.clear()
+            return packed_suffixes(all_hashes, all_buckets, all_ids, hot)
 
         for batch in small_batches(batches, 256):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = hashes_of(text)
                 if len(words) >= k:
                     windows = window_hashes(words, k)
-                    held.append((windows, groups_of(words, k, longer), np.full(len(windows), doc_id)))
+                    hashes.append(windows)
+                    bucket.append(bucket_of(groups_of(words, k, longer), buckets))
+                    ids.append(doc_id)
+                    lengths.append(len(windows))
                     count += len(windows)
                 if count >= PACKED_SUFFIXES:
                     yield flush()
-                    held, count = [], 0
-        if held:
+                    count = 0
+        if ids:
             yield flush()
 
     dealt = texts.mapInArrow(suffixes, "bucket long, base long, hashes binary, steps binary")
-    found = written(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: subtrees(t, hot, buckets), "part long, ids binary, hashes binary"), "nodes")
+    found = written(dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: subtrees(t, hot, tasks), "part long, ids binary, hashes binary"), "nodes")
     firsts = found.where(f"part = {HOT}").select("ids", "hashes").collect()
     hot_hashes = np.frombuffer(b"".join(bytes(r["hashes"]) for r in firsts), np.uint64)
     hot_seen, hot_first = Held(hot_hashes), np.frombuffer(b"".join(bytes(r["ids"]) for r in firsts), np.int64)[np.argsort(hot_hashes)]
-    marks = written(found.where("part >= 0").repartition(buckets, "part").groupBy("part").applyInArrow(by_id, "id long, marks binary"), "marks")
+    marks = written(found.where("part >= 0").repartition(tasks, "part").groupBy("part").applyInArrow(by_id, "id long, marks binary"), "marks")
 
     place = docs.columns.index("text")
 
