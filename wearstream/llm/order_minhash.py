@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -15,6 +16,48 @@ from pyspark.sql import functions as F
 from wearstream.llm.common import mix64, odd_constants, small_batches, window_hashes, written
 
 
+#: Values whose products in all orders are held at a time, so that they stay in the cache.
+BLOCK = 2048
+
+
+@lru_cache
+def salts_of(tuples: int) -> np.ndarray:
+    return odd_constants(tuples, 400)
+
+
+def occurrences(mers: np.ndarray) -> np.ndarray:
+    """How many equal values came before each."""
+    n = len(mers)
+    low = np.uint64((1 << n.bit_length()) - 1)  # a value's last bits make room for its place: plain sorting is the faster
+    order = (np.sort((mers & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
+    ranked = mers[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]]
+    if (new[1:] & ((ranked[1:] ^ ranked[:-1]) <= low)).any():  # unequal values that only the last bits tell apart may lie mixed
+        order = np.argsort(mers, kind="stable")
+        ranked = mers[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+    rank, number = np.arange(n), np.empty(n, np.uint64)
+    number[order] = rank - np.maximum.accumulate(np.where(new, rank, 0))
+    return number
+
+
+def least_places(values: np.ndarray, salts: np.ndarray, width: int) -> np.ndarray:
+    """For each salt, the places of the width least products with it, smallest first: the least of each block's least."""
+    tuples = np.arange(len(salts))
+    held, ranks, places = np.empty(len(salts) * min(len(values), BLOCK), np.uint64), [], []
+    for at in range(0, len(values), BLOCK):
+        block = values[at : at + BLOCK]
+        products = held[: len(salts) * len(block)].reshape(len(salts), len(block))
+        np.multiply(salts[:, None], block, out=products)
+        for _ in range(min(width, len(block))):
+            least = products.argmin(axis=1)
+            ranks.append(products[tuples, least])
+            places.append(least + at)
+            products[tuples, least] = np.iinfo(np.uint64).max
+    ranks, places = np.stack(ranks, axis=1), np.stack(places, axis=1)
+    return np.take_along_axis(places, np.argsort(ranks, axis=1, kind="stable")[:, :width], axis=1)
+
+
 def sketch(text: str, *, k: int = 5, tuples: int = 40, length: int = 2) -> np.ndarray:
     """The hashes of tuples of k-mers: for each of the orders, the length least k-mers in the text's order.
 
@@ -23,21 +66,9 @@ def sketch(text: str, *, k: int = 5, tuples: int = 40, length: int = 2) -> np.nd
     """
     chars = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     mers = window_hashes(chars, min(k, len(chars)), seed=9) if len(chars) else np.zeros(1, np.uint64)
-    order = np.argsort(mers, kind="stable")
-    ranked = mers[order]
-    new = np.r_[True, ranked[1:] != ranked[:-1]]
-    start = np.flatnonzero(new)
-    number = np.empty(len(mers), np.uint64)
-    number[order] = np.arange(len(mers)) - np.repeat(start, np.diff(np.r_[start, len(mers)]))
-    numbered = mix64(mers + mix64(number + np.uint64(1)))
+    numbered = mix64(mers + mix64(occurrences(mers) + np.uint64(1)))
     width = min(length, len(mers))
-    picks = np.empty((tuples, width), np.int64)
-    rank = np.empty(len(numbered), np.uint64)
-    for t, salt in enumerate(odd_constants(tuples, 400)):
-        np.multiply(numbered, salt, out=rank)
-        for j in range(width):
-            picks[t, j] = least = rank.argmin()
-            rank[least] = np.iinfo(np.uint64).max
+    picks = least_places(numbered, salts_of(tuples), width)
     picks.sort(axis=1)
     value = np.arange(1, tuples + 1, dtype=np.uint64)
     for j in range(width):
