@@ -34,6 +34,23 @@ def test_alerts_go_to_any_number_of_recipients(spark):
     assert {r["event_id"]: (r["n"], r["d"]) for r in to.groupBy("event_id").agg(F.count("*").alias("n"), F.count_distinct("recipient").alias("d")).collect()} == {1: (12_000,) * 2, 2: (12_001,) * 2, 3: (12_000,) * 2}
 
 
+def test_a_fan_out_takes_little_disk_and_goes_on_in_many_tasks(spark, tmp_path):
+    alerts, recipients = spark.range(5000).selectExpr("id * 5 event_id", "id % 4000 + 100000 worker"), spark.range(2003).selectExpr("id * 49 recipient")
+    O.fanned_out(alerts, recipients, "worker").write.parquet(f"{tmp_path}/to")
+    files = list((tmp_path / "to").glob("*.parquet"))
+    to = spark.read.parquet(f"{tmp_path}/to")
+    assert to.distinct().count() == to.count() == 5000 * 2004
+    assert sum(f.stat().st_size for f in files) < 0.3 * 5000 * 2004 and len(files) > 4
+
+
+def test_alerts_without_number_or_given_often_go_to_each_recipient_once(spark):
+    alerts = spark.createDataFrame([(None, 5), (None, 6), *[(7, 1)] * 3000, *[(7, None)] * 2000], "event_id long, worker long")
+    to = O.fanned_out(alerts, spark.createDataFrame([(1,), (2,), (2,), (None,)], "recipient long"), "worker")
+    assert sorted(map(tuple, to.collect()), key=str) == [(7, 1), (7, 2), (None, 1), (None, 2), (None, 5), (None, 6)]
+    assert O.fanned_out(alerts.where("false"), to.select("recipient"), "worker").count() == 0
+    assert sorted(map(tuple, O.fanned_out(alerts, to.select("recipient").where("false"), "worker").collect()), key=str) == [(7, 1), (None, 5), (None, 6)]
+
+
 def test_a_tables_replay_keeps_its_tasks(spark):
     actions = spark.range(1000).selectExpr("id worker", "id seq", "id us", "'H' helmet", "'press' action", "1D lat", "1D lon")
     out = emergencies(actions)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Recipients in a list.
-LISTED = 4096
+#: Alerts and recipients of a task of a fan-out. Parquet packs 504 numbers at a time: only lists of a multiple repeat byte by byte.
+LISTED, GIVEN = 1008, 1 << 14
 
 
 def find(rows: DataFrame, where: dict, fields: list[str]) -> DataFrame:
@@ -52,16 +52,27 @@ def updated(rows: DataFrame, where: Column, changes: dict[str, Column]) -> DataF
     return rows.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in rows.columns])
 
 
+def _listed(ids: DataFrame, n: int) -> DataFrame:
+    """The distinct values of n rows' only column, null too, in partitions of LISTED but for the last of each 64."""
+    name, parts = ids.columns[0], n // (64 * LISTED) + 1
+    each = n // parts // LISTED + 2
+    numbered = ids.repartition(parts, name).distinct().sortWithinPartitions(name).withColumn("_n", F.monotonically_increasing_id())
+    part = F.shiftright("_n", 33) + parts * F.floor(F.col("_n").bitwiseAND((1 << 33) - 1) / LISTED)  # from bit 33 on, the partition's number
+    return numbered.select(name, F.pmod(part, F.lit(parts * each)).cast("int").alias("_part")).repartitionById(parts * each, "_part").select(name)
+
+
 def fanned_out(alerts: DataFrame, recipients: DataFrame, own: str) -> DataFrame:
     """One row per alert and recipient, and one for the alert's own worker: event_id, recipient.
 
     The result has as many rows as alerts times recipients; none is twice in it, also where a worker is a recipient or an
-    alert is given twice. Null recipients and workers get none. Recipients may be any number: they are in lists of about
-    LISTED, and each alert meets one list after the other.
+    alert is given twice. Null recipients and workers get none. Both may be any number: a task gives LISTED alerts to one
+    recipient after the other, GIVEN at most, about. So files hold a run for each recipient and the same alerts again and
+    again, which take a tenth of a byte a row; nothing is written or sent once it is multiplied.
     """
-    everyone = recipients.select("recipient").where("recipient is not null").distinct()
-    lists = everyone.groupBy(F.pmod(F.xxhash64("recipient"), F.lit(everyone.count() // LISTED + 1))).agg(F.collect_list("recipient").alias("_list"))
-    to_all = alerts.select("event_id").distinct().crossJoin(lists.select("_list")).select("event_id", F.explode("_list").alias("recipient"))
+    named = recipients.select("recipient").where("recipient is not null")
+    everyone = named.repartition(named.count() // GIVEN + 1, "recipient").distinct()
+    events = _listed(alerts.select("event_id"), alerts.count())
+    to_all = everyone.crossJoin(events.hint("shuffle_replicate_nl")).select("event_id", "recipient")
     to_own = alerts.select("event_id", F.col(own).alias("recipient")).where("recipient is not null").distinct()
     return to_all.unionByName(to_own.join(everyone, "recipient", "left_anti").select("event_id", "recipient"))
 
